@@ -1,12 +1,14 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import url_rules, warc
+from clausespark.llm import bpe, token_files, url_rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_revisits": warc.op1_warc_revisits,
         "op3_url_rules": url_rules.op3_url_rules,
+        "op4_token_files": token_files.op4_token_files,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
