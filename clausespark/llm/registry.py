@@ -1,13 +1,15 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import bpe, token_files, url_rules, warc
+from clausespark.llm import bpe, packing, token_files, topk, url_rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_revisits": warc.op1_warc_revisits,
+        "op2_packing": packing.op2_packing,
         "op3_url_rules": url_rules.op3_url_rules,
         "op4_token_files": token_files.op4_token_files,
+        "op8_block_topk": topk.op8_block_topk,
         "op10_bpe": bpe.op10_bpe,
     }
 
@@ -16,4 +18,5 @@ def oracle_sql() -> dict:
     return {
         "op1_warc_revisits": warc.OP1_SQL,
         "op3_url_rules": url_rules.OP3_SQL,
+        "op8_block_topk": topk.OP8_SQL,
     }
