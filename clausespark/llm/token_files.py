@@ -10,9 +10,12 @@ table look-up an id.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from math import ceil, log2
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -111,12 +114,27 @@ def unpack(bits: bytes, checkpoints: bytes, n_tokens: int, table: tuple[np.ndarr
     return out.T.reshape(-1)[:n_tokens]
 
 
+#: A comma or full stop next to another symbol, or an apostrophe: these texts keep their symbols where they are.
+_BOUND_SYMBOLS = re.compile(r"[,.](?:[^\w\s]|_)|(?:[^\w\s]|_)[,.]|'").search
+
+
 def _pieces(text: str) -> list[str]:
+    """The text cut at white space, where no pretoken crosses, and written alike where that leaves its ids alone.
+
+    Lower-casing first gives the same ids for normalized texts without final sigma or the added tokens' "<|"; commas and
+    full stops that touch no other symbol are pretokens of their own.
+    """
+    if "<|" not in text and "Σ" not in text:
+        low = text.lower()
+        if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low):
+            text = low
+        if not _BOUND_SYMBOLS(text):
+            text = text.replace(",", " , ").replace(".", " . ")
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-def encode_texts(texts: list[str], vocabulary: str, kind: str) -> list[bytes]:
-    """The library's ids of each text. Its pretokens never cross white space, so pieces between are encoded once each."""
+def _library(vocabulary: str):
+    """The tokenizer, which of its ids end a pretoken, the pieces known so far and how many characters they have."""
     if vocabulary not in _WORKER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -124,8 +142,15 @@ def encode_texts(texts: list[str], vocabulary: str, kind: str) -> list[bytes]:
         t = Tokenizer.from_file(vocabulary)
         t.no_truncation()
         t.no_padding()
-        _WORKER[vocabulary] = (t, {"": b""}, [0])
-    tokenizer, known, held = _WORKER[vocabulary]
+        suffix = json.loads(t.to_str())["model"].get("end_of_word_suffix")
+        ends = np.array([bool(suffix) and (t.id_to_token(i) or "").endswith(suffix) for i in range(t.get_vocab_size())])
+        _WORKER[vocabulary] = (t, ends, {"": b""}, [0])
+    return _WORKER[vocabulary]
+
+
+def encode_texts(texts: list[str], vocabulary: str, kind: str) -> list[bytes]:
+    """The library's ids of each text; a piece between white space is encoded once, words of letters many at a time."""
+    tokenizer, ends, known, held = _library(vocabulary)
     if len(known) > REMEMBER or held[0] > REMEMBER_CHARS:
         known.clear()
         known[""] = b""
@@ -134,11 +159,21 @@ def encode_texts(texts: list[str], vocabulary: str, kind: str) -> list[bytes]:
     new: dict[str, None] = {}
     for own in cut:
         new.update(dict.fromkeys(p for p in own if p not in known))
-    words = list(new)
+    held[0] += sum(map(len, new))
+    words = [w for w in new if w.isalpha()]
+    for s in range(0, len(words), 2000):
+        part = words[s : s + 2000]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, kind)
+        last = np.flatnonzero(ends[ids])
+        if len(last) == len(part):  # a pretoken each
+            raw, width, at = ids.tobytes(), ids.itemsize, 0
+            for w, e in zip(part, ((last + 1) * width).tolist(), strict=True):
+                known[w] = raw[at:e]
+                at = e
+    words = [w for w in new if w not in known]
     for s in range(0, len(words), 20_000):
         part = words[s : s + 20_000]
         known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        held[0] += sum(map(len, part))
     return [b"".join(map(known.__getitem__, own)) for own in cut]
 
 
