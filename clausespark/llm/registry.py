@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import bpe, packing, token_files, topk, url_rules, warc
+from clausespark.llm import bpe, packing, simhash, token_files, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_url_rules": url_rules.op3_url_rules,
         "op4_token_files": token_files.op4_token_files,
         "op8_block_topk": topk.op8_block_topk,
+        "op9_simhash": simhash.op9_simhash,
         "op10_bpe": bpe.op10_bpe,
     }
 
