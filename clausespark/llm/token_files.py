@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 256
 END = 2
 #: Pieces and their characters that a worker remembers at most; then it starts anew. It bounds memory, not results.
-REMEMBER, REMEMBER_CHARS = 500_000, 16 << 20
+REMEMBER, REMEMBER_CHARS = 1_000_000, 16 << 20
 _BLOCKS = "part int, block int, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, bits binary, checkpoints binary"
 _WORKER: dict = {}
 
@@ -114,8 +114,8 @@ def unpack(bits: bytes, checkpoints: bytes, n_tokens: int, table: tuple[np.ndarr
     return out.T.reshape(-1)[:n_tokens]
 
 
-#: A comma or full stop next to another symbol, or an apostrophe: these texts keep their symbols where they are.
-_BOUND_SYMBOLS = re.compile(r"[,.](?:[^\w\s]|_)|(?:[^\w\s]|_)[,.]|'").search
+#: A comma or full stop next to another symbol: such texts, and those with apostrophes, keep their symbols in place.
+_BOUND_SYMBOLS = re.compile(r"[,.](?:(?<=[^\w\s].)|(?<=_.)|[^\w\s]|_)").search
 
 
 def _pieces(text: str) -> list[str]:
@@ -128,7 +128,7 @@ def _pieces(text: str) -> list[str]:
         low = text.lower()
         if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low):
             text = low
-        if not _BOUND_SYMBOLS(text):
+        if "'" not in text and not _BOUND_SYMBOLS(text):
             text = text.replace(",", " , ").replace(".", " . ")
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -156,9 +156,7 @@ def encode_texts(texts: list[str], vocabulary: str, kind: str) -> list[bytes]:
         known[""] = b""
         held[0] = 0
     cut = [_pieces(t) for t in texts]
-    new: dict[str, None] = {}
-    for own in cut:
-        new.update(dict.fromkeys(p for p in own if p not in known))
+    new = set().union(*cut).difference(known)
     held[0] += sum(map(len, new))
     words = [w for w in new if w.isalpha()]
     for s in range(0, len(words), 2000):
