@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import bpe, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
+from clausespark.llm import bpe, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_token_files": token_files.op4_token_files,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_block_topk": topk.op8_block_topk,
         "op9_simhash": simhash.op9_simhash,
         "op10_bpe": bpe.op10_bpe,
@@ -23,5 +24,6 @@ def oracle_sql() -> dict:
         "op3_url_rules": url_rules.OP3_SQL,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_block_topk": topk.OP8_SQL,
     }
