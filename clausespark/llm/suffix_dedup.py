@@ -35,7 +35,7 @@ from clausespark.llm.common import documents, shuffle_partitions, stored
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a block; a longer document is a block alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Runs of one minimizer, over all blocks, above which they are dealt out string by string.
 CROWDED = 2000
 _M = np.uint64(0x9E3779B97F4A7C15)
