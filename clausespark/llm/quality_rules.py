@@ -31,23 +31,23 @@ FEATURES = {
 CUTS = 6
 
 
-def _repeat_words(words: str) -> Column:
-    """Words within a 3-word window that occurs twice or more, for the array column `words`.
+_WORDS = r"filter(split(t, '[\\x20\\x09-\\x0D]+', -1), w -> w <> '')"
+
+
+def _word_statistics() -> Column:
+    """(n, repeated) for the column t: its words, and those within a 3-word window that occurs twice or more.
 
     Equal windows are next to each other once (hash, place) pairs are sorted; the places of those are sorted again, and
-    each covers three words or up to the next one.
+    each covers three words or up to the next one. aggregate() over one-element arrays binds a value to a name, so that
+    no element of a lambda computes it again.
     """
-    hashed = f"transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))"
+    hashed = "transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"
     pairs = f"array_sort(transform({hashed}, (h, i) -> struct(h, i)))"
-    return F.expr(f"""
-        CASE WHEN size({words}) < 4 THEN 0L ELSE aggregate(array({pairs}), 0L, (none, s) ->
-            aggregate(
-                array(array_sort(transform(
-                    filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].h = x.h) OR (i + 1 < size(s) AND s[least(i + 1, size(s) - 1)].h = x.h)),
-                    x -> x.i))),
-                0L,
-                (zero, at) -> aggregate(transform(at, (p, i) -> IF(i + 1 < size(at), least(3, at[least(i + 1, size(at) - 1)] - p), 3)), 0L, (a, x) -> a + x)))
-        END""")
+    again = "filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].h = x.h) OR (i + 1 < size(s) AND s[least(i + 1, size(s) - 1)].h = x.h))"
+    covered = "aggregate(transform(at, (p, i) -> IF(i + 1 < size(at), least(3, at[least(i + 1, size(at) - 1)] - p), 3)), 0L, (a, x) -> a + x)"
+    places = f"aggregate(array(array_sort(transform({again}, x -> x.i))), 0L, (zero, at) -> {covered})"
+    repeated = f"CASE WHEN size(words) < 4 THEN 0L ELSE aggregate(array({pairs}), 0L, (none, s) -> {places}) END"
+    return F.expr(f"aggregate(array({_WORDS}), named_struct('n', 0L, 'repeated', 0L), (none, words) -> named_struct('n', bigint(size(words)), 'repeated', {repeated}))")
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,9 +60,8 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     bare = F.translate("t", SPACE, "")
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.translate(x, SPACE, "") != "")
-    t = t.select("doc_id", F.filter(F.split("t", r"[\x20\x09-\x0D]+", -1), lambda x: x != "").alias("words"), F.length(bare).cast("long").alias("word_chars"),
-                 (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
-    return t.select("doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words("words").cast("long").alias("n_repeat_words"))
+    t = t.select("doc_id", _word_statistics().alias("w"), F.length(bare).cast("long").alias("word_chars"), (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+    return t.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -205,6 +204,19 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list
     return s.withColumn("kept", ~F.col("base_failed") & verdict(rules)), rules
 
 
+def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that the learned rules reject; the base test takes no part, so short documents stay.
+
+    All labelled rows teach. The rules are applied to docs as one expression, of which Spark computes only the statistics
+    that they test. All columns stay; null texts are judged as empty ones.
+    """
+    known = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    taught = stored(with_statistics(docs.select("doc_id", "text")), "statistics").join(known, "doc_id")
+    rules = learn_rules(*contingency(taught))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
+    return with_statistics(whole, "doc", "t").where(verdict(rules)).select("doc_id.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and verdict, by the contract of operator 5."""
     return judge_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]

@@ -195,6 +195,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     return d.join(own, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
+    """docs without near-duplicates: of every group of near_duplicates the document with the smallest doc_id stays.
+
+    Rows with a null doc_id stay. All columns stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), width, max_bits)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component, by the contract of operator 9."""
     out = near_duplicates(documents(spark, sf_dir))
