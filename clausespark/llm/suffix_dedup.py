@@ -35,7 +35,7 @@ from clausespark.llm.common import documents, shuffle_partitions, stored
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a block; a longer document is a block alone.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Runs of one minimizer, over all blocks, above which they are dealt out string by string.
 CROWDED = 2000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -148,8 +148,10 @@ def runs_of(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 
 
 def _bucket_key(h: np.ndarray, bits: int) -> np.ndarray:
-    """Of each hash its bucket and 32 more bits, in one number."""
-    return (h >> np.uint64(32 - bits)).astype(np.uint64)
+    """Of each hash its bucket and 32 more bits, in one number. Minimizers are small hashes, so they are mixed anew."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(32 - bits)
 
 
 # --- suffix sorting -------------------------------------------------------------------------------------------------
