@@ -25,3 +25,14 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return _SQL
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"clausespark.plans.{name}")
+
+
+MODULES = ["text_queries", "retrieval_queries"]
