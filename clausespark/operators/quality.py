@@ -10,3 +10,88 @@ def markup_census(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(tag, n, pages): how often each tag opens and in how many rows."""
     tags = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(html_col), F.lit("<([a-z][a-z0-9]*)"), 1)).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("pages"))
+
+
+def orphan_parents(rows: DataFrame) -> DataFrame:
+    return rows.where("parent is not null").join(rows.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent")
+
+
+def id_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, side): ids that only one of two tables has."""
+    a, b = left.select("id").distinct(), right.select("id").distinct()
+    return a.join(b, "id", "left_anti").withColumn("side", F.lit("missing")).union(b.join(a, "id", "left_anti").withColumn("side", F.lit("orphan")))
+
+
+def health_report(counts: dict[str, tuple[DataFrame, bool]]) -> DataFrame:
+    """(key, n, severity, fixable) of every named table of findings."""
+    out = None
+    for key, (found, fixable) in counts.items():
+        severity = F.when(F.col("n") == 0, "ok").otherwise("warn" if fixable else "error")
+        one = found.agg(F.count("*").alias("n")).select(F.lit(key).alias("key"), "n", severity.alias("severity"), F.lit(fixable).alias("fixable"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def filter_logs(logs: DataFrame, category: str = "", levels: tuple = (), user: str = "", start: str = "", end: str = "", keyword: str = "") -> DataFrame:
+    """Rows that pass all filters given; the end day counts as a whole and bad dates are ignored."""
+    ok = F.lit(True)
+    if category:
+        ok = ok & (F.col("category") == category)
+    if levels:
+        ok = ok & F.col("level").isin(*levels)
+    if user:
+        ok = ok & (F.col("username") == user)
+    day = lambda x: F.try_to_timestamp(F.lit(x), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    if start:
+        ok = ok & F.coalesce(F.col("created_at") >= day(start), F.lit(True))
+    if end:
+        ok = ok & F.coalesce(F.col("created_at") < day(end) + F.expr("interval 1 day"), F.lit(True))
+    if keyword:
+        ok = ok & (F.contains("action", F.lit(keyword)) | F.contains("detail", F.lit(keyword)) | F.contains("username", F.lit(keyword)))
+    return logs.where(ok)
+
+
+def task_disposition(status, age_s, terminal_s: int = 1800, review_s: int = 86_400):
+    """drop_files, drop_row or keep for an import task of an age in seconds."""
+    return F.when(age_s.isNull(), "keep").when((status == "review_needed") & (age_s > review_s), "drop_files").when(status.isin("done", "error") & (age_s > terminal_s), "drop_row").otherwise("keep")
+
+
+def resolve_parameters(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(key, value): valid overrides within their range, else defaults."""
+    v = F.col("raw").try_cast("double")
+    return defaults.join(overrides, "key", "left").select("key", F.when(v.isNull(), F.col("value")).otherwise(F.least(F.greatest(v, F.col("low")), F.col("high"))).alias("value"))
+
+
+def link_replacements(specs: DataFrame) -> DataFrame:
+    """(id, status, successor) of specs (id, code, status, replaced_by_code): by status a row points on, or takes another's place.
+
+    A withdrawn or revised spec points to its successor if that is there; one in force withdraws the one it names and
+    that points back to it. Never to itself.
+    """
+    by_code = specs.select(F.col("code").alias("named"), F.col("id").alias("other"))
+    j = specs.join(by_code, (specs.replaced_by_code == F.col("named")) & (specs.id != F.col("other")), "left")
+    taken = j.where("status = '现行' and other is not null").groupBy("other").agg(F.min("id").alias("by")).withColumnRenamed("other", "id")
+    own = j.groupBy("id").agg(F.min("other").alias("other"))
+    s = specs.join(own, "id").join(taken, "id", "left")
+    return s.select("id", F.when(F.col("by").isNotNull(), "废止").otherwise(F.col("status")).alias("status"), F.coalesce("by", F.when(F.col("status").isin("废止", "修订中"), F.col("other"))).alias("successor"))
+
+
+def cascade_delete(specs: DataFrame, children: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Tables after deleting specs: their rows go everywhere and pointers to them become null."""
+    left = specs.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("successor"), F.lit(True).alias("lost")), "successor", "left")
+    left = left.withColumn("successor", F.when(F.col("lost"), None).otherwise(F.col("successor"))).drop("lost")
+    return left, {k: c.join(gone.select(F.col("id").alias("spec_id")), "spec_id", "left_anti") for k, c in children.items()}
+
+
+def replace_chunks(old: DataFrame, new: DataFrame, changed: DataFrame, key: str = "clause_id") -> DataFrame:
+    """old without the rows of changed keys, and new rows instead; a changed key without new rows is gone."""
+    return old.join(changed, key, "left_anti").unionByName(new)
+
+
+def insert_absent(rows: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.unionByName(seed.join(rows, keys, "left_anti"))
+
+
+def audit(action: str, level: str, counts: DataFrame) -> DataFrame:
+    """(category, level, action, detail): one log row of a job's counts."""
+    return counts.select(F.lit("job").alias("category"), F.lit(level).alias("level"), F.lit(action).alias("action"), F.to_json(F.struct("*")).alias("detail"))
