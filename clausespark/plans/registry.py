@@ -35,4 +35,4 @@ def load() -> None:
         import_module(f"clausespark.plans.{name}")
 
 
-MODULES = ["text_queries", "retrieval_queries", "rule_queries", "lexicon_queries", "context_queries", "quality_queries", "structure_queries"]
+MODULES = ["text_queries", "retrieval_queries", "rule_queries", "lexicon_queries", "context_queries", "quality_queries", "structure_queries", "source_queries"]
