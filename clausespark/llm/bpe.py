@@ -85,6 +85,8 @@ class PairIndexEncoder:
 
     def encode_pretokens(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
+        if not words:
+            return []
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
         sym = self.first[np.frombuffer(b"".join(raw), np.uint8)]
