@@ -128,3 +128,23 @@ def c17(spark, d):
 def c18(spark, d):
     lines = S.accepted(S.candidates(md_lines(spark, d), LETTER))
     return S.assign_blocks(lines.where("no is not null"), lines.where("line % 4 = 0").select("doc_id", F.col("line").alias("start")))
+
+
+@query("c3_levels", f"WITH {MD} SELECT level, count(*) AS n FROM (SELECT least(6, length(no) - length(replace(no, '.', '')) + 1) AS level FROM cand WHERE no IS NOT NULL) GROUP BY level")
+def c3(spark, d):
+    return S.candidates(md_lines(spark, d), LETTER).where("no is not null").groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("c5_rejected", f"WITH {MD} SELECT c.doc_id, c.line, c.no FROM cand c JOIN acc a ON a.doc_id = c.doc_id AND a.line = c.line WHERE c.no IS NOT NULL AND a.no IS NULL")
+def c5(spark, d):
+    found = S.candidates(md_lines(spark, d), LETTER)
+    return found.where("no is not null").select("doc_id", "line", "no").join(S.accepted(found).where("no is not null"), ["doc_id", "line"], "left_anti")
+
+
+CONTENTS_MD = MD.replace("WHEN line % 12 = 5 THEN", "WHEN line % 6 = 2 THEN 'Contents' WHEN line % 12 = 5 THEN").replace("last_value(CASE WHEN a.no IS NOT NULL THEN a.line END", "last_value(CASE WHEN a.no IS NOT NULL OR lower(a.text) = 'contents' THEN a.line END")
+
+
+@query("c9_contents", f"WITH {CONTENTS_MD} SELECT doc_id, line, no, content FROM clauses WHERE no IS NOT NULL")
+def c9(spark, d):
+    lines = md_lines(spark, d).withColumn("text", F.when(F.col("line") % 6 == 2, "Contents").otherwise(F.col("text")))
+    return S.clause_table(lines, LETTER).select("doc_id", "line", "no", "content")
