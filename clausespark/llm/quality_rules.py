@@ -58,10 +58,12 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_repeat_words: words in 3-word windows (compared by 64-bit hashes within the text) found twice or more in the text.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    bare = F.translate("t", SPACE, "")
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.translate(x, SPACE, "") != "")
-    t = t.select("doc_id", _word_statistics().alias("w"), F.length(bare).cast("long").alias("word_chars"), (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
-    return t.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words"))
+    t = t.select("doc_id", _word_statistics().alias("w"), F.translate("t", SPACE, "").alias("bare"), lines.alias("lines"))
+    symbols = F.length("bare") - F.length(F.translate("bare", SYMBOLS, ""))
+    t = t.select("doc_id", "w", F.length("bare").cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    # as a generated row, so that a filter on the statistics is not pushed down to compute them for each of its conditions
+    return t.select("doc_id", F.inline(F.array(F.struct(F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words")))))
 
 
 def base_failed() -> Column:
