@@ -150,7 +150,7 @@ def test_line_dedup(spark):
     places = defaultdict(list)
     for k, (_, t) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
-            if norm := " ".join(re.sub("[.,;:!?]", "", line.lower()).split(" ")).split():
+            if norm := " ".join(re.sub("[!-/:-@[-`{-~]", "", line.lower()).split(" ")).split():
                 places[tuple(norm)].append((k, n))
     norms = list(places)
     prints, root = np.array([sim(x) for x in norms], np.uint64), list(range(len(norms)))
