@@ -178,6 +178,55 @@ def test_line_dedup(spark):
     assert got.count() == docs.count() and line_dedup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_links_reach_the_similarity(spark):
+    """Planted pairs at exactly the limit, by edits of all kinds, and all pairs of small random lines by brute force."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    lines, planted = [], 0
+    for n in [*range(5, 26), 50, 101, 400]:
+        for how in range(4):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for i in sorted(rng.choice(n, n // 5, replace=False).tolist(), reverse=True):
+                b[i : i + 1] = [] if how == 1 or how == 2 and i % 2 else [word()]
+            if how == 3:
+                b = a[n // 5 :]
+            lines += [" ".join(a), " ".join(b)]
+            planted += 1
+    few = [" ".join(rng.choice(list("abcde"), rng.integers(4, 9))) for _ in range(150)]
+    lines += [x for x in dict.fromkeys(few)]
+
+    def edits(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            now = [i + 1]
+            for j, y in enumerate(b):
+                now.append(min(now[-1] + 1, before[j + 1] + 1, before[j] + (x != y)))
+            before = now
+        return before[-1]
+
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    split = [x.split(" ") for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            most = max(len(split[i]), len(split[j])) // 5
+            if (i == j + 1 or j >= 2 * planted) and abs(len(split[i]) - len(split[j])) <= most and edits(split[i], split[j]) <= most:
+                root[find(i)] = find(j)
+    assert all(find(2 * k) == find(2 * k + 1) for k in range(planted))
+    links = line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "gid long, norm string"))
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    least = {}
+    for i in range(len(lines)):
+        least.setdefault(find(i), i)
+    assert [got.get(i, i) for i in range(len(lines))] == [least[find(i)] for i in range(len(lines))]
+
+
 def test_simhash(spark):
     docs = texts(spark)
     rows = rows_of(docs)
