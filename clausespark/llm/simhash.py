@@ -14,7 +14,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import connected_components, documents, shuffle_partitions, stored
@@ -195,13 +195,91 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     return d.join(own, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, max_bits: int = 4) -> DataFrame:
-    """docs without near-duplicates: of every group of near_duplicates the document with the smallest doc_id stays.
+#: MinHash keys of a document and hashes in each: a pair at a similarity of 0.8 has no equal key once in 8 million.
+KEYS, HASHES = 40, 5
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's different shingles; of a text without words, those of one empty shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64))
+
+
+def minhash_keys(hashes: np.ndarray) -> np.ndarray:
+    rng = np.random.default_rng(SEED)
+    flips, factors = rng.integers(0, 1 << 64, (2, KEYS * HASHES), np.uint64)
+    least = np.array([((hashes ^ x) * y).min() for x, y in zip(flips, factors | np.uint64(1), strict=True)], np.uint64).reshape(KEYS, HASHES)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between the non-null doc_ids of docs (doc_id, text) that connect all with similar sets of shingles.
+
+    Similar are sets of which the common part is `similarity` or more of the union. Equal sets are linked to the smallest
+    doc_id that has them. Of the sets with an equal MinHash key, each is verified against one; pairs of those that this
+    leaves in different components are then verified all, as other pairs cannot connect anything.
+    """
+
+    def signed(batches):
+        for b in batches:
+            found = [shingle_hashes(t, width) for t in b["text"]]
+            own = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in found], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "own": own, "n": [len(h) for h in found], "keys": [minhash_keys(h) for h in found]})
+
+    def whole(batches):
+        for b in batches:
+            yield pd.DataFrame({"gid": b["gid"], "hashes": [shingle_hashes(t, width).tobytes() for t in b["text"]]})
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for u, v in zip(x, y, strict=True):
+            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+            common = len(np.intersect1d(u, v, assume_unique=True))
+            out.append(common >= similarity * (len(u) + len(v) - common) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signs = stored(docs.mapInPandas(signed, "doc_id long, own long, n long, keys array<long>"), "signatures")
+    least = signs.groupBy("own", "n").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("own", "n", "s.*")
+    sets = stored(least.withColumn("gid", F.monotonically_increasing_id()), "shingle-sets")
+    equal = signs.join(sets.select("own", "n", F.col("doc_id").alias("b")), ["own", "n"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+    w = Window.partitionBy("key")
+    keys = sets.select(F.explode("keys").alias("key"), "gid", "n").withColumns({"one": F.min("gid").over(w), "high": F.max("gid").over(w)})
+    keys = stored(keys.where("one < high").drop("high"), "shared-keys")
+    wanted = keys.select("gid").distinct().join(sets, "gid").select("gid", "doc_id", "own", "n")
+    # a doc_id may have several texts: each set takes the one with its hash
+    text_of = F.pandas_udf(lambda t: pd.Series([xxhash.xxh64_intdigest(shingle_hashes(x, width).tobytes()) for x in t], dtype="uint64").astype("int64"), "long")
+    texts = docs.join(wanted, "doc_id").select("gid", "own", "text", text_of("text").alias("found")).where("own = found")
+    hashes = stored(texts.groupBy("gid").agg(F.first("text").alias("text")).mapInPandas(whole, "gid long, hashes binary"), "shingles")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        both = pairs.join(hashes.select(F.col("gid").alias("a"), F.col("hashes").alias("ha")), "a").join(hashes.select(F.col("gid").alias("b"), F.col("hashes").alias("hb")), "b")
+        return stored(both.where(alike("ha", "hb")).select("a", "b"), f"{name}-alike")
+
+    first = verified(keys.where("gid <> one").select(F.col("gid").alias("a"), F.col("one").alias("b")), "copies-firsts")
+    label = connected_components(first).withColumnRenamed("node", "gid")
+    keys = stored(keys.drop("one").join(label, "gid", "left").withColumn("component", F.coalesce("component", "gid")), "labelled-keys")
+    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    keys = stored(keys.join(mixed, "key", "left_semi"), "mixed-keys")
+    apart = F.expr(f"a.key = b.key and a.gid < b.gid and a.component <> b.component and least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9")
+    pairs = keys.alias("a").join(keys.alias("b"), apart).select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
+    links = first.union(verified(pairs, "copies-pairs"))
+    of = sets.select("gid", "doc_id")
+    links = links.join(of.select(F.col("gid").alias("a"), F.col("doc_id").alias("da")), "a").join(of.select(F.col("gid").alias("b"), F.col("doc_id").alias("db")), "b")
+    return equal.union(links.select("da", "db"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of every connected group of similar_links the document with the smallest doc_id stays.
 
     Rows with a null doc_id stay. All columns stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, max_bits)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    found = connected_components(similar_links(docs.select("doc_id", "text"), width, similarity))
+    return docs.join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,29 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_reaches_the_similarity(spark):
+    """Planted near copies at 0.8 and more go, those below and short texts of other words stay, as brute force says."""
+    rng, rows, found = np.random.default_rng(5), [], Counter()
+    for k in range(240):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 104 + 396 * (k % 2))]
+        n = len(words) - 4
+        cut = (0, n // 9, n // 5, n // 5 + 1)[k % 4]  # of the n shingles of the first, the copy has all but cut: 1, 8/9, 0.8, below
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:]))]
+    rows += [(1000 + k, " ".join(f"s{x}" for x in rng.integers(0, 50, 6))) for k in range(300)]
+    rows += [(2000, ""), (2001, None), (None, rows[0][1])]
+    sets = {i: simhash.shingle_hashes(t) for i, t in rows if i is not None}
+    alike = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    for k in range(240):
+        found[k % 4] += alike(sets[2 * k], sets[2 * k + 1])
+    assert [found[c] for c in range(4)] == [60, 60, 60, 0]
+    short = {i: set(h.tolist()) for i, h in sets.items() if 1000 <= i < 2000}
+    gone = {2 * k + 1 for k in range(240) if k % 4 < 3} | {2001} | {i for i in short for j in short if j < i and short[i] == short[j]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(df)
+    assert sorted(map(repr, rows_of(got))) == sorted(repr(r) for r in rows if r[0] not in gone)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_crowded_fingerprints(spark):
     rng = np.random.default_rng(1)
     base, found = int(rng.integers(0, 1 << 62)), set()
