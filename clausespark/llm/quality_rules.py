@@ -66,8 +66,12 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return t.select("doc_id", F.inline(F.array(F.struct(F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.repeated").alias("n_repeat_words")))))
 
 
+def repeating() -> Column:
+    return 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < 50) | repeating()
 
 
 @dataclass(frozen=True)
@@ -207,7 +211,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list
 
 
 def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the learned rules reject; the base test takes no part, so short documents stay.
+    """docs without the rows that the learned rules reject and those that repeat themselves; short documents stay.
 
     All labelled rows teach. The rules are applied to docs as one expression, of which Spark computes only the statistics
     that they test. All columns stay; null texts are judged as empty ones.
@@ -216,7 +220,7 @@ def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taught = stored(with_statistics(docs.select("doc_id", "text")), "statistics").join(known, "doc_id")
     rules = learn_rules(*contingency(taught))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
-    return with_statistics(whole, "doc", "t").where(verdict(rules)).select("doc_id.*")
+    return with_statistics(whole, "doc", "t").where(verdict(rules) & ~repeating()).select("doc_id.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

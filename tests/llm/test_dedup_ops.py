@@ -89,6 +89,13 @@ def test_quality_statistics_and_rules(spark):
     assert quality_rules.judge_documents(docs.limit(0), labels)[0].count() == 0
 
 
+def test_quality_stage_drops_repeating_texts(spark):
+    rows = [(1, "one two three " * 40), (2, " ".join(f"word{i}" for i in range(120))), (3, "a short text"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in quality_rules.reject_documents(docs, labels).collect()) == [2, 3, 4]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for trial in range(20):
