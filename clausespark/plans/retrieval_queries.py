@@ -35,7 +35,8 @@ def _postings(spark, d):
 
 
 def _terms(spark, d):
-    return R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    # as the SQL has them: the first three tokens of four characters or more
+    return R.query_terms(table(spark, d, "benchmark"), "item_id", "text", 3, 4)
 
 
 def _found(spark, d, crumb=0.3):

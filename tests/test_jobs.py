@@ -57,3 +57,14 @@ def test_blocks_and_nulls(spark):
     assert rules.insert_pending(p, p).count() == 0 and rules.insert_pending(p, p.limit(0)).count() == 1
     logs = spark.createDataFrame([("a", "INFO", "x", "y", "u")], "category string, level string, action string, detail string, username string").withColumn("created_at", F.expr("timestamp_ntz '2024-01-05 10:00:00'"))
     assert quality.filter_logs(logs, start="2024-01-05", end="2024-01-05").count() == 1 and quality.filter_logs(logs, start="nonsense").count() == 1
+
+
+def test_query_terms_are_whole(spark):
+    """Every token of a query asks, pairs of ideographs and the words behind the third too."""
+    from clausespark.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma"), (3, "混凝土 of it")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "alpha beta gamma delta"), (11, "混凝土"), (12, "of it")], "id long, text string")
+    found = R.matches(R.inverted_index(docs, {"body": F.col("text")}), R.query_terms(asked, "id", "text"), {"body": 1.0})
+    got = sorted((r.query_id, r.doc_id, r.matched, r.asked) for r in found.collect())
+    assert got == [(10, 1, 4, 4), (10, 2, 3, 4), (11, 3, 2, 2), (12, 3, 2, 2)]
