@@ -22,8 +22,5 @@ def oracle_sql() -> dict:
     return {
         "op1_warc_revisits": warc.OP1_SQL,
         "op3_url_rules": url_rules.OP3_SQL,
-        "op5_quality_rules": quality_rules.op5_quality_rules,
-        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
-        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_block_topk": topk.OP8_SQL,
     }

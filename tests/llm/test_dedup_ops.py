@@ -140,11 +140,6 @@ def test_line_dedup(spark):
     got = line_dedup.remove_repeated_lines(docs.withColumn("n_lines", F.lit("clash")))
     by_id = {(r.doc_id, r.n_lines): r.text for r in got.collect()}
 
-    def sim(words):
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], ">u8")
-        votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int)
-        return int.from_bytes(np.packbits(2 * votes > len(words)).tobytes(), "big") & (1 << 63) - 1
-
     def edits(a, b):
         before = list(range(len(b) + 1))
         for i, x in enumerate(a):
@@ -157,10 +152,10 @@ def test_line_dedup(spark):
     places = defaultdict(list)
     for k, (_, t) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
-            if norm := " ".join(re.sub("[!-/:-@[-`{-~]", "", line.lower()).split(" ")).split():
+            if norm := re.sub(r"(?<=[^ ])[.,;:!?](?=[ ]|$)", "", re.sub("[\t\r\x0b\x0c]", " ", line.lower())).split():
                 places[tuple(norm)].append((k, n))
     norms = list(places)
-    prints, root = np.array([sim(x) for x in norms], np.uint64), list(range(len(norms)))
+    bags, root = [Counter(x) for x in norms], list(range(len(norms)))
 
     def find(x):
         while root[x] != x:
@@ -169,8 +164,11 @@ def test_line_dedup(spark):
 
     links = 0
     for i in range(len(norms)):
-        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 3).tolist():
-            if edits(norms[i], norms[j]) <= 0.2 * max(len(norms[i]), len(norms[j])) + 1e-9:
+        for j in range(i):
+            most = max(len(norms[i]), len(norms[j])) // 5
+            if abs(len(norms[i]) - len(norms[j])) > most or max(len(norms[i]), len(norms[j])) - (bags[i] & bags[j]).total() > most:
+                continue
+            if edits(norms[i], norms[j]) <= most:
                 root[find(i)] = find(j)
                 links += 1
     groups = defaultdict(list)
