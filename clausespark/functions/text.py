@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import unicodedata
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 BLOCK_TAGS = ["div", "p", "br", "table", "tr", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6"]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 SENTENCE_END = "。；！？.!?;"
 SUMMARY_END = "。；！？："
 LATEX = r"(?s)\$\$.*?\$\$|\$[^$\n]{1,200}\$|\\\(.*?\\\)|\\\[.*?\\\]"
 RECOMMENDED = {"GBT": "GB/T", "JTT": "JT/T", "JTGT": "JTG/T", "JGT": "JG/T", "CJT": "CJ/T", "JBT": "JB/T", "NYT": "NY/T", "DBT": "DB/T", "JGJT": "JGJ/T"}
 PREFIXES = [("JTGT", "公路工程"), ("JTG", "公路工程"), ("JTT", "交通运输"), ("JT", "交通运输"), ("JGT", "建筑工业"), ("JGJ", "建筑工程"), ("JG", "建筑工业"), ("CJT", "城镇建设"), ("CJ", "城镇建设"), ("JBT", "机械"), ("JB", "机械"), ("NYT", "农业"), ("NY", "农业"), ("GBT", ""), ("GB", ""), ("TB", "铁路"), ("MH", "民用航空"), ("YZ", "邮政"), ("DB", "")]
 CODE_PREFIXES = ["JTGT", "JTG", "JTT", "JT", "JGT", "JG", "JGJ", "CJT", "CJ", "JBT", "JB", "NYT", "NY", "GBT", "GB", "TB", "MH", "YZ", "DB", "DBT", "T", "Q", "CJJ", "GJB", "GBZ", "GBJ", "JJG", "JJF", "XB", "QC", "JGJT"]
-CJK = "\u4e00-\u9fff"
+CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+#: White space within a line.
+INLINE_SPACE = " \t\x0b\f\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TABLE_TO_CENTRE = r"(?i)<table(?![^>]*\balign=)(?![^>]*margin-left\s*:\s*auto)([^>]*)>"
+NOISE_WORDS = ["扫描件", "高清", "副本", "打印版", "电子版", "完整版", "无水印", "正版", "OCR"]
+TAIL_NOISE_WORDS = ["扫描件", "高清", "副本", "打印版", "电子版", "完整版", "无水印", "OCR"]
+DASHES = "-‐‑‒–—―⁃﹘﹣－"
+TITLE_EDGE = " 　.,，、。;；:：!！?？\\-—_·…"
+TITLE_VERSION = r"[（(]\s*\d{4}\s*(?:年版|版)?\s*[）)]$"
+STOP_WORDS = [
+    "的", "和", "是", "在", "了", "不", "与", "及", "或", "应", "其", "为", "等", "以", "中", "对", "按", "可", "须", "均", "时", "于", "并", "则",
+    "规定", "要求", "采用", "符合", "进行", "使用", "必须", "不得", "本",
+]
+UNKNOWN_SPEC, UNKNOWN_STATUS, UNKNOWN_NATURE, UNKNOWN_USAGE = "未知规范", "状态未标注", "性质未标注", "适用范围未标注"
 
 
 def text(c: Column | str) -> Column:
@@ -33,15 +49,36 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def unescape(c: Column | str) -> Column:
+    """Character references read, named (those of HTML 5) and numeric ones, in one pass; unknown names stay."""
+    reference = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+    t = text(c)
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # code points of the C1 controls stand for those of Windows-1252, bad ones for U+FFFD
+    odd = {i: bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0)}
+    odd_names = F.from_json(F.lit(json.dumps({str(k): v for k, v in odd.items() if v != "\ufffd"})), "map<string,string>")
+
+    def read(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9a-fA-F]+);?$", 1)
+        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.when(bad, "\ufffd").otherwise(F.coalesce(F.try_element_at(odd_names, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 65).otherwise(code)), 8, "0")), "UTF-32")))
+        return F.when(e.startswith("&#"), char).otherwise(F.coalesce(F.try_element_at(names, F.substring(e, F.lit(2), F.length(e))), e))
+
+    between = F.split(t, reference, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(reference), 0), read), F.array(F.lit("")))
+    return F.when(~F.contains(t, F.lit("&")), t).otherwise(F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+
+
 def strip_html(c: Column | str) -> Column:
-    """Text of markup: block tags end lines, other tags and comments vanish, common entities are read, blank lines go.
+    """Text of markup: block tags end lines, other tags and comments vanish, character references are read, blank lines go.
 
     Bodies of script and style stay, as only tags are handled.
     """
     t = F.regexp_replace(text(c), r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"</?[a-zA-Z!][^>]*>", "")
-    t = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)
+    t = unescape(t)
     t = F.regexp_replace(t, "[ \\t\u3000]+", " ")
     return F.array_join(F.filter(F.transform(lines(t), strip), lambda x: x != ""), "\n")
 
@@ -54,13 +91,13 @@ def plain_text(c: Column | str) -> Column:
 
 def normalize_cjk_spacing(c: Column | str) -> Column:
     """Without white space, but for line ends, between two ideographs."""
-    return F.regexp_replace(text(c), f"(?<=[{CJK}])[^\\S\\n]+(?=[{CJK}])", "")
+    return F.regexp_replace(text(c), f"(?<=[{CJK}])[{INLINE_SPACE}]+(?=[{CJK}])", "")
 
 
 def normalize_md(c: Column | str) -> Column:
     """A written-out \\n becomes <br>, and a table without alignment is centred; lines stay lines."""
     t = F.replace(text(c), F.lit("\\n"), F.lit("<br>"))
-    return F.regexp_replace(t, r"(?i)<table(?![^>]*\balign=)(?![^>]*margin-left\s*:\s*auto)([^>]*)>", '<table align="center"$1>')
+    return F.regexp_replace(t, TABLE_TO_CENTRE, '<table align="center"$1>')
 
 
 def tokenize(c: Column | str) -> Column:
@@ -140,7 +177,7 @@ def safe_summary(c: Column | str, limit: int = 200) -> Column:
 
 def build_meta(code: Column, title: Column, status: Column, clause_no: Column, usage: Column, nature: Column) -> Column:
     some = lambda c, other: F.when(F.trim(text(c)) == "", F.lit(other)).otherwise(F.trim(text(c)))
-    return F.concat(F.lit("【《"), some(code, "未知规范"), F.lit("》"), text(title), F.lit("｜"), some(status, "状态未标注"), F.lit("｜条文 "), some(clause_no, "?"), F.lit("｜性质："), some(nature, "性质未标注"), F.lit("｜适用范围："), some(usage, "适用范围未标注"), F.lit("】"))
+    return F.concat(F.lit("【《"), some(code, UNKNOWN_SPEC), F.lit("》"), text(title), F.lit("｜"), some(status, UNKNOWN_STATUS), F.lit("｜条文 "), some(clause_no, "?"), F.lit("｜性质："), some(nature, UNKNOWN_NATURE), F.lit("｜适用范围："), some(usage, UNKNOWN_USAGE), F.lit("】"))
 
 
 def normalize_spec_code(c: Column | str) -> Column:
@@ -180,28 +217,41 @@ def duplicate_code_key(c: Column | str) -> Column:
     return F.regexp_replace(F.upper(normalize_spec_code(c)), "[^0-9A-Z]", "")
 
 
+def _compatible(c: Column) -> Column:
+    """Compatibility forms folded (NFKC), which no built-in function does."""
+    return F.pandas_udf(_folded, StringType())(c)
+
+
+def _folded(t: pd.Series) -> pd.Series:
+    return t.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
 def duplicate_title_key(c: Column | str) -> Column:
-    """Full-width forms folded, lower case, no white space, and thrice no version bracket or edge punctuation."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    t = F.regexp_replace(F.lower(F.translate(text(c), wide, "".join(chr(0x21 + i) for i in range(94)))), "[\\s\u3000]+", "")
-    edge = "[ 　.,，、。;；:：!！?？\\-—_·…]+"
+    """Compatibility forms folded, lower case, no white space, and thrice no version bracket or edge punctuation."""
+    t = F.regexp_replace(F.lower(_compatible(text(c))), "[\\s\u00a0\u3000]+", "")
     for _ in range(3):
-        t = F.regexp_replace(F.regexp_replace(t, r"[(（]\d{4}年?版?[)）]$", ""), f"^{edge}|{edge}$", "")
+        t = F.regexp_replace(F.regexp_replace(t, TITLE_VERSION, ""), f"^[{TITLE_EDGE}]+|[{TITLE_EDGE}]+$", "")
     return t
 
 
 def parse_filename(name: Column | str) -> Column:
-    """(code, title, matched) of a file name like `GB/T 50010-2010 title.pdf`."""
-    raw = F.trim(text(name))
-    t = F.trim(F.when(raw.contains("."), F.regexp_extract(raw, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(raw))
-    t = F.translate(t, "（）／－—–　．", "()/--- .")
+    """(code, title, matched) of a file name like `GB/T 50010-2010 title.pdf`.
+
+    Noise words and ordinals before the code go, noise words and bare numbers in brackets behind the title.
+    """
+    raw = strip(text(name))
+    t = strip(F.when(raw.contains("."), F.regexp_extract(raw, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(raw))
+    wide = [chr(x + i) for x, n in ((0xFF10, 10), (0xFF21, 26), (0xFF41, 26)) for i in range(n)]
+    t = F.translate(t, "".join(wide) + "／＿\u3000" + DASHES, "".join(chr(ord(x) - 0xFEE0) for x in wide) + "/_ " + "-" * len(DASHES))
     for _ in range(5):
-        t = F.ltrim(F.regexp_replace(F.regexp_replace(t, "^(?:副本|扫描件|最新|正式版|送审稿|报批稿)[\\s\\-_]*", ""), r"^(?:\(\d{1,3}\)|\d{1,3}[、.)])\s*", ""))
+        t = F.regexp_replace(t, "(?i)^(?:" + "|".join(NOISE_WORDS) + r")[\s_\-]*", "")
+        t = F.ltrim(F.regexp_replace(t, r"^(?:\s*\d{1,3}\s*[.、)）](?!\d)\s*)+", ""))
     at = lambda i: F.regexp_extract(t, r"^([A-Za-z]{1,5})(/[A-Za-z]{1,4})?[\s\-_]*(\d{1,5}(?:\.\d+)?)[\s\-_]*(\d{4})?[\s_\-]*(.*)$", i)
     prefix, slash, number, year = F.upper(at(1)), at(2), at(3), at(4)
-    title = F.regexp_replace(at(5), r"^[\-\s_.]+|[\-\s_.]+$", "")
+    trimmed = lambda x: F.regexp_replace(x, r"^[\- _.]+|[\- _.]+$", "")
+    title = trimmed(at(5))
     for _ in range(5):
-        title = F.regexp_replace(F.regexp_replace(title, r"(?:\(\d+\)|副本|扫描件|高清|完整版)$", ""), r"^[\-\s_.]+|[\-\s_.]+$", "")
+        title = trimmed(F.regexp_replace(title, r"(?i)(?:[（(]\s*\d{1,3}\s*[）)]|" + "|".join(TAIL_NOISE_WORDS) + ")$", ""))
     ok = prefix.isin(*CODE_PREFIXES) & ~(prefix.isin("Q", "T") & (slash == "") & (F.length(number) < 2)) & ~title.rlike("^[/_-]") & ~((title == "") & (year == ""))
     code = normalize_spec_code(F.concat(prefix, slash, F.lit(" "), number, F.when(year != "", F.concat(F.lit("-"), year)).otherwise("")))
     return F.struct(F.when(ok, code).otherwise("").alias("code"), F.when(ok, title).otherwise("").alias("title"), ok.alias("matched"))

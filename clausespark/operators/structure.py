@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from clausespark.functions.text import CJK, lines as split_lines, plain_text
 
 # Fixed values that results depend on.
-COVER_WORDS = ["中华人民共和国", "发布", "实施", "批准部门", "主编单位", "出版社", "施行日期", "住房和城乡建设部", "行业标准", "国家标准", "备案号", "公告"]
-NOT_CLAUSES = ["前言", "目次", "引用标准名录", "本规范用词说明", "本标准用词说明", "条文说明", "附录"]
-CONTENTS = ["目次", "目录", "contents"]
+COVER_WORDS = ["中华人民共和国国家标准", "ICS", "中国标准出版社", "出版发行", "代替 GB", "代替 GB/T", "代替 JGJ", "第一版", "印刷", "定价", "书号", "版权专有"]
+STATUTORY_TITLES = ["前言", "目次", "Contents", "条文说明", "公告", "引用标准名录", "标准用词说明"]
+STATUTORY_ENDS = ["用词说明", "用词用语说明", "公告"]
+CONTENTS = ["目次", "Contents"]
+DOT_LEADER = r"[.．]{5,}|…{2,}\s*\d{1,4}\s*$"
 COMMENTARY = "条文说明"
 SENTENCE_END = "。；：！？.!?;"
 LEVELS = 6
@@ -55,7 +57,7 @@ def candidates(lines: DataFrame, needs: str = f"[{CJK}]") -> DataFrame:
     t = F.trim("text")
     marked, bare = F.regexp_extract(t, rf"^#+\s*({NUMBER})(?:\s+.*)?$", 1), F.regexp_extract(t, r"^(\d+(?:[.．]\s*[\dO]+)+)(?:\s+.*)?$", 1)
     tail = F.when(marked != "", F.regexp_extract(t, rf"^#+\s*{NUMBER}\s*(.*)$", 1)).otherwise(F.regexp_extract(t, r"^\d+(?:[.．]\s*[\dO]+)+\s*(.*)$", 1))
-    leader = t.rlike(r"\.{4,}|…{2,}")
+    leader = t.rlike(DOT_LEADER)
     boundary = F.col("before").isNull() | F.col("before").startswith("#") | F.col("before").rlike(f"[{SENTENCE_END}]$")
     bare_ok = (bare != "") & ~bare.startswith("0") & ~t.rlike(r"^\d{4}[.．]\d{1,2}([.．]\d{1,2})?(\s|$)") & ~leader & F.when(F.col("tail") == "", boundary).otherwise(F.col("tail").rlike(needs))
     c = lines.withColumns({"before": before, "tail": tail})
@@ -80,6 +82,13 @@ def accepted(found: DataFrame) -> DataFrame:
     return f.select("doc_id", "line", "text", "marked", "no", F.when(keep, F.col("tail")).alias("tail"), F.when(keep, F.col("level")).alias("level"), "commentary")
 
 
+def is_statutory(title: Column) -> Column:
+    """Whether a title is that of a block without clauses: a preface, contents, a notice, notes on wording and the like."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    ends = [t.endswith(x) for x in STATUTORY_ENDS]
+    return t.isin(*STATUTORY_TITLES) | t.startswith("前言") | F.contains(t, F.lit(COMMENTARY)) | ends[0] | ends[1] | ends[2]
+
+
 def looks_like_title(c: Column) -> Column:
     return (F.length(c) > 0) & (F.length(c) <= 20) & ~c.rlike(f"[{SENTENCE_END}]$")
 
@@ -115,20 +124,20 @@ def clause_table(lines: DataFrame, needs: str = f"[{CJK}]") -> DataFrame:
     untitled, and everything after the commentary mark.
     """
     f = accepted(candidates(lines, needs))
-    contents = F.lower(F.regexp_replace(F.trim("text"), r"^#+\s*", "")).isin(*CONTENTS)
+    contents = F.regexp_replace(F.trim("text"), r"^#+\s*", "").isin(*CONTENTS)
     titled = vote_titles(f.where("no is not null"))
     nodes = section_paths(titled).select("doc_id", "line", "titled", "path")
     w = Window.partitionBy("doc_id").orderBy("line")
     j = f.join(nodes, ["doc_id", "line"], "left")
     head = F.last(F.when(F.col("no").isNotNull() | contents, F.col("line")), True).over(w)
     j = j.withColumns({"head": head, "filter": contents & F.col("no").isNull()})
-    body = F.when(F.col("no").isNotNull(), F.when(~F.col("titled") & (F.col("tail") != ""), F.col("tail"))).when(~F.col("text").rlike(r"\.{4,}|…{2,}"), F.regexp_replace("text", r"^#+\s*", ""))
+    body = F.when(F.col("no").isNotNull(), F.when(~F.col("titled") & (F.col("tail") != ""), F.col("tail"))).when(~F.col("text").rlike(DOT_LEADER), F.regexp_replace("text", r"^#+\s*", ""))
     rows = F.array_sort(F.collect_list(F.when(F.trim(body) != "", F.struct("line", F.trim(body).alias("b")))))
     first = lambda c: F.max(F.when(F.col("line") == F.col("head"), F.col(c)))
     g = j.where("head is not null").groupBy("doc_id", "head").agg(*[first(c).alias(c) for c in ("no", "tail", "level", "titled", "path", "commentary", "filter")], F.array_join(F.transform(rows, lambda x: x["b"]), "\n").alias("content"))
     g = g.where(~F.col("filter")).where((F.col("content") != "") | ~F.col("titled"))
     title = F.when(F.col("titled"), F.col("tail")).otherwise("")
-    own = F.exists(F.array(*map(F.lit, NOT_CLAUSES)), lambda x: title.startswith(x))
+    own = is_statutory(title)
     gw = Window.partitionBy("doc_id").orderBy("head")
     g = g.withColumns({"own": own, "mood": F.count_if(F.col("titled")).over(gw)})
     inherited = F.bool_or("own").over(Window.partitionBy("doc_id", "mood"))

@@ -6,11 +6,13 @@ from clausespark.operators import retrieval as R
 from clausespark.plans.data import table
 from clausespark.plans.registry import query
 
+#: Rows of the keyword arm that are fused, a fixed value.
+KEYWORD_FETCH = 10_000
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 INDEX = f"""tokens AS (SELECT doc_id, 'body' AS field, unnest({TOK.format('text')}) AS token FROM documents UNION ALL SELECT doc_id, 'crumb', unnest({TOK.format("source || ' ' || lang")}) FROM documents),
 postings AS (SELECT doc_id, field, token, count(*) AS tf FROM tokens GROUP BY ALL),
 lens AS (SELECT doc_id, sum(tf) AS len FROM postings GROUP BY 1),
-terms AS (SELECT item_id AS query_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS term FROM (SELECT item_id, ([x FOR x IN {TOK.format('text')} IF length(x) >= 4])[1:3] AS t FROM benchmark)),
+terms AS (SELECT item_id AS query_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS term FROM (SELECT item_id, {TOK.format('text')} AS t FROM benchmark)),
 asked AS (SELECT query_id, count(DISTINCT term) AS asked FROM terms GROUP BY 1)"""
 
 
@@ -35,8 +37,7 @@ def _postings(spark, d):
 
 
 def _terms(spark, d):
-    # as the SQL has them: the first three tokens of four characters or more
-    return R.query_terms(table(spark, d, "benchmark"), "item_id", "text", 3, 4)
+    return R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
 
 
 def _found(spark, d, crumb=0.3):
@@ -59,13 +60,12 @@ def e2(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").where(F.col("lang").isin("en", "de") & (F.col("toxic") == 0)).select("doc_id", "lang", "toxic")
 
 
-@query("e3_replacing_spec", """WITH s AS (SELECT s_suppkey AS id, s_name AS code, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 END AS replaced_by FROM supplier)
-SELECT c_custkey, s.code, r.code AS replaced_by_code FROM customer JOIN s ON c_nationkey = s_nationkey LEFT JOIN s r ON r.id = s.replaced_by""")
+@query("e3_replacing_spec", """WITH s AS (SELECT s_suppkey AS id, s_name AS code, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 END AS replaced_by FROM supplier)
+SELECT l_orderkey, l_linenumber, s.code, r.code AS replaced_by_code FROM lineitem JOIN s ON l_suppkey = s.id LEFT JOIN s r ON r.id = s.replaced_by""")
 def e3(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("code"), "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") + 1).alias("replaced_by"))
-    r = s.select(F.col("id").alias("replaced_by"), F.col("code").alias("replaced_by_code"))
-    c = table(spark, d, "customer")
-    return c.join(s, c.c_nationkey == s.s_nationkey).join(r, "replaced_by", "left").select("c_custkey", "code", "replaced_by_code")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("spec_id"), F.col("s_name").alias("code"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") + 1).alias("replaced_by"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("spec_id"))
+    return R.with_specs(lines, s).select("l_orderkey", "l_linenumber", "code", "replaced_by_code")
 
 
 @query("e4_inverted_index", f"WITH {INDEX} SELECT doc_id, field, token, tf FROM postings")
@@ -151,14 +151,14 @@ def e14(spark, d):
 
 
 FUSED = f"""WITH {INDEX}, {BOTH}, {FALLBACK}, {VECTORS},
-a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS kr FROM kept QUALIFY kr <= 100),
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS kr FROM kept QUALIFY kr <= 10000),
 b AS (SELECT query_id, vec_id AS doc_id, rank AS vr FROM nearest WHERE rank <= 100 AND distance < 2.0),
 f AS (SELECT query_id, doc_id, kr, vr, round(coalesce(1 / (60.0 + kr), 0) + coalesce(1 / (60.0 + vr), 0), 9) AS score, CASE WHEN kr IS NOT NULL AND vr IS NOT NULL THEN 'hybrid' WHEN kr IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS tag FROM a FULL JOIN b USING (query_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr NULLS LAST, vr NULLS LAST, doc_id) AS rank FROM f)"""
 
 
 def _fused(spark, d):
-    a = R.ranked(R.with_fallback(_found(spark, d)), [F.desc("score"), "doc_id"], 100)
+    a = R.ranked(R.with_fallback(_found(spark, d)), [F.desc("score"), "doc_id"], KEYWORD_FETCH)
     b = _nearest(spark, d, 100).where("distance < 2.0").withColumnRenamed("vec_id", "doc_id")
     return R.fuse(a, b)
 

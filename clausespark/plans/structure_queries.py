@@ -24,7 +24,7 @@ def md_lines(spark, d):
 MD = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), r2 AS (SELECT doc_id, line, trim(s0) AS s, line // 6 + 1 AS no FROM raw),
 md AS (SELECT doc_id, line, trim(CASE WHEN line % 6 = 0 THEN '# ' || no || ' ' || trim(s[1:15]) WHEN line % 6 = 1 THEN no || '.1 ' || trim(s[1:30]) WHEN line % 6 = 3 THEN no || '.2 ' || trim(s[1:12]) WHEN line % 6 = 4 THEN no || '.2.1 ' || s WHEN line % 12 = 5 THEN '# 1 ' || trim(s[1:10]) ELSE s END) AS text FROM r2),
 b AS (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM md),
-x AS (SELECT *, regexp_extract(text, '^#+\s*(\d+(?:\.\d+)*)(?:\s+.*)?$', 1) AS mk, regexp_extract(text, '^(\d+(?:\.\d+)+)(?:\s+.*)?$', 1) AS br, regexp_extract(text, '^(?:#+\s*)?\d+(?:\.\d+)*\s*(.*)$', 1) AS tail, regexp_matches(text, '\.{4,}|…{2,}') AS leader FROM b),
+x AS (SELECT *, regexp_extract(text, '^#+\s*(\d+(?:\.\d+)*)(?:\s+.*)?$', 1) AS mk, regexp_extract(text, '^(\d+(?:\.\d+)+)(?:\s+.*)?$', 1) AS br, regexp_extract(text, '^(?:#+\s*)?\d+(?:\.\d+)*\s*(.*)$', 1) AS tail, regexp_matches(text, '[.．]{5,}|…{2,}\s*\d{1,4}\s*$') AS leader FROM b),
 cand AS (SELECT doc_id, line, text, mk <> '' AS marked, tail, CASE WHEN mk <> '' AND NOT leader THEN mk WHEN br <> '' AND br[1] <> '0' AND NOT regexp_matches(text, '^\d{4}\.\d{1,2}(\.\d{1,2})?(\s|$)') AND NOT leader AND CASE WHEN tail = '' THEN before IS NULL OR before[1] = '#' OR regexp_matches(before, '[。；：！？.!?;]$') ELSE regexp_matches(tail, '\p{L}') END THEN br END AS no FROM x),
 g AS (SELECT *, CASE WHEN marked AND regexp_matches(no, '^\d+$') THEN CAST(no AS BIGINT) END AS whole FROM cand),
 g2 AS (SELECT * REPLACE (CASE WHEN whole IS NULL OR whole > coalesce(max(whole) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN no END AS no) FROM g),
@@ -35,7 +35,7 @@ named AS (SELECT *, trim(no || CASE WHEN titled THEN ' ' || tail ELSE '' END) AS
 st AS (SELECT *, max(CASE WHEN level = 1 THEN (line, name) END) OVER w AS a1, max(CASE WHEN level = 2 THEN (line, name) END) OVER w AS a2 FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 path AS (SELECT *, concat_ws(' > ', CASE WHEN level > 1 THEN a1[2] END, CASE WHEN level > 2 AND a2[1] > coalesce(a1[1], -1) THEN a2[2] END) AS path FROM st),
 h AS (SELECT a.doc_id, a.line, a.text, a.no, a.tail, p.titled, p.path, p.level, last_value(CASE WHEN a.no IS NOT NULL THEN a.line END IGNORE NULLS) OVER (PARTITION BY a.doc_id ORDER BY a.line) AS head FROM acc a LEFT JOIN path p USING (doc_id, line)),
-body AS (SELECT *, trim(CASE WHEN no IS NOT NULL THEN CASE WHEN NOT titled AND tail <> '' THEN tail END WHEN NOT regexp_matches(text, '\.{4,}|…{2,}') THEN regexp_replace(text, '^#+\s*', '') END) AS b FROM h WHERE head IS NOT NULL),
+body AS (SELECT *, trim(CASE WHEN no IS NOT NULL THEN CASE WHEN NOT titled AND tail <> '' THEN tail END WHEN NOT regexp_matches(text, '[.．]{5,}|…{2,}\s*\d{1,4}\s*$') THEN regexp_replace(text, '^#+\s*', '') END) AS b FROM h WHERE head IS NOT NULL),
 clause AS (SELECT doc_id, head AS line, max(no) FILTER (line = head) AS no, max(CASE WHEN titled THEN tail ELSE '' END) FILTER (line = head) AS title, max(level) FILTER (line = head) AS level, max(path) FILTER (line = head) AS path, bool_or(titled) FILTER (line = head) AS titled, coalesce(string_agg(b, chr(10) ORDER BY line) FILTER (b <> ''), '') AS content FROM body GROUP BY doc_id, head),
 clauses AS (SELECT * FROM clause WHERE content <> '' OR NOT titled)"""
 

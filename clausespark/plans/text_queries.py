@@ -7,14 +7,17 @@ from clausespark.plans.data import table
 from clausespark.plans.registry import query
 
 
+#: Character references of the data; &amp; comes last.
+ENTITIES = [("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&quot;", '"'), ("&amp;", "&")]
+
+
 def _sql_strip(x: str) -> str:
     tags = "|".join(T.BLOCK_TAGS)
     out = f"regexp_replace(coalesce({x}, ''), '(?s)<!--.*?-->', '', 'g')"
     out = f"regexp_replace({out}, '(?i)</?(?:{tags})(?:\\s[^>]*)?/?>', chr(10), 'g')"
     out = f"regexp_replace({out}, '</?[a-zA-Z!][^>]*>', '', 'g')"
-    for a, b in T.ENTITIES:
-        quoted = b.replace("'", "''")
-        out = f"replace({out}, '{a}', '{quoted}')"
+    for a, b in ENTITIES:
+        out = f"replace({out}, '{a}', '{b}')"
     out = f"regexp_replace({out}, '[ \\t\u3000]+', ' ', 'g')"
     edge = "'^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$', '', 'g'"
     return f"array_to_string([regexp_replace(l, {edge}) FOR l IN string_split({out}, chr(10)) IF regexp_replace(l, {edge}) <> ''], chr(10))"
@@ -22,8 +25,7 @@ def _sql_strip(x: str) -> str:
 
 def _sql_plain(x: str) -> str:
     spaced = f"regexp_replace(coalesce({x}, ''), '(?i)</?t[dh][^>]*>', ' ', 'g')"
-    latex = r"(?s)\$\$.*?\$\$|\$[^$\n]{1,200}\$|\\\(.*?\\\)|\\\[.*?\\\]"
-    return _sql_strip(f"regexp_replace({_sql_strip(spaced)}, '{latex}', ' ', 'g')")
+    return _sql_strip(f"regexp_replace({_sql_strip(spaced)}, '{T.LATEX}', ' ', 'g')")
 
 
 @query("b1_strip_html", f"SELECT page_id, {_sql_strip('html')} AS body FROM pages")
@@ -36,9 +38,11 @@ def b2(spark, d):
     return table(spark, d, "pages").select("page_id", T.plain_text("html").alias("body"))
 
 
-@query("b3_cjk_spacing", "SELECT doc_id, text AS folded FROM documents")
+# the texts have no ideographs: every e becomes one, with a space on both sides
+@query("b3_cjk_spacing", "SELECT doc_id, replace(regexp_replace(replace(text, 'e', ' \u4e2d\u3400 '), '\u3400[ \t]+\u4e2d', '\u3400\u4e2d', 'g'), 'x', 'x') AS folded FROM documents")
 def b3(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_cjk_spacing("text").alias("folded"))
+    spaced = F.replace("text", F.lit("e"), F.lit(" \u4e2d\u3400 "))
+    return table(spark, d, "documents").select("doc_id", T.normalize_cjk_spacing(spaced).alias("folded"))
 
 
 @query("b5_normalize_md", r"""SELECT page_id, regexp_replace(replace(html, '\n', '<br>'), '(?i)<table(\s[^>]*)?>', '<table align="center"\1>', 'g') AS md FROM pages WHERE NOT regexp_matches(html, '(?i)<table[^>]*(align=|margin-left)')
@@ -98,7 +102,7 @@ def b13(spark, d):
     return table(spark, d, "documents").select("doc_id", T.build_meta(F.col("source"), F.col("lang"), none, F.col("doc_id").cast("string"), F.lit(" "), F.col("lang")).alias("meta"))
 
 
-KEYWORDS_SQL = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS pos FROM documents),
+KEYWORDS_SQL = rf"""WITH p AS (SELECT doc_id, regexp_extract_all(lower({_sql_plain('text')}), '[\p{{L}}\p{{N}}]+') AS x FROM documents), t AS (SELECT doc_id, unnest(x) AS token, generate_subscripts(x, 1) AS pos FROM p),
 c AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first FROM t WHERE length(token) >= 2 AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY ALL)
 SELECT doc_id, token, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS INTEGER) AS rank FROM c QUALIFY rank <= 5"""
 
@@ -130,7 +134,7 @@ def b16(spark, d):
 
 @query("b17_filename", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'GB/T ' || p_partkey % 90000 || '-2010' ELSE '' END AS code, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS title, p_partkey % 2 = 0 AS matched FROM part""")
 def b17(spark, d):
-    good = F.concat(F.lit("副本 （1）GBT"), (F.col("p_partkey") % 90000).cast("string"), F.lit("－2010 "), F.col("p_name"), F.lit("(2)副本.pdf"))
+    good = F.concat(F.lit("扫描件_1. GBT"), (F.col("p_partkey") % 90000).cast("string"), F.lit("‐2010 "), F.col("p_name"), F.lit("(2)电子版.pdf"))
     bad = F.concat(F.lit("T"), (F.col("p_partkey") % 10).cast("string"), F.lit(" "), F.col("p_name"), F.lit(".pdf"))
     parsed = T.parse_filename(F.when(F.col("p_partkey") % 2 == 0, good).otherwise(bad))
     return table(spark, d, "part").select("p_partkey", parsed.alias("x")).select("p_partkey", "x.code", "x.title", "x.matched")
