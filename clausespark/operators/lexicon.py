@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark.functions.text import split_values
+from clausespark.tables import connected_components
 
 EQUIVALENT = ("synonym", "alias")
 
@@ -38,19 +39,11 @@ def first_conflict(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame) -> DataFrame:
-    """(id, cluster): connected components of equivalence rows sharing words, only where one is shared.
-
-    Labels spread through words until none changes; each round is written to the folder of spark.checkpoint.dir.
-    """
-    w = words(rows.where(F.col("kind").isin(*EQUIVALENT))).join(conflicting_words(rows), "word", "left_semi").select("id", "word")
-    label = w.select("id", F.col("id").alias("cluster")).distinct()
-    while True:
-        by_word = w.join(label, "id").groupBy("word").agg(F.min("cluster").alias("least"))
-        spread = w.join(by_word, "word").groupBy("id").agg(F.min("least").alias("least"))
-        new = label.join(spread, "id").select("id", F.least("cluster", "least").alias("cluster"), (F.col("least") < F.col("cluster")).alias("moved")).checkpoint()
-        label = new.select("id", "cluster")
-        if not new.where("moved").limit(1).count():
-            return label
+    """(id, cluster): connected components of equivalence rows sharing words, only where one is shared."""
+    w = words(rows.where(F.col("kind").isin(*EQUIVALENT)))
+    shared = w.groupBy("word").agg(F.min("id").alias("least"), F.count_distinct("id").alias("n")).where("n > 1")
+    found = connected_components(w.join(shared, "word").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    return found.withColumnsRenamed({"node": "id", "component": "cluster"})
 
 
 def cluster_actions(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -69,6 +62,32 @@ def resolve_clusters(rows: DataFrame, actions: DataFrame, found: DataFrame) -> D
     return j.where("keeper is null or keeper = id").select("id", "kind", "canonical", F.coalesce("merged", "variants").alias("variants"), "distinguish", "is_active")
 
 
+def resolve_decided(rows: DataFrame, found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """rows after decisions (word, action, canonical, groups) on the clusters that hold the word; other clusters are merged.
+
+    merge: one row, its canonical as decided. split: one row for each of groups (canonical, variants), in the order of
+    ids; rows beyond the groups go. drop: the row of that canonical that holds the word goes, the others stay. A cluster
+    with several decisions takes that of the smallest word.
+    """
+    of = words(rows).join(found, "id").join(decisions, "word")
+    chosen = of.groupBy("cluster").agg(F.min(F.struct("word", "action", F.col("canonical").alias("wanted"), "groups")).alias("d")).select("cluster", "d.*")
+    left = found.join(chosen, "cluster", "left_anti")
+    plain = resolve_clusters(rows, cluster_actions(rows, left), left)
+    mine = rows.join(found, "id").join(chosen, "cluster")
+    dropped = mine.where("action = 'drop' and canonical = wanted").where(F.exists(F.concat(F.array("canonical"), split_values("variants")), lambda w: w == F.col("word"))).select("id")
+    every = F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("canonical"), split_values("variants")))))
+    keeper = F.min_by("id", F.struct((F.col("kind") != "alias").cast("int"), "id"))
+    merged = mine.where("action = 'merge'").groupBy("cluster", "wanted").agg(keeper.alias("id"), every.alias("all"), F.collect_set("id").alias("ids"))
+    into = merged.select("id", F.col("wanted").alias("new"), F.array_join(F.array_sort(F.array_remove("all", F.col("wanted"))), ",").alias("more"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+    parts = mine.where("action = 'split'").withColumn("g", F.get("groups", place - 1)).select("id", F.col("g.canonical").alias("new"), F.col("g.variants").alias("more"))
+    changed = into.union(parts)
+    hit = mine.where("action in ('merge', 'split')").select("id")
+    out = plain.join(dropped, "id", "left_anti").join(changed, "id", "left").join(hit.withColumn("hit", F.lit(True)), "id", "left")
+    out = out.where("hit is null or new is not null")
+    return out.select("id", "kind", F.coalesce("new", "canonical").alias("canonical"), F.coalesce("more", "variants").alias("variants"), "distinguish", "is_active")
+
+
 def replacements(groups: DataFrame) -> DataFrame:
     """(variant, canonical) of equivalence rows, one canonical for each variant, the first row's."""
     v = groups.where(F.col("kind").isin(*EQUIVALENT)).select("id", "canonical", F.explode(split_values("variants")).alias("variant"))
@@ -157,3 +176,23 @@ def edit(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """rows after edits (id, action): toggle turns a row on or off, delete takes it out."""
     j = rows.join(edits.select("id", "action"), "id", "left")
     return j.where("action is null or action <> 'delete'").withColumn("is_active", F.when(F.col("action") == "toggle", 1 - F.col("is_active")).otherwise(F.col("is_active"))).drop("action")
+
+
+def change(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows after creates and edits, (request, error) of those refused); wanted has request, id (null: create) and a row's columns.
+
+    Refused are invalid rows, a canonical that another row of the same kind has, and words that another equivalence row
+    owns. A confusable row that is there already in full is left out. New rows have a null id and are active. Requests
+    are judged against rows alone, not against each other.
+    """
+    w = wanted.withColumn("error", validation_error())
+    taken = rows.select(F.col("id").alias("other"), "kind", "canonical")
+    clash = w.join(taken, ["kind", "canonical"]).where(~F.col("other").eqNullSafe(F.col("id")) & F.col("kind").isin(*EQUIVALENT)).select("request").distinct().withColumn("taken", F.lit("canonical taken"))
+    asked = w.where(F.col("kind").isin(*EQUIVALENT)).select("request", F.col("id").alias("exclude"), F.explode(F.concat(F.array("canonical"), split_values("variants"))).alias("word"))
+    owned = first_conflict(rows, asked).select("request", F.concat(F.lit("word taken: "), "word").alias("owned"))
+    w = w.join(clash, "request", "left").join(owned, "request", "left").withColumn("error", F.coalesce("error", "taken", "owned")).drop("taken", "owned")
+    same = ["kind", "canonical", "variants", "distinguish"]
+    ok = w.where("error is null").join(rows.where("kind = 'confusable'").select(*same), same, "left_anti")
+    edits = ok.where("id is not null").select("id", *[F.col(c).alias(f"new_{c}") for c in same])
+    out = rows.join(edits, "id", "left").select("id", *[F.when(F.col("new_kind").isNotNull(), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in same], "is_active")
+    return out.unionByName(ok.where("id is null").select("id", *same, F.lit(1).alias("is_active"))), w.where("error is not null").select("request", "error")

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from clausespark.operators.retrieval import keywords
 
 # Fixed values that results depend on.
 THRESHOLDS = {"dim1": 0.3, "dim2": 0.5, "dim3": 0.5, "dim4": 0.6, "dim5": 0.7, "dim6": 0.6}
 ADOPT, TOP_WORDS = 0.7, 3
 
 
+def _covered(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    """The characters of each text that matches of its pattern take up; 0 for a bad pattern."""
+    known: dict = {}
+
+    def one(t, p):
+        if t is None or p is None:
+            return 0
+        if p not in known:
+            try:
+                known[p] = re.compile(p)
+            except re.error:
+                known[p] = None
+        return sum(m.end() - m.start() for m in known[p].finditer(t)) if known[p] else 0
+
+    return pd.Series([one(t, p) for t, p in zip(texts, patterns, strict=True)], dtype="int64")
+
+
 def rule_score(text: Column, pattern: Column, kind: Column, priority: Column) -> Column:
     """What a rule scores on a text: by occurrences (keyword), covered share (regex) or equality (exact)."""
     boost = 1 + 0.1 * priority
     found = F.when(F.length(pattern) > 0, ((F.length(text) - F.length(F.replace(text, pattern, F.lit("")))) / F.length(pattern)).cast("int")).otherwise(0)
     keyword = F.when(found > 0, F.least(F.lit(1.0), 0.3 + found * 0.15) * boost).otherwise(0.0)
-    covered = F.aggregate(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)), F.lit(0), lambda a, x: a + x)
+    # Spark's own functions fail on a bad pattern, which is to score nothing
+    covered = F.pandas_udf(_covered, LongType())(F.when(kind == "regex", text), F.when(kind == "regex", pattern))
     share = F.least(F.lit(1.0), covered / F.greatest(F.length(text), F.lit(1)) * 2) * boost
     return F.when(kind == "exact", F.when(pattern == F.trim(text), boost).otherwise(0.0)).when(kind == "regex", share).otherwise(keyword)
 
@@ -23,9 +47,11 @@ def rule_score(text: Column, pattern: Column, kind: Column, priority: Column) ->
 def scores(clauses: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rule_id, dimension, score, ...) of every rule on every clause; the rules' size decides how Spark joins them."""
     r = rules.where("is_active = 1")
-    hit = (F.col("match_type") != "keyword") | F.contains(F.col("content"), F.col("pattern"))
-    j = clauses.join(r, hit)
-    return j.withColumn("score", rule_score(F.col("content"), F.col("pattern"), F.col("match_type"), F.col("priority"))).where("score > 0")
+    score = lambda j, kind: j.withColumn("score", rule_score(F.col("content"), F.col("pattern"), F.lit(kind), F.col("priority"))).where("score > 0")
+    word = score(clauses.join(r.where("match_type not in ('regex', 'exact')"), F.contains(F.col("content"), F.col("pattern"))), "keyword")
+    regex = score(clauses.join(r.where("match_type = 'regex'"), F.length("content") >= 0), "regex")
+    exact = score(clauses.join(r.where("match_type = 'exact'"), F.trim("content") == F.col("pattern")), "exact")
+    return word.union(regex).union(exact)
 
 
 def classify(clauses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -91,6 +117,23 @@ def adjudicate(results: DataFrame, keys: DataFrame, states: DataFrame) -> DataFr
     return j.select("clause_id", "dimension", "ai_label", outcome.alias("outcome"))
 
 
+def adjudicate_batch(results: DataFrame, contents: DataFrame, pending: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, new pending rows, bumps) of results (clause_id, dimension, ai_label, ai_confidence) on contents (clause_id, content).
+
+    The TOP_WORDS keywords of a sure result's text are looked up: unknown ones become pending words, approved ones let the
+    label be adopted and are bumped. A sure result without words is adopted; the rest goes to review.
+    """
+    sure = results.where(F.col("ai_confidence") >= ADOPT).where("dimension <> ''")
+    words = keywords(contents.join(sure, "clause_id", "left_semi"), "clause_id", "content", TOP_WORDS).select("clause_id", F.col("token").alias("pattern"))
+    keys = sure.select("clause_id", "dimension", F.col("ai_label").alias("label")).join(words, "clause_id").distinct()
+    states = key_states(keys.select("dimension", "pattern", "label").distinct(), pending, rules)
+    known = keys.join(states, ["dimension", "pattern", "label"])
+    outcomes = adjudicate(results.withColumn("ai_confidence", F.when(F.col("dimension") == "", 0.0).otherwise(F.col("ai_confidence"))), keys, states)
+    fresh = insert_pending(known.where("state = 'none'").select("clause_id", "dimension", "pattern", "label"), pending)
+    adopted = known.where("state = 'approved'").join(outcomes.where("outcome = 'auto_adopted'"), ["clause_id", "dimension"], "left_semi")
+    return outcomes, fresh, adopted.select("dimension", "pattern", "label", F.lit(False).alias("human"))
+
+
 def decide_words(pending: DataFrame, chosen: DataFrame, action: str) -> DataFrame:
     """(id, status): pending rows after approving or rejecting the keys of the chosen ids.
 
@@ -279,3 +322,25 @@ def create_rules(rules: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     """New rules with trimmed patterns and blank labels null, and those refused as their (dimension, pattern) is there."""
     n = new.withColumns({"pattern": F.trim("pattern"), "label": F.nullif(F.trim("label"), F.lit("")), "is_active": F.lit(1)})
     return n.join(rules, ["dimension", "pattern"], "left_anti"), n.join(rules, ["dimension", "pattern"], "left_semi")
+
+
+def update_rules(rules: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rules after updates (id, dimension, pattern, label, priority, threshold), and those refused as another rule has their key.
+
+    Patterns are trimmed and blank labels null. Updates are judged against rules as they were.
+    """
+    w = wanted.withColumns({"pattern": F.trim("pattern"), "label": F.nullif(F.trim("label"), F.lit(""))})
+    taken = rules.select(F.col("id").alias("other"), "dimension", "pattern")
+    refused = w.join(taken, ["dimension", "pattern"]).where("other <> id").select("id").distinct()
+    changed = w.join(refused, "id", "left_anti").select("id", *[F.col(c).alias(f"new_{c}") for c in ("dimension", "pattern", "label", "priority", "threshold")], F.lit(True).alias("changed"))
+    j = rules.join(changed, "id", "left")
+    new = {c: F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("dimension", "pattern", "label", "priority", "threshold")}
+    return j.withColumns(new).select(*rules.columns), w.join(refused, "id", "left_semi")
+
+
+def switch_edits(rules: DataFrame, edits: DataFrame) -> DataFrame:
+    """rules after edits (id, action): toggle (active), lock (null counts as unlocked) and delete."""
+    j = rules.join(edits.select("id", "action"), "id", "left").where("action is null or action <> 'delete'")
+    active = F.when(F.col("action") == "toggle", 1 - F.col("is_active")).otherwise(F.col("is_active"))
+    locked = F.when(F.col("action") == "lock", 1 - F.coalesce("locked", F.lit(0))).otherwise(F.col("locked"))
+    return j.withColumns({"is_active": active, "locked": locked}).select(*rules.columns)

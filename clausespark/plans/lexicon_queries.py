@@ -126,3 +126,37 @@ def d13(spark, d):
     rows = lexicon(spark, d)
     edits = rows.select("id", F.when(F.col("id") % 3 == 0, "toggle").when(F.col("id") % 5 == 4, "delete").alias("action")).where("action is not null")
     return L.edit(rows, edits).select("id", "is_active")
+
+
+@query("d5_decided", """WITH b AS (SELECT p_partkey // 4 AS g, p_partkey AS id FROM part), m AS (SELECT g, min(id) AS k, max(id) AS z FROM b GROUP BY g HAVING count(*) = 4)
+SELECT k AS id, 's' || g AS canonical, 'w' || k || ',w' || k + 1 || ',w' || k + 2 || ',w' || z AS variants FROM m WHERE g % 4 = 0
+UNION ALL SELECT id, CASE WHEN id = k THEN 'w' || k ELSE 'w' || id || 'x' END, CASE WHEN id = k THEN 's' || g ELSE 'y' || g END FROM m JOIN b USING (g) WHERE g % 4 = 1 AND id <= k + 1
+UNION ALL SELECT id, 'w' || id, 's' || g FROM m JOIN b USING (g) WHERE g % 4 = 2 AND id <> k + 1
+UNION ALL SELECT k, 'w' || k, 's' || g || ',w' || k + 1 || ',w' || k + 2 || ',w' || z FROM m WHERE g % 4 = 3""")
+def d5b(spark, d):
+    k, s = F.col("p_partkey"), lambda c: c.cast("string")
+    p = table(spark, d, "part").select(k.alias("id"), F.expr("p_partkey div 4").alias("g"))
+    m = p.groupBy("g").agg(F.min("id").alias("k"), F.count("*").alias("n")).where("n = 4")
+    rows = p.join(m, "g").select("id", F.lit("synonym").alias("kind"), F.concat(F.lit("w"), s(F.col("id"))).alias("canonical"), F.concat(F.lit("s"), s(F.col("g"))).alias("variants"), F.lit("").alias("distinguish"), F.lit(1).alias("is_active"))
+    w = lambda x: F.concat(F.lit("w"), s(x))
+    parts = F.array(F.struct(w(F.col("k")).alias("canonical"), F.concat(F.lit("s"), s(F.col("g"))).alias("variants")), F.struct(F.concat(w(F.col("k") + 1), F.lit("x")).alias("canonical"), F.concat(F.lit("y"), s(F.col("g"))).alias("variants")))
+    action = F.when(F.col("g") % 4 == 0, "merge").when(F.col("g") % 4 == 1, "split").otherwise("drop")
+    canonical = F.when(F.col("g") % 4 == 0, F.concat(F.lit("s"), s(F.col("g")))).when(F.col("g") % 4 == 2, w(F.col("k") + 1))
+    decisions = m.where("g % 4 <> 3").select(F.concat(F.lit("s"), s(F.col("g"))).alias("word"), action.alias("action"), canonical.alias("canonical"), parts.alias("groups"))
+    return L.resolve_decided(rows, L.clusters(rows), decisions).select("id", "canonical", "variants")
+
+
+@query("d13_change", """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'confusable' ELSE 'synonym' END AS kind, 'w' || p_partkey AS canonical, 'v' || p_partkey AS variants, 'd' AS distinguish FROM part),
+w AS (SELECT id AS request, CASE WHEN id % 2 = 0 THEN id END AS id, kind, CASE WHEN id % 4 = 1 THEN 'n' || id ELSE canonical END AS canonical, CASE WHEN id % 8 = 4 THEN 'v' || id + 1 WHEN id % 4 = 1 THEN 'm' || id ELSE variants END AS variants, CASE WHEN id % 10 = 0 THEN '' ELSE 'd' END AS distinguish FROM r),
+e AS (SELECT w.*, CASE WHEN kind = 'confusable' AND distinguish = '' THEN 'explanation' WHEN kind = 'synonym' AND w.id IS NULL AND EXISTS (SELECT 1 FROM r WHERE r.kind = w.kind AND r.canonical = w.canonical) THEN 'canonical taken'
+WHEN kind = 'synonym' THEN (SELECT 'word taken: ' || min(x) FROM r JOIN (VALUES (w.canonical), (w.variants)) t(x) ON r.kind = 'synonym' AND (r.canonical = x OR r.variants = x) WHERE w.id IS NULL OR r.id <> w.id) END AS error FROM w)
+SELECT request, error FROM e WHERE error IS NOT NULL""")
+def d13b(spark, d):
+    k, s = F.col("p_partkey"), lambda c: c.cast("string")
+    p = table(spark, d, "part")
+    kind = F.when(k % 3 == 0, "confusable").otherwise("synonym").alias("kind")
+    named = lambda x, c=k: F.concat(F.lit(x), s(c))
+    rows = p.select(k.alias("id"), kind, named("w").alias("canonical"), named("v").alias("variants"), F.lit("d").alias("distinguish"), F.lit(1).alias("is_active"))
+    variants = F.when(k % 8 == 4, named("v", k + 1)).when(k % 4 == 1, named("m")).otherwise(named("v"))
+    wanted = p.select(k.alias("request"), F.when(k % 2 == 0, k).alias("id"), kind, F.when(k % 4 == 1, named("n")).otherwise(named("w")).alias("canonical"), variants.alias("variants"), F.when(k % 10 == 0, "").otherwise("d").alias("distinguish"))
+    return L.change(rows, wanted)[1]

@@ -294,9 +294,9 @@ def f31(spark, d):
     return R.resolve_duplicate_rules(rules(spark, d))
 
 
-@query("f32_orphan_labels", ALL + " SELECT clause_id, dimension, ai_label AS label FROM queue WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE is_active = 1 AND r.dimension = queue.dimension AND replace(coalesce(r.label, r.pattern), 'L', 'A') = ai_label AND r.id % 9 = 0)")
+@query("f32_orphan_labels", ALL + " SELECT clause_id, dimension, ai_label AS label FROM queue WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE is_active = 1 AND r.dimension = queue.dimension AND replace(coalesce(r.label, r.pattern), 'L', 'A') = ai_label AND coalesce(r.locked, 0) = 1)")
 def f32(spark, d):
-    r = rules(spark, d).where("id % 9 = 0").withColumns({"label": F.replace("label", F.lit("L"), F.lit("A")), "pattern": F.replace("pattern", F.lit("L"), F.lit("A"))})
+    r = rules(spark, d).where("locked = 1").withColumns({"label": F.replace("label", F.lit("L"), F.lit("A")), "pattern": F.replace("pattern", F.lit("L"), F.lit("A"))})
     return R.orphan_labels(queue(spark, d).withColumnRenamed("ai_label", "label"), r)
 
 
@@ -332,3 +332,41 @@ def f36(spark, d):
     ok, refused = R.create_rules(rules(spark, d), new)
     cols = ["id", "dimension", "pattern", "label"]
     return ok.select(*cols, F.lit(True).alias("created")).union(refused.select(*cols, F.lit(False)))
+
+
+@query("f2_bad_patterns", "SELECT doc_id AS id, 1 AS rule_id, least(1.0, 2.0 * length(regexp_replace(text, '[^e]', '', 'g')) / greatest(length(text), 1)) AS score FROM documents WHERE contains(text, 'e')")
+def f2b(spark, d):
+    bad = values(spark, [(1, "dim4", "e", "regex", 0, 0.1, "e", 1), (2, "dim4", "(e", "regex", 0, 0.1, "bad", 1)], SCHEMA)
+    return R.scores(clauses(spark, d), bad.withColumnRenamed("id", "rule_id")).select("id", "rule_id", "score")
+
+
+@query("f10_batch", """WITH k AS (SELECT doc_id AS clause_id, unnest([source, lang, 'batch']) AS pattern, lang AS label, doc_id % 10 / 10.0 AS conf FROM documents),
+s AS (SELECT *, CASE WHEN pattern = 'batch' THEN 'none' WHEN pattern = 'src3' THEN 'rejected' WHEN pattern = lang2 THEN 'approved' ELSE 'none' END AS state FROM (SELECT *, CASE WHEN label IN ('en', 'de') THEN label END AS lang2 FROM k) WHERE conf >= 0.7)
+SELECT doc_id AS clause_id, CASE WHEN doc_id % 10 >= 7 AND lang IN ('en', 'de') THEN 'auto_adopted' ELSE 'review' END AS outcome, (SELECT count(*) FROM s WHERE s.clause_id = doc_id AND state = 'none') AS added, (SELECT count(*) FROM s WHERE s.clause_id = doc_id AND state = 'approved') AS bumped FROM documents""")
+def f10b(spark, d):
+    docs = table(spark, d, "documents")
+    results = docs.select(F.col("doc_id").alias("clause_id"), F.lit("dim4").alias("dimension"), F.col("lang").alias("ai_label"), (F.col("doc_id") % 10 / 10).alias("ai_confidence"))
+    contents = docs.select(F.col("doc_id").alias("clause_id"), F.concat_ws(" ", "source", "lang", "source", F.lit("batch of <b>12</b>"), F.lit("规定")).alias("content"))
+    contents = contents.withColumn("content", F.replace("content", F.lit(" of "), F.lit(" ")))
+    langs = docs.select(F.col("lang").alias("label")).distinct()
+    known = langs.where("label in ('en', 'de')").select(F.lit(None).cast("long").alias("clause_id"), F.lit("dim4").alias("dimension"), F.col("label").alias("pattern"), "label", F.lit("approved").alias("status"))
+    no = langs.select(F.lit(None).cast("long").alias("clause_id"), F.lit("dim4").alias("dimension"), F.lit("src3").alias("pattern"), "label", F.lit("rejected").alias("status"))
+    outcomes, fresh, _ = R.adjudicate_batch(results, contents, known.union(no), rules(spark, d).limit(0))
+    bumped = outcomes.where("outcome = 'auto_adopted'").select("clause_id", F.lit(1).cast("long").alias("bumped"))
+    added = fresh.groupBy("clause_id").agg(F.count("*").alias("added"))
+    out = outcomes.select("clause_id", "outcome").join(added, "clause_id", "left").join(bumped, "clause_id", "left")
+    return out.fillna(0, ["added", "bumped"])
+
+
+@query("f36_edit_rules", ALL + """, e AS (SELECT *, CASE id % 7 WHEN 0 THEN 'toggle' WHEN 1 THEN 'lock' WHEN 2 THEN 'delete' END AS action FROM rules),
+w AS (SELECT id, dimension, CASE WHEN id % 11 = 4 THEN 'p' || (id + 1) % 700 ELSE 'q' || id END AS pattern FROM rules WHERE id % 11 IN (4, 5)),
+bad AS (SELECT w.id FROM w WHERE EXISTS (SELECT 1 FROM rules r WHERE r.dimension = w.dimension AND r.pattern = w.pattern AND r.id <> w.id))
+SELECT e.id, CASE WHEN w.id IS NOT NULL AND bad.id IS NULL THEN w.pattern ELSE e.pattern END AS pattern, CASE WHEN action = 'toggle' THEN 1 - is_active ELSE is_active END AS is_active, CASE WHEN action = 'lock' THEN 1 - coalesce(locked, 0) ELSE locked END AS locked
+FROM e LEFT JOIN w USING (id) LEFT JOIN bad USING (id) WHERE action IS NULL OR action <> 'delete'""")
+def f36b(spark, d):
+    r, k = rules(spark, d), F.col("id")
+    pattern = F.when(k % 11 == 4, F.concat(F.lit(" p"), ((k + 1) % 700).cast("string"))).otherwise(F.concat(F.lit("q"), k.cast("string"), F.lit(" ")))
+    wanted = r.where("id % 11 in (4, 5)").select("id", "dimension", pattern.alias("pattern"), "label", "priority", "threshold")
+    action = F.when(k % 7 == 0, "toggle").when(k % 7 == 1, "lock").when(k % 7 == 2, "delete")
+    changed, _ = R.update_rules(r, wanted)
+    return R.switch_edits(changed, r.select("id", action.alias("action")).where("action is not null")).select("id", "pattern", "is_active", "locked")
