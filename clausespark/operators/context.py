@@ -106,3 +106,28 @@ def export_conversation(messages: DataFrame, session: str = "conv_id", order: st
     part = F.concat(F.when(F.col("role") == "user", "## 问\n\n").otherwise("## 答\n\n"), F.trim("text"))
     listed = F.array_sort(F.collect_list(F.struct(order, part.alias("p"))))
     return m.groupBy(session).agg(F.array_join(F.transform(listed, lambda x: x["p"]), "\n\n").alias("markdown"))
+
+
+def filtered_out(found: DataFrame, kept: Column, key: str = "query_id", least: int = 3) -> DataFrame:
+    """(key, hits, global_total): results that pass the filter, and how many there are without it where fewer than `least` pass."""
+    n = found.groupBy(key).agg(F.count("*").alias("total"), F.count_if(kept).alias("hits"))
+    return n.select(key, "hits", F.when(F.col("hits") < least, F.col("total")).alias("global_total"))
+
+
+def stage_trace(items: DataFrame, key: str, high: float, least: float, budget: int, ratio: float = 0.1, fewest: int = 10, most: int = 15) -> DataFrame:
+    """One row for each key: counts after each stage, tokens, budget and what was dropped.
+
+    items: key, score, rank (among the key's items), tokens and in_force. rrf_total: all; after_meta: in force;
+    after_threshold: of those with a score of `least` or more; select_target: the dynamic k of these; high_count and
+    low_count: the selected by tier; dropped_overflow: selected of over half the budget; context_tokens: what the
+    selected others take, the budget at most.
+    """
+    ok, over = F.col("in_force"), F.col("score") >= least
+    n = items.groupBy(key).agg(F.count("*").alias("rrf_total"), F.count_if(ok).alias("after_meta"), F.count_if(ok & over).alias("after_threshold"))
+    n = n.withColumn("select_target", dynamic_k(F.col("after_threshold"), ratio, fewest, most))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
+    picked = items.where(ok & over).withColumn("nth", nth).where(F.col("nth") <= most).join(n.select(key, "select_target"), key).where("nth <= select_target")
+    large = F.col("tokens") > budget / 2
+    t = picked.groupBy(key).agg(F.count_if(F.col("score") >= high).alias("high_count"), F.count_if(F.col("score") < high).alias("low_count"), F.count_if(large).alias("dropped_overflow"), F.least(F.sum(F.when(~large, F.col("tokens")).otherwise(0)), F.lit(budget).cast("long")).alias("context_tokens"))
+    out = n.join(t, key, "left").fillna(0, ["high_count", "low_count", "dropped_overflow", "context_tokens"])
+    return out.withColumns({"budget": F.lit(budget), "context_empty": F.col("context_tokens") == 0})

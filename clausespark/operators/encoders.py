@@ -30,3 +30,18 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 512) -
     packed = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("norm"), F.lit(1e-300)))
     return packed.select(id_col, v.alias("embedding"))
+
+
+def score_pairs(pairs: DataFrame, keys: list[str], left: str, right: str, pair_scorer: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
+    """(keys, pair_score) by a scorer that turns two lists of texts into floats; a scorer that fails gives null scores."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                s = np.asarray(pair_scorer([t or "" for t in b[left]], [t or "" for t in b[right]]), np.float64)
+            except Exception:  # the next level of the cascade takes over, whatever the model's trouble
+                s = np.full(len(b), np.nan)
+            yield b[keys].assign(pair_score=pd.Series(s, index=b.index).astype(object).where(np.isfinite(s), None))
+
+    types = dict(pairs.dtypes)
+    return pairs.select(*keys, left, right).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "pair_score double"]))

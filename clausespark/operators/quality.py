@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausespark.functions.text import build_embed_text, chunks as cut_chunks, normalize_cjk_spacing, plain_text, tokenize
+
 
 def markup_census(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(tag, n, pages): how often each tag opens and in how many rows."""
@@ -95,3 +97,117 @@ def insert_absent(rows: DataFrame, seed: DataFrame, keys: list[str]) -> DataFram
 def audit(action: str, level: str, counts: DataFrame) -> DataFrame:
     """(category, level, action, detail): one log row of a job's counts."""
     return counts.select(F.lit("job").alias("category"), F.lit(level).alias("level"), F.lit(action).alias("action"), F.to_json(F.struct("*")).alias("detail"))
+
+
+def empty_content(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id): rows whose text is null or blank."""
+    return rows.where(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), "[\\s\u00a0\u3000]+", " ")) == "").select(F.col(id_col).alias("id"))
+
+
+def bad_classification(clauses: DataFrame, labels: list[str]) -> DataFrame:
+    """(id): clauses marked as classified of which every label is null or empty."""
+    blank = F.lit(True)
+    for c in labels:
+        blank = blank & (F.coalesce(F.col(c), F.lit("")) == "")
+    return clauses.where((F.col("ai_classified") == 1) & blank).select("id")
+
+
+def health_flag(report: DataFrame) -> DataFrame:
+    """(flag, keys) of a report's findings: red for what can be fixed or has failed, yellow for what is only reported."""
+    found = report.where("severity <> 'ok'").withColumn("flag", F.when(F.col("fixable"), "red").otherwise("yellow"))
+    return found.groupBy("flag").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def snapshot(report: DataFrame, history: DataFrame, at: str) -> DataFrame:
+    """history (at, result) with one more row: the report as JSON."""
+    rows = F.array_sort(F.collect_list(F.struct("key", "n", "severity", "fixable")))
+    return history.unionByName(report.agg(F.to_json(rows).alias("result")).withColumn("at", F.lit(at).cast("timestamp_ntz")))
+
+
+def fix_labels(clauses: DataFrame, labels: list[str]) -> DataFrame:
+    """clauses with those of bad_classification unmarked and up for review."""
+    bad = bad_classification(clauses, labels).select("id", F.lit(True).alias("bad"))
+    j = clauses.join(bad, "id", "left")
+    return j.withColumns({"ai_classified": F.when(F.col("bad"), 0).otherwise(F.col("ai_classified")), "needs_review": F.when(F.col("bad"), 1).otherwise(F.col("needs_review"))}).drop("bad")
+
+
+def fix_rows(derived: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(derived after the fix, its counts (added, removed)): a row of wanted for every id that derived lacks, none for others.
+
+    For vectors and index rows alike, both with an id.
+    """
+    kept = derived.join(wanted.select("id"), "id", "left_semi")
+    added = wanted.join(derived.select("id"), "id", "left_anti")
+    counts = id_differences(wanted, derived).agg(F.count_if(F.col("side") == "missing").alias("added"), F.count_if(F.col("side") == "orphan").alias("removed"))
+    return kept.unionByName(added), counts
+
+
+def clean_logs(logs: DataFrame, as_of: str | None = None, days: int = 90, category: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows kept, (removed)): without rows older than `days` before as_of, or with no as_of all rows or a category's."""
+    gone = F.col("created_at") < F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days)) if as_of else F.lit(True)
+    if category:
+        gone = gone & (F.col("category") == category)
+    gone = F.coalesce(gone, F.lit(False))
+    return logs.where(~gone), logs.agg(F.count_if(gone).alias("removed"))
+
+
+def heal_tasks(tasks: DataFrame, now: str) -> DataFrame:
+    """tasks with those cut off (uploading or processing) as errors, updated now."""
+    cut = F.col("status").isin("uploading", "processing")
+    return tasks.withColumns({"updated_at": F.when(cut, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at")), "status": F.when(cut, "error").otherwise(F.col("status"))})
+
+
+def spec_list(specs: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(place, id, code, clause_count, replace_by_code, replace_by_title): newest first, then by id.
+
+    specs: id, code, title, created_at, replace_by; clauses: spec_id. Places come from a range partition and the counts
+    of the partitions before, so that no task sorts all rows.
+    """
+    n = clauses.groupBy(F.col("spec_id").alias("id")).agg(F.count("*").alias("clause_count"))
+    other = specs.select(F.col("id").alias("replace_by"), F.col("code").alias("replace_by_code"), F.col("title").alias("replace_by_title"))
+    j = specs.join(n, "id", "left").join(other, "replace_by", "left").fillna(0, ["clause_count"])
+    return numbered(j, [F.desc("created_at"), F.asc("id")], "place").select("place", "id", "code", "clause_count", "replace_by_code", "replace_by_title")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in an order, from 1."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
+    # a row for each partition
+    at = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(at.select("part", "first", before.alias("before"))), "part").withColumn(name, F.col("nth") - F.col("first") + 1 + F.col("before")).drop("part", "nth", "first", "before")
+
+
+def cascade(specs: DataFrame, clauses: DataFrame, by_clause: dict[str, DataFrame], specs_gone: DataFrame, clauses_gone: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(specs, clauses, tables by clause) after deleting specs (id) and clauses (id).
+
+    A spec's clauses go with it, and with a clause its rows in every table (queue, index, vectors) by clause_id. Pointers
+    to deleted specs (successor) become null, and clause_count is counted anew.
+    """
+    left, children = cascade_delete(specs, {"clauses": clauses}, specs_gone)
+    kept = children["clauses"].join(clauses_gone, "id", "left_anti")
+    n = kept.groupBy(F.col("spec_id").alias("id")).agg(F.count("*").alias("clause_count"))
+    left = left.drop("clause_count").join(n, "id", "left").fillna(0, ["clause_count"])
+    ids = kept.select(F.col("id").alias("clause_id"))
+    return left, kept, {k: t.join(ids, "clause_id", "left_semi") for k, t in by_clause.items()}
+
+
+def json_lines(rows: DataFrame, kind: str) -> DataFrame:
+    """(kind, line): each row as a JSON object without its null columns."""
+    return rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("line"))
+
+
+def rederive(clauses: DataFrame, chunks: DataFrame, edits: DataFrame, limit: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(clauses, chunks) after edits (id, clause_no, title, content): both index columns and the chunks of edited ones anew.
+
+    clauses: id, spec_code, spec_title, clause_no, title, content, section_path, search_text, breadcrumb; section_path
+    stays as it is. chunks: clause_id, chunk_index, chunk.
+    """
+    changed = clauses.drop("clause_no", "title", "content").join(edits, "id")
+    search = F.array_join(tokenize(plain_text(F.concat_ws(" ", "title", "content"))), " ")
+    crumb = F.array_join(tokenize(normalize_cjk_spacing("section_path")), " ")
+    changed = changed.withColumns({"search_text": F.concat_ws(" ", search, "clause_no"), "breadcrumb": crumb})
+    embed = build_embed_text(F.col("spec_code"), F.col("spec_title"), F.col("clause_no"), F.col("title"), F.col("content"), F.col("section_path"))
+    new = changed.select(F.col("id").alias("clause_id"), F.posexplode(cut_chunks(embed, limit)).alias("chunk_index", "chunk"))
+    ids = edits.select("id")
+    return clauses.join(ids, "id", "left_anti").unionByName(changed.select(*clauses.columns)), replace_chunks(chunks, new, ids.withColumnRenamed("id", "clause_id"))

@@ -182,6 +182,34 @@ def survey(clauses: DataFrame) -> DataFrame:
     return s.join(dup, "doc_id", "left").fillna(0, ["duplicates"])
 
 
+def metrics(clauses: DataFrame, degraded: DataFrame) -> DataFrame:
+    """The twelve figures of each document: rows, raw and plain characters, numbers without digits, share of complete paths,
+    missing sections, repeated numbers with their rows and those that are notes, their groups by kind, and degraded lines.
+
+    Paths and sections are judged on clauses that are no notes; a number has one ancestor for each leading segment but 0.
+    A group of equal numbers is designed (clauses and notes), body_only or commentary_only.
+    """
+    parts = F.split("no", r"\.")
+    leading = F.slice(parts, 1, F.size(parts) - 1)
+    up = F.array_join(leading, ".")
+    path = F.filter(F.split("path", " > "), lambda x: x != "")
+    c = clauses.withColumns({"expected": F.size(F.filter(leading, lambda x: x != "0")), "up": up, "p": path, "real": ~F.col("is_non")})
+    whole = F.when(F.col("real"), ((F.size("p") > 0) & (F.size("p") == F.col("expected"))).cast("int"))
+    raw, plain = F.sum(F.length("content")), F.sum(F.length(plain_text("content")))
+    out = c.groupBy("doc_id").agg(F.count("*").alias("clauses"), raw.alias("chars"), plain.alias("plain_chars"), F.count_if(~F.col("no").rlike("[0-9]")).alias("without_digits"), F.coalesce(F.round(F.avg(whole), 4), F.lit(0.0)).alias("coverage"))
+    wanted = c.where(F.col("real") & F.contains("no", F.lit(".")) & ~F.col("up").rlike(r"(^|\.)0$")).where(~F.exists("p", lambda x: F.contains(x, F.concat("up", F.lit(" ")))))
+    present = c.where("real").select("doc_id", F.col("no").alias("up")).distinct()
+    missing = wanted.select("doc_id", "up").distinct().join(present, ["doc_id", "up"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("up")).alias("missing_sections"))
+    kind = F.when(F.bool_and("is_non"), "commentary_only").when(F.bool_or("is_non"), "designed").otherwise("body_only")
+    groups = c.groupBy("doc_id", "no").agg(F.count("*").alias("n"), F.count_if("is_non").alias("notes"), kind.alias("kind")).where("n > 1")
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("no")))).alias(k)
+    repeated = groups.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("no", "n"))).alias("duplicates"), F.sum("n").alias("duplicate_rows"), F.sum("notes").alias("duplicate_notes"), of("designed"), of("body_only"), of("commentary_only"))
+    odd = degraded.groupBy("doc_id").agg(F.count("*").alias("degraded"))
+    none = F.array().cast("array<string>")
+    j = out.join(missing, "doc_id", "left").join(repeated, "doc_id", "left").join(odd, "doc_id", "left").fillna(0, ["duplicate_rows", "duplicate_notes", "degraded"])
+    return j.withColumns({k: F.coalesce(k, none) for k in ("missing_sections", "designed", "body_only", "commentary_only")})
+
+
 def conservation(clauses: DataFrame, baseline: DataFrame, slack: int = 5000) -> DataFrame:
     """(doc_id, chars, base): documents whose clauses have lost over `slack` characters against the baseline."""
     n = clauses.groupBy("doc_id").agg(F.sum(F.length("content")).alias("chars"))

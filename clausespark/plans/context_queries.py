@@ -7,6 +7,7 @@ from clausespark.functions.text import estimate_tokens
 from clausespark.operators import context as C
 from clausespark.plans.data import table
 from clausespark.plans.registry import query
+from clausespark.plans.retrieval_queries import FUSED, _fused as fused
 
 
 def _items(spark, d):
@@ -82,11 +83,22 @@ def g9(spark, d):
     return C.sources(table(spark, d, "orders").withColumns({"code": F.col("o_orderpriority"), "clause_no": F.col("o_orderstatus")}), "o_custkey", "o_orderkey")
 
 
-@query("g10_filtered_out", "WITH h AS (SELECT item_id, doc_id, lang FROM benchmark JOIN documents ON contains(documents.text, benchmark.text[1:60])), n AS (SELECT item_id, count(*) AS total, count(*) FILTER (lang = 'fr') AS hits FROM h GROUP BY 1) SELECT item_id, hits, CASE WHEN hits < 3 THEN total END AS global_total FROM n")
+@query("g10_filtered_out", FUSED + " SELECT query_id, count(*) FILTER (lang = 'fr') AS hits, CASE WHEN count(*) FILTER (lang = 'fr') < 3 THEN count(*) END AS global_total FROM r JOIN documents USING (doc_id) GROUP BY query_id")
 def g10(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("phrase"))
-    n = b.join(table(spark, d, "documents"), F.contains(F.col("text"), F.col("phrase"))).groupBy("item_id").agg(F.count("*").alias("total"), F.count_if(F.col("lang") == "fr").alias("hits"))
-    return n.select("item_id", "hits", F.when(F.col("hits") < 3, F.col("total")).alias("global_total"))
+    found = fused(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return C.filtered_out(found, F.col("lang") == "fr")
+
+
+@query("g11_stages", """WITH i AS (SELECT user_id, value / 100 AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, length(props) AS tokens, event_type <> 'error' AS in_force FROM events),
+n AS (SELECT user_id, count(*) AS rrf_total, count(*) FILTER (in_force) AS after_meta, count(*) FILTER (in_force AND score >= 0.05) AS after_threshold FROM i GROUP BY 1),
+k AS (SELECT *, CASE WHEN after_threshold < 10 THEN after_threshold ELSE least(15, greatest(10, CAST(ceil(after_threshold * 0.1) AS INTEGER))) END AS target FROM n),
+p AS (SELECT i.*, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS nth FROM i WHERE in_force AND score >= 0.05),
+t AS (SELECT user_id, count(*) FILTER (score >= 0.2) AS high_count, count(*) FILTER (score < 0.2) AS low_count FROM p JOIN k USING (user_id) WHERE nth <= target GROUP BY 1)
+SELECT user_id, rrf_total, after_meta, after_threshold, coalesce(high_count, 0) AS high_count, coalesce(low_count, 0) AS low_count FROM n LEFT JOIN t USING (user_id)""")
+def g11b(spark, d):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    items = table(spark, d, "events").select("user_id", (F.col("value") / 100).alias("score"), F.row_number().over(w).alias("rank"), F.length("props").alias("tokens"), (F.col("event_type") != "error").alias("in_force"))
+    return C.stage_trace(items, "user_id", 0.2, 0.05, 2000).select("user_id", "rrf_total", "after_meta", "after_threshold", "high_count", "low_count")
 
 
 @query("g11_trace", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 10) AS after_threshold, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")

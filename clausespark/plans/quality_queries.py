@@ -24,14 +24,48 @@ def h1(spark, d):
     return Q.orphan_parents(tree(spark, d))
 
 
-@query("h2_empty_content", "SELECT doc_id FROM documents WHERE text IS NULL OR trim(regexp_replace(text, '[^0-9]', '', 'g')) = ''")
+@query("h2_empty_content", "SELECT doc_id AS id FROM documents WHERE source = 'src3' OR text IS NULL OR trim(text) = ''")
 def h2(spark, d):
-    return table(spark, d, "documents").where(F.trim(F.coalesce(F.regexp_replace("text", "[^0-9]", ""), F.lit(""))) == "").select("doc_id")
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("source") == "src3", " \n\u3000\t").otherwise(F.col("text")))
+    return Q.empty_content(docs, "doc_id", "text")
 
 
-@query("h3_bad_classification", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 2 = 0 AND quality IS NULL AND toxic IS NULL")
+def _labelled(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.when(F.col("lang") != "fr", 1).otherwise(0).alias("ai_classified"), F.lit(0).alias("needs_review"), F.col("quality").cast("string").alias("dim4"), F.when(F.col("toxic") == 1, "toxic").otherwise("").alias("dim5"))
+
+
+LABELLED = "lab AS (SELECT doc_id AS id, CASE WHEN lang <> 'fr' THEN 1 ELSE 0 END AS ai_classified, 0 AS needs_review, CAST(quality AS VARCHAR) AS dim4, CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END AS dim5 FROM documents LEFT JOIN labels USING (doc_id)), bad AS (SELECT id FROM lab WHERE ai_classified = 1 AND coalesce(dim4, '') = '' AND coalesce(dim5, '') = '')"
+
+
+@query("h3_bad_classification", f"WITH {LABELLED} SELECT id FROM bad")
 def h3(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").where("doc_id % 2 = 0 and quality is null and toxic is null").select("doc_id")
+    return Q.bad_classification(_labelled(spark, d), ["dim4", "dim5"])
+
+
+@query("h7_fix_labels", f"WITH {LABELLED} SELECT lab.id, CASE WHEN bad.id IS NULL THEN ai_classified ELSE 0 END AS ai_classified, CASE WHEN bad.id IS NULL THEN 0 ELSE 1 END AS needs_review FROM lab LEFT JOIN bad USING (id)")
+def h7b(spark, d):
+    return Q.fix_labels(_labelled(spark, d), ["dim4", "dim5"]).select("id", "ai_classified", "needs_review")
+
+
+@query("h7_fix_vectors", "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN 'kept' ELSE 'added' END AS origin, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS added, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS removed FROM documents")
+def h7c(spark, d):
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("kept").alias("origin"))
+    fixed, counts = Q.fix_rows(have, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("added").alias("origin")))
+    return fixed.join(F.broadcast(counts))  # one row
+
+
+@query("h6_flag", """SELECT 'red' AS flag, 'bad_classification,orphan_parent' AS keys UNION ALL SELECT 'yellow', 'empty_content'""")
+def h6b(spark, d):
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("source") == "src3", " ").otherwise(F.col("text")))
+    report = Q.health_report({"orphan_parent": (Q.orphan_parents(tree(spark, d)), True), "empty_content": (Q.empty_content(docs, "doc_id", "text"), False), "bad_classification": (Q.bad_classification(_labelled(spark, d), ["dim4", "dim5"]), True), "no_id": (docs.where("doc_id is null"), True)})
+    return Q.health_flag(report).select("flag", F.array_join("keys", ",").alias("keys"))
+
+
+@query("h6_snapshot", """WITH r AS (SELECT count(*) AS n FROM documents WHERE source = 'src3' OR text IS NULL OR trim(text) = '') SELECT TIMESTAMP '2024-01-01' AS at, '[]' AS result UNION ALL SELECT TIMESTAMP '2024-02-01', '[{"key":"empty_content","n":' || n || ',"severity":"error","fixable":false}]' FROM r""")
+def h6c(spark, d):
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("source") == "src3", " ").otherwise(F.col("text")))
+    history = table(spark, d, "documents").agg(F.min(F.lit("2024-01-01").cast("timestamp_ntz")).alias("at"), F.lit("[]").alias("result"))
+    return Q.snapshot(Q.health_report({"empty_content": (Q.empty_content(docs, "doc_id", "text"), False)}), history, "2024-02-01")
 
 
 @query("h4_vector_differences", "SELECT doc_id AS id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'orphan' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
@@ -71,11 +105,20 @@ def h8(spark, d):
     return Q.filter_logs(_logs(spark, d), "view", ("WARN",), "", "2024-01-05", "2024-01-20", "7").select("id")
 
 
-@query("h9_retention", "SELECT event_type AS category, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY 1")
+@query("h9_retention", """WITH n AS (SELECT event_type AS category, count(*) FILTER (ts >= TIMESTAMP '2024-01-11') AS late, count(*) AS whole FROM events GROUP BY 1)
+SELECT 'days' AS how, category, late AS kept FROM n WHERE late > 0 UNION ALL SELECT 'category', category, whole FROM n WHERE category <> 'view'""")
 def h9(spark, d):
-    logs = _logs(spark, d)
-    latest = logs.agg(F.max("created_at").alias("latest"))
-    return logs.join(F.broadcast(latest)).where(F.col("created_at") >= F.col("latest") - F.expr("interval 10 days")).groupBy("category").agg(F.count("*").alias("kept"))
+    out = None
+    for how, args in (("days", {"as_of": "2024-02-10", "days": 30}), ("category", {"category": "view"}), ("all", {})):
+        kept, _ = Q.clean_logs(_logs(spark, d), **args)
+        one = kept.groupBy("category").agg(F.count("*").alias("kept")).select(F.lit(how).alias("how"), "category", "kept")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("h9_removed", "SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-11') AS removed FROM events")
+def h9b(spark, d):
+    return Q.clean_logs(_logs(spark, d), "2024-02-10", 30)[1]
 
 
 @query("h10_task_disposition", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'keep' WHEN event_type = 'view' AND date_diff('second', ts, TIMESTAMP '2024-02-01') > 86400 THEN 'drop_files' WHEN event_type IN ('error', 'click') AND date_diff('second', ts, TIMESTAMP '2024-02-01') > 1800 THEN 'drop_row' ELSE 'keep' END AS disposition FROM events""")
@@ -86,15 +129,20 @@ def h10(spark, d):
     return table(spark, d, "events").select("event_id", Q.task_disposition(status, age).alias("disposition"))
 
 
-@query("h11_heal_tasks", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'error' ELSE event_type END AS status FROM events")
+@query("h11_heal_tasks", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'error' ELSE event_type END AS status, CASE WHEN event_type IN ('view', 'click') THEN TIMESTAMP '2024-02-01' ELSE ts END AS updated_at FROM events")
 def h11(spark, d):
-    return table(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), "error").otherwise(F.col("event_type")).alias("status"))
+    t = F.col("event_type")
+    tasks = table(spark, d, "events").select("event_id", F.when(t == "view", "uploading").when(t == "click", "processing").otherwise(t).alias("status"), F.col("ts").alias("updated_at"))
+    return Q.heal_tasks(tasks, "2024-02-01")
 
 
-@query("h12_spec_list", "SELECT c_custkey AS id, c_name AS code, coalesce(n, 0) AS clauses FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("h12_spec_list", """WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT row_number() OVER (ORDER BY c.c_acctbal DESC, c.c_custkey) AS place, c.c_custkey AS id, c.c_name AS code, coalesce(n, 0) AS clause_count, r.c_name AS replace_by_code, r.c_mktsegment AS replace_by_title
+FROM customer c LEFT JOIN n ON o_custkey = c.c_custkey LEFT JOIN customer r ON r.c_custkey = CASE WHEN c.c_custkey % 3 = 0 THEN c.c_custkey + 1 END""")
 def h12(spark, d):
-    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return table(spark, d, "customer").join(n, "c_custkey", "left").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("code"), F.coalesce("n", F.lit(0)).alias("clauses"))
+    k = F.col("c_custkey")
+    specs = table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("code"), F.col("c_mktsegment").alias("title"), F.col("c_acctbal").alias("created_at"), F.when(k % 3 == 0, k + 1).alias("replace_by"))
+    return Q.spec_list(specs, table(spark, d, "orders").select(F.col("o_custkey").alias("spec_id")))
 
 
 SPECS = "specs AS (SELECT s_suppkey AS id, s_name AS code, CASE s_suppkey % 3 WHEN 0 THEN '废止' WHEN 1 THEN '现行' ELSE '修订中' END AS status, (SELECT any_value(x.s_name) FROM supplier x WHERE x.s_suppkey = s.s_suppkey + 4) AS rc FROM supplier s)"
@@ -188,3 +236,36 @@ def a12(spark, d):
 @query("a13_audit", """SELECT 'job' AS category, 'INFO' AS level, 'cleanup' AS action, '{"rows":' || count(*) || ',"users":' || count(DISTINCT user_id) || '}' AS detail FROM events""")
 def a13(spark, d):
     return Q.audit("cleanup", "INFO", table(spark, d, "events").agg(F.count("*").alias("rows"), F.count_distinct("user_id").alias("users")))
+
+
+@query("a9_cascade", """WITH c AS (SELECT o_orderkey AS id, o_custkey AS spec_id FROM orders WHERE o_custkey % 5 <> 0 AND o_orderkey % 7 <> 0), n AS (SELECT spec_id, count(*) AS n FROM c GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN (c_custkey + 1) % 5 <> 0 OR c_custkey + 1 NOT IN (SELECT c_custkey FROM customer) THEN c_custkey + 1 END AS successor, coalesce(n, 0) AS clause_count, (SELECT count(*) FROM lineitem JOIN c ON l_orderkey = c.id WHERE c.spec_id = c_custkey) AS vectors FROM customer LEFT JOIN n ON spec_id = c_custkey WHERE c_custkey % 5 <> 0""")
+def a9b(spark, d):
+    specs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1).alias("successor"), F.lit(-1).cast("long").alias("clause_count"))
+    clauses = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("spec_id"))
+    vectors = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clause_id"))
+    left, kept, tables = Q.cascade(specs, clauses, {"vectors": vectors}, specs.where("id % 5 = 0").select("id"), clauses.where("id % 7 = 0").select("id"))
+    n = tables["vectors"].join(kept.select(F.col("id").alias("clause_id"), "spec_id"), "clause_id").groupBy(F.col("spec_id").alias("id")).agg(F.count("*").alias("vectors"))
+    return left.join(n, "id", "left").fillna(0, ["vectors"]).select("id", "successor", "clause_count", "vectors")
+
+
+@query("a10_exports", """SELECT 'queue' AS kind, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","clause":' || o_custkey || ',"code":"' || c_name || '"}' AS line FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'report', '{"key":"orphan_parent","n":' || count(*) || ',"severity":"' || CASE WHEN count(*) = 0 THEN 'ok' ELSE 'warn' END || '","fixable":true}' FROM (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN doc_id + 10000000 WHEN doc_id % 3 = 0 THEN doc_id // 3 END AS parent FROM documents) WHERE parent IS NOT NULL AND parent NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'log', '{"id":' || event_id || ',"category":"' || event_type || '"}' FROM events WHERE event_type = 'error'""")
+def a10b(spark, d):
+    clauses = table(spark, d, "customer").select(F.col("c_custkey").alias("clause"), F.col("c_name").alias("code"))
+    queue = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("clause")).join(clauses, "clause").select("id", "status", "clause", "code")
+    report = Q.health_report({"orphan_parent": (Q.orphan_parents(tree(spark, d)), True)})
+    logs = Q.filter_logs(_logs(spark, d), "error").select("id", "category")
+    return Q.json_lines(queue, "queue").union(Q.json_lines(report, "report")).union(Q.json_lines(logs, "log"))
+
+
+@query("h15_rederive_whole", r"""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'new 9 1' ELSE 'old' END AS search_text, CASE WHEN doc_id % 10 = 0 THEN array_to_string(regexp_extract_all(lower(source), '[\p{L}\p{N}]+'), ' ') ELSE 'old' END AS breadcrumb, CASE WHEN doc_id % 10 = 0 THEN source || ' ' || lang || ' [1] ' || source || ' new 9' ELSE 'old' END AS chunk FROM documents""")
+def h15b(spark, d):
+    docs = table(spark, d, "documents")
+    old = lambda c: F.lit("old").alias(c)
+    clauses = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("spec_code"), F.col("lang").alias("spec_title"), old("clause_no"), old("title"), F.col("text").alias("content"), F.col("source").alias("section_path"), old("search_text"), old("breadcrumb"))
+    chunks = docs.select(F.col("doc_id").alias("clause_id"), F.lit(0).alias("chunk_index"), old("chunk"))
+    edits = clauses.where("id % 10 = 0").select("id", F.lit("1").alias("clause_no"), F.lit("new").alias("title"), F.lit("<b>9</b>").alias("content"))
+    got, pieces = Q.rederive(clauses, chunks, edits)
+    return got.join(pieces.withColumnRenamed("clause_id", "id"), "id").select("id", "search_text", "breadcrumb", "chunk")

@@ -182,8 +182,16 @@ FROM r LEFT JOIN embeddings qe ON qe.vec_id = r.query_id LEFT JOIN embeddings de
 def e17(spark, d):
     e = table(spark, d, "embeddings")
     f = _fused(spark, d).where("rank <= 20").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), "query_id", "left").join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v")), "doc_id", "left")
-    dot = F.round(F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6)
-    return f.select("query_id", "doc_id", F.when(F.col("v").isNull(), "none").otherwise("vector").alias("level"), F.when(F.col("v").isNull(), 1.0).otherwise(dot).alias("rerank_score"))
+    return R.rerank(f).select("query_id", "doc_id", "level", "rerank_score")
+
+
+@query("e17_rerank_pairs", FUSED + " SELECT r.query_id, r.doc_id, CASE WHEN d.lang = 'fr' THEN 'none' ELSE 'cross' END AS level, CASE WHEN d.lang = 'fr' THEN 1.0 ELSE length(b.text[1:300]) + length(d.source) END AS rerank_score FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d USING (doc_id) WHERE r.rank <= 20")
+def e17b(spark, d):
+    f = _fused(spark, d).where("rank <= 20").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question_text")), "query_id")
+    passage = F.concat("source", F.when(F.col("lang") == "fr", "!").otherwise(""))
+    f = f.join(table(spark, d, "documents").select("doc_id", passage.alias("passage_text")), "doc_id").withColumns({"q": F.lit(None).cast("array<double>"), "v": F.lit(None).cast("array<double>")})
+    by_length = lambda x, y: [float("nan") if b.endswith("!") else len(a) + len(b) for a, b in zip(x, y, strict=True)]
+    return R.rerank(f, "passage_text", "question_text", by_length).select("query_id", "doc_id", "level", "rerank_score")
 
 
 @query("e18_hybrid_search", FUSED + """SELECT r.query_id, r.doc_id, r.score, r.tag, CAST(r.rank AS INTEGER) AS rank, d.source, d.lang FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 20""")

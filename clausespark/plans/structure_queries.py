@@ -9,20 +9,33 @@ from clausespark.plans.registry import query
 LETTER = r"\p{L}"
 
 
-def md_lines(spark, d):
-    """Every line of documents, by its place a chapter, a clause, a body line or a heading out of order."""
+def md_lines(spark, d, contents=False):
+    """Whole documents as numbered lines: chapters, clauses, body lines, titles of notes and headings out of order.
+
+    A heading takes the beginning of its line, the rest is the body line behind it. A quarter of the documents begin
+    with two lines before any heading.
+    """
     t = S.to_lines(table(spark, d, "documents"))
     k, s, m = F.col("line"), F.trim("text"), F.col("line") % 6
     no = F.expr("line div 6 + 1").cast("string")
+    bare = (F.col("doc_id") % 4 == 0) & (k < 2)
+    note = k % 36 == 18
+    cut = F.when(bare, None).when(note, 0).when(m == 0, 15).when(m == 1, 30).when(m == 3, 12).when(k % 12 == 5, 10)
+    title = F.trim(F.substring(s, F.lit(1), F.coalesce(F.col("cut"), F.lit(0))))
     text = (
-        F.when(m == 0, F.concat(F.lit("# "), no, F.lit(" "), F.trim(F.substring(s, 1, 15)))).when(m == 1, F.concat(no, F.lit(".1 "), F.trim(F.substring(s, 1, 30))))
-        .when(m == 3, F.concat(no, F.lit(".2 "), F.trim(F.substring(s, 1, 12)))).when(m == 4, F.concat(no, F.lit(".2.1 "), s)).when(k % 12 == 5, F.concat(F.lit("# 1 "), F.trim(F.substring(s, 1, 10)))).otherwise(s)
+        F.when(bare, s).when(note, F.concat(F.lit("# "), no, F.lit(" 本规范用词说明"))).when(m == 0, F.concat(F.lit("# "), no, F.lit(" "), title)).when(m == 1, F.concat(no, F.lit(".1 "), title))
+        .when(m == 3, F.concat(no, F.lit(".2 "), title)).when(m == 4, F.concat(no, F.lit(".2.1 "), s)).when(m == 2, "Contents" if contents else s).when(k % 12 == 5, F.concat(F.lit("# 1 "), title)).otherwise(s)
     )
-    return t.select("doc_id", "line", F.trim(text).alias("text"))
+    rest = F.when(F.col("cut").isNotNull(), F.trim(F.substring(s, F.col("cut") + 1, F.length(s))))
+    both = F.array(F.struct((k * 2).alias("line"), F.trim(text).alias("text")), F.struct((k * 2 + 1).alias("line"), rest.alias("text")))
+    rows = t.withColumn("cut", cut).select("doc_id", F.explode(F.filter(both, lambda x: (x["line"] % 2 == 0) | (x["text"] != ""))).alias("l"))
+    return rows.select("doc_id", "l.line", "l.text")
 
 
 MD = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s0, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), r2 AS (SELECT doc_id, line, trim(s0) AS s, line // 6 + 1 AS no FROM raw),
-md AS (SELECT doc_id, line, trim(CASE WHEN line % 6 = 0 THEN '# ' || no || ' ' || trim(s[1:15]) WHEN line % 6 = 1 THEN no || '.1 ' || trim(s[1:30]) WHEN line % 6 = 3 THEN no || '.2 ' || trim(s[1:12]) WHEN line % 6 = 4 THEN no || '.2.1 ' || s WHEN line % 12 = 5 THEN '# 1 ' || trim(s[1:10]) ELSE s END) AS text FROM r2),
+r3 AS (SELECT *, doc_id % 4 = 0 AND line < 2 AS bare, CASE WHEN doc_id % 4 = 0 AND line < 2 THEN NULL WHEN line % 36 = 18 THEN 0 WHEN line % 6 = 0 THEN 15 WHEN line % 6 = 1 THEN 30 WHEN line % 6 = 3 THEN 12 WHEN line % 12 = 5 THEN 10 END AS cut FROM r2),
+md AS (SELECT doc_id, line * 2 AS line, trim(CASE WHEN bare THEN s WHEN line % 36 = 18 THEN '# ' || no || ' 本规范用词说明' WHEN line % 6 = 0 THEN '# ' || no || ' ' || trim(s[1:15]) WHEN line % 6 = 1 THEN no || '.1 ' || trim(s[1:30]) WHEN line % 6 = 3 THEN no || '.2 ' || trim(s[1:12]) WHEN line % 6 = 4 THEN no || '.2.1 ' || s WHEN line % 12 = 5 THEN '# 1 ' || trim(s[1:10]) ELSE s END) AS text FROM r3
+UNION ALL SELECT doc_id, line * 2 + 1, trim(s[cut + 1:]) FROM r3 WHERE cut IS NOT NULL AND trim(s[cut + 1:]) <> ''),
 b AS (SELECT *, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM md),
 x AS (SELECT *, regexp_extract(text, '^#+\s*(\d+(?:\.\d+)*)(?:\s+.*)?$', 1) AS mk, regexp_extract(text, '^(\d+(?:\.\d+)+)(?:\s+.*)?$', 1) AS br, regexp_extract(text, '^(?:#+\s*)?\d+(?:\.\d+)*\s*(.*)$', 1) AS tail, regexp_matches(text, '[.．]{5,}|…{2,}\s*\d{1,4}\s*$') AS leader FROM b),
 cand AS (SELECT doc_id, line, text, mk <> '' AS marked, tail, CASE WHEN mk <> '' AND NOT leader THEN mk WHEN br <> '' AND br[1] <> '0' AND NOT regexp_matches(text, '^\d{4}\.\d{1,2}(\.\d{1,2})?(\s|$)') AND NOT leader AND CASE WHEN tail = '' THEN before IS NULL OR before[1] = '#' OR regexp_matches(before, '[。；：！？.!?;]$') ELSE regexp_matches(tail, '\p{L}') END THEN br END AS no FROM x),
@@ -82,7 +95,7 @@ def c8(spark, d):
     return _clauses(spark, d).select("doc_id", "line", "no", "title", "level", "path", "content")
 
 
-@query("c10_notes", f"WITH {MD} SELECT doc_id, count(*) AS clauses, 0 AS notes FROM clauses GROUP BY doc_id")
+@query("c10_notes", f"WITH {MD}, o AS (SELECT *, title LIKE '%用词说明' AS own, count(*) FILTER (titled) OVER (PARTITION BY doc_id ORDER BY line) AS mood FROM clauses), i AS (SELECT *, bool_or(own) OVER (PARTITION BY doc_id, mood) AS note FROM o) SELECT doc_id, count(*) AS clauses, count(*) FILTER (note) AS notes FROM i GROUP BY doc_id")
 def c10(spark, d):
     return _clauses(spark, d).groupBy("doc_id").agg(F.count("*").alias("clauses"), F.count_if("is_non").alias("notes"))
 
@@ -141,10 +154,19 @@ def c5(spark, d):
     return found.where("no is not null").select("doc_id", "line", "no").join(S.accepted(found).where("no is not null"), ["doc_id", "line"], "left_anti")
 
 
-CONTENTS_MD = MD.replace("WHEN line % 12 = 5 THEN", "WHEN line % 6 = 2 THEN 'Contents' WHEN line % 12 = 5 THEN").replace("last_value(CASE WHEN a.no IS NOT NULL THEN a.line END", "last_value(CASE WHEN a.no IS NOT NULL OR lower(a.text) = 'contents' THEN a.line END")
+CONTENTS_MD = MD.replace("WHEN line % 12 = 5 THEN", "WHEN line % 6 = 2 THEN 'Contents' WHEN line % 12 = 5 THEN", 2).replace("WHEN line % 6 = 3 THEN 12 WHEN line % 6 = 2 THEN 'Contents' WHEN", "WHEN line % 6 = 3 THEN 12 WHEN").replace("last_value(CASE WHEN a.no IS NOT NULL THEN a.line END", "last_value(CASE WHEN a.no IS NOT NULL OR a.text = 'Contents' THEN a.line END")
 
 
 @query("c9_contents", f"WITH {CONTENTS_MD} SELECT doc_id, line, no, content FROM clauses WHERE no IS NOT NULL")
 def c9(spark, d):
-    lines = md_lines(spark, d).withColumn("text", F.when(F.col("line") % 6 == 2, "Contents").otherwise(F.col("text")))
-    return S.clause_table(lines, LETTER).select("doc_id", "line", "no", "content")
+    return S.clause_table(md_lines(spark, d, contents=True), LETTER).select("doc_id", "line", "no", "content")
+
+
+@query("c15_metrics", f"""WITH {MD}, o AS (SELECT *, title LIKE '%用词说明' AS own, count(*) FILTER (titled) OVER (PARTITION BY doc_id ORDER BY line) AS mood FROM clauses), i AS (SELECT *, bool_or(own) OVER (PARTITION BY doc_id, mood) AS note, CASE WHEN path = '' THEN [] ELSE string_split(path, ' > ') END AS p FROM o),
+e AS (SELECT *, [x FOR x IN string_split(no, '.')[1:-2] IF x <> '0'] AS segs, regexp_replace(no, '\\.[^.]*$', '') AS up FROM i),
+m AS (SELECT doc_id, count(DISTINCT up) AS missing FROM e WHERE NOT note AND contains(no, '.') AND NOT regexp_matches(up, '(^|\\.)0$') AND up NOT IN (SELECT no FROM e x WHERE x.doc_id = e.doc_id AND NOT x.note) AND len([x FOR x IN p IF contains(x, up || ' ')]) = 0 GROUP BY 1)
+SELECT doc_id, count(*) AS clauses, count(*) FILTER (NOT regexp_matches(no, '\\d')) AS without_digits, coalesce(round(avg(CASE WHEN NOT note THEN CAST(len(p) > 0 AND len(p) = len(segs) AS INTEGER) END), 4), 0) AS coverage, coalesce(any_value(missing), 0) AS missing FROM e LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
+def c15b(spark, d):
+    lines = md_lines(spark, d)
+    m = S.metrics(S.clause_table(lines, LETTER), S.degraded_headings(S.accepted(S.candidates(lines, LETTER))))
+    return m.select("doc_id", "clauses", "without_digits", "coverage", F.size("missing_sections").cast("long").alias("missing"))

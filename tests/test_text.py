@@ -44,3 +44,40 @@ def test_codes(spark):
     assert (got.code, got.title, got.matched) == ("GB/T 50010-2010", "混凝土结构设计规范", True)
     assert not one(spark, "T2塔楼施工方案.pdf", T.parse_filename(x)).matched
     assert one(spark, "Q/SY 1", T.detect_nature(x)) == "" and one(spark, "T/CECS 1", T.detect_hierarchy(x)) == "团体标准"
+
+
+def test_character_references(spark):
+    x = F.col("x")
+    assert one(spark, "&#20013;&#x4e2d; &mdash; &amp;lt; &nosuch; &#128; &#0; a&b &lt", T.unescape(x)) == "中中 — &lt; &nosuch; € � a&b <"
+    assert one(spark, "<p>&#20013;&nbsp;x</p>", T.strip_html(x)) == "中 x"
+
+
+def test_names_with_noise(spark):
+    x = F.col("x")
+
+    def parse(name):
+        r = one(spark, name, T.parse_filename(x))
+        return (r.code, r.title, r.matched)
+
+    assert parse("高清_GB 50010‑2010 混凝土结构设计规范电子版.pdf") == ("GB 50010-2010", "混凝土结构设计规范", True)
+    assert parse("1. JGJ 107-2016 钢筋机械连接技术规程（1）副本.pdf") == ("JGJ 107-2016", "钢筋机械连接技术规程", True)
+    assert parse("GB 50010—2010 混凝土结构设计规范（2015年版）.pdf")[1] == "混凝土结构设计规范（2015年版）"
+    assert parse("GB 50204-2015 施工规范修正版.pdf")[1] == "施工规范修正版"
+    assert parse("DB13/T 200.pdf")[2] is False and parse("Q1报表.xlsx")[2] is False
+    assert one(spark, "ＪＧＪ１０７ 规程Ⅲ（2015年版）。", T.duplicate_title_key(x)) == "jgj107规程iii"
+
+
+def test_spacing_of_rare_ideographs(spark):
+    x = F.col("x")
+    assert one(spark, "㐀 一\t豈\r\n中　国", T.normalize_cjk_spacing(x)) == "㐀一豈\r\n中国"
+
+
+def test_statutory_titles_and_covers(spark):
+    from clausespark.operators import structure as S
+
+    x = F.col("x")
+    yes = ["前言", "本规范用词说明", "本规程用词用语说明", "关于发布行业标准《城市桥梁工程施工与质量验收规范》的公告", "3.0.2 条文说明", "引用标准名录"]
+    assert [one(spark, t, S.is_statutory(x)) for t in [*yes, "用词要求", "公告发布要求", "附录A", ""]] == [True] * 6 + [False] * 4
+    assert one(spark, "ICS 77.140.60\n中国标准出版社 出版发行\n定价 20 元", S.is_cover(x)) and not one(spark, "本规范发布后实施。", S.is_cover(x))
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["# 6 工程", "6.11 导流工程……28", "6.1 应符合……的规定，见表", "6.2 总则.....3"])], "doc_id long, line int, text string")
+    assert [r.no for r in S.candidates(lines).where("no is not null").orderBy("line").collect()] == ["6", "6.1"]
