@@ -1,111 +1,19 @@
-"""Helpers that several operators share: tables in the shared folder and connected components."""
+"""Helpers that several operators share; tables in the shared folder and components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from clausespark.tables import Scratch, connected_components, new_path, shared_dir, stored  # noqa: F401
 
 #: What counts as white space between words.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; where that is unset, the checkpoint folder of the session.
-
-    In local mode, where driver and executor are one, a temporary folder is set if neither is; on a cluster that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clausespark-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables in the shared folder that go once what needs them is stored."""
-
-    def __init__(self):
-        self.paths: list[tuple[SparkSession, str]] = []
-
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """As stored(), until clear()."""
-        spark = df.sparkSession
-        path = new_path(spark, name)
-        self.paths.append((spark, path))
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        for spark, path in self.paths:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self.paths = []
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of the edges, component being the smallest node reachable.
-
-    Each round hooks every node to its smallest neighbour, follows the pointers to their roots, and contracts
-    the edges to roots; rounds go on until no edge between different roots is left. Nothing is collected but the
-    number of edges left. Edges with a null end and loops are ignored, and so are repeated edges.
-    """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    scratch, last = Scratch(), Scratch()
-    e = scratch.stored(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    label: DataFrame | None = None
-    while True:
-        both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).union(e.select("b", "a"))
-        hook = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent"))
-        hook = scratch.stored(hook, "cc-hook")
-        while True:
-            up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            jumped = hook.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
-            jumped = scratch.stored(jumped, "cc-jump")
-            hook = jumped.select("node", "parent")
-            if not jumped.where("moved").limit(1).count():
-                break
-        if label is None:
-            label = hook.select("node", F.col("parent").alias("component"))
-        else:
-            root = hook.select(F.col("node").alias("component"), F.col("parent").alias("root"))
-            label = label.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        before, last = last, Scratch()
-        label = last.stored(label, "cc-label")
-        before.clear()
-        ra = hook.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
-        rb = hook.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
-        e = e.join(ra, "a").join(rb, "b").where("ra <> rb")
-        after = Scratch()
-        e = after.stored(e.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
-        more = e.limit(1).count()
-        scratch.clear()
-        if not more:
-            after.clear()
-            return label
-        scratch = after
