@@ -213,14 +213,14 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list
 def reject_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the learned rules reject and those that repeat themselves; short documents stay.
 
-    All labelled rows teach. The rules are applied to docs as one expression, of which Spark computes only the statistics
-    that they test. All columns stay; null texts are judged as empty ones.
+    All labelled rows teach. Rows and their statistics are stored once; labels join them, and the rules filter them as one
+    expression. All columns stay; null texts are judged as empty ones, and rows with a null or repeated doc_id like others.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    taught = stored(with_statistics(docs.select("doc_id", "text")), "statistics").join(known, "doc_id")
-    rules = learn_rules(*contingency(taught))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
-    return with_statistics(whole, "doc", "t").where(verdict(rules) & ~repeating()).select("doc_id.*")
+    judged = stored(with_statistics(whole, "doc", "t").withColumnRenamed("doc_id", "doc"), "judged")
+    rules = learn_rules(*contingency(judged.select(F.col("doc.doc_id").alias("doc_id"), *STATISTICS).join(known, "doc_id")))
+    return judged.where(verdict(rules) & ~repeating()).select("doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import connected_components, documents, shuffle_partitions, stored
+from clausespark.operators.quality import numbered
 
 SEED = 42
 PIVOTS = 24
@@ -276,10 +277,21 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of every connected group of similar_links the document with the smallest doc_id stays.
 
-    Rows with a null doc_id stay. All columns stay.
+    A document is a doc_id and a text: rows that repeat both stay or go together, and a doc_id with unlike texts has a
+    document for each, the one of the smaller text hash first. Null and empty texts are alike. Rows with a null doc_id
+    stay. All columns stay.
     """
-    found = connected_components(similar_links(docs.select("doc_id", "text"), width, similarity))
-    return docs.join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    twice = texts.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    if not twice.limit(1).count():
+        found = connected_components(similar_links(texts.drop("h"), width, similarity))
+        return docs.join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    nodes = stored(numbered(texts.select("doc_id", "h").distinct(), [F.asc("doc_id"), F.asc("h")], "node"), "documents")
+    found = connected_components(similar_links(texts.join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text"), width, similarity))
+    gone = stored(found.where("node <> component").join(nodes, "node").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_hash")), "copies")
+    # the row as one column, so that no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"))
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("own") == F.col("gone_hash")), "left_anti").select("doc.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

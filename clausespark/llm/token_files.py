@@ -114,15 +114,18 @@ def unpack(bits: bytes, checkpoints: bytes, n_tokens: int, table: tuple[np.ndarr
     return out.T.reshape(-1)[:n_tokens]
 
 
-#: A comma or full stop next to another symbol: such texts, and those with apostrophes, keep their symbols in place.
-_BOUND_SYMBOLS = re.compile(r"[,.](?:(?<=[^\w\s].)|(?<=_.)|[^\w\s]|_)").search
+#: Letters, digits and white space by which a comma or full stop is a pretoken of its own, whatever normalising does: ASCII,
+#: and Latin letters that stay one letter in lower case.
+_PLAIN = r"0-9A-Za-z \n\t\rÀ-ÖØ-öø-įı-ɏ"
+#: A comma or full stop next to anything else: such texts, and those with apostrophes, keep their symbols in place.
+_BOUND_SYMBOLS = re.compile(f"[,.](?:(?<=[^{_PLAIN}].)|[^{_PLAIN}])").search
 
 
 def _pieces(text: str) -> list[str]:
     """The text cut at white space, where no pretoken crosses, and written alike where that leaves its ids alone.
 
     Lower-casing first gives the same ids for normalized texts without final sigma or the added tokens' "<|"; commas and
-    full stops that touch no other symbol are pretokens of their own.
+    full stops between _PLAIN characters are pretokens of their own.
     """
     if "<|" not in text and "Σ" not in text:
         low = text.lower()
@@ -202,8 +205,7 @@ def write_token_files(ids: DataFrame, path: str, vocabulary_size: int = 49_408,
     def count(batches):
         n = np.zeros(vocabulary_size, np.int64)
         for b in batches:
-            for x in b["ids"]:
-                n += np.bincount(np.frombuffer(x, kind), minlength=vocabulary_size)
+            n += np.bincount(np.frombuffer(b"".join(b["ids"]), kind), minlength=vocabulary_size)
         yield pd.DataFrame({"id": np.flatnonzero(n), "n": n[n > 0]})
 
     counts = np.zeros(vocabulary_size, np.int64)

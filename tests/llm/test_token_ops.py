@@ -48,6 +48,15 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert token_files.read_token_files(spark, str(tmp_path / "g")).count() == 0
 
 
+def test_ids_equal_library_next_to_any_character():
+    t, path = library("word_bpe_49k.json"), P.path("word_bpe_49k.json")
+    chars = [chr(c) for c in [*range(0x3400), *range(0xA000, 0xD800, 11), *range(0xE000, 0x30000, 17)]]
+    for form in ("a{}. b", "a.{}b", "{},x A", "Café {}.Y", "x, {} .É{}"):
+        texts = [form.replace("{}", c) for c in chars]
+        want = t.encode_batch(texts, add_special_tokens=False)
+        assert [x for x, a, b in zip(texts, token_files.encode_texts(texts, path, "<u2"), want, strict=True) if a != np.array(b.ids, "<u2").tobytes()] == []
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(0)
     for n, limit in ((1, 16), (2, 16), (5, 3), (300, 9), (4000, 14)):
