@@ -33,6 +33,7 @@ def test_odd_rows(spark):
     docs = documents(spark, DIR).limit(0)
     docs = docs.unionByName(spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in texts], "doc_id long, text string, n_chars long"), allowMissingColumns=True)
     docs = docs.select("*", *[F.lit("x").alias(c) for c in columns if c not in docs.columns])
+    start = docs
     for name, stage in corpus_pipeline.STAGES:
         out = stored(stage(spark, docs, DIR), name)
         got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) if "text" in out.columns else out.count()
@@ -44,7 +45,7 @@ def test_odd_rows(spark):
             docs = out if name == "suffix_dedup" else docs
         else:
             assert out.count() == docs.count()
-    kept = corpus_pipeline.simhash_dedup(spark, docs, DIR).where("doc_id = 2").collect()
+    kept = corpus_pipeline.simhash_dedup(spark, start, DIR).where("doc_id = 2").collect()
     assert [r.text[:9] for r in kept] == ["an unlike"]
 
 
