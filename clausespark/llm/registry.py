@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import bpe, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
+from clausespark.llm import bpe, infill, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_block_topk": topk.op8_block_topk,
         "op9_simhash": simhash.op9_simhash,
         "op10_bpe": bpe.op10_bpe,
+        "op13_fill_in_middle": infill.op13_fill_in_middle,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict:
         "op1_warc_revisits": warc.OP1_SQL,
         "op3_url_rules": url_rules.OP3_SQL,
         "op8_block_topk": topk.OP8_SQL,
+        "op13_fill_in_middle": infill.OP13_SQL,
     }
