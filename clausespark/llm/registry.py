@@ -1,6 +1,6 @@
 """The queries of this package and their DuckDB SQL."""
 
-from clausespark.llm import bitslice, bpe, infill, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
+from clausespark.llm import bitslice, bpe, infill, jaccard, line_dedup, packing, quality_rules, simhash, suffix_dedup, token_files, topk, url_rules, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_block_topk": topk.op8_block_topk,
         "op9_simhash": simhash.op9_simhash,
         "op10_bpe": bpe.op10_bpe,
+        "op11_jaccard_join": jaccard.op11_jaccard_join,
         "op12_lexical_search": bitslice.op12_lexical_search,
         "op13_fill_in_middle": infill.op13_fill_in_middle,
     }
