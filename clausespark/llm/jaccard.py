@@ -4,8 +4,8 @@ A document is the set of its word shingles; equal sets are one. To bring similar
 shingles are dealt to parts: sets that link differ in a bounded number of shingles, so among one more parts of the smaller one
 that hold any, one is the same in both (pigeonhole). A set's parts are its keys.
 
-Sets that share a key are compared with one of them first, which connects copies. Of keys whose sets are still in different
-components, the sets form a signature tree: leaves are bitmaps of shingles, inner nodes OR them and hold ranges of sizes and
+Sets that share a key are compared with one of them first, and in further rounds with another one, which connects copies. Pairs
+that bitmaps of shingles rule out go no further. Of keys whose sets are still in different components, the sets form a signature tree: leaves are bitmaps of shingles, inner nodes OR them and hold ranges of sizes and
 components. Pairs of nodes are descended into together unless the largest overlap that they allow is too small, their sizes
 differ too much, or all below them is one component. Pairs of leaves that are left are verified on the texts.
 """
@@ -26,6 +26,8 @@ from clausespark.llm.common import Scratch, connected_components, documents, sto
 SEED = 42
 #: Children of a node, sets of a block, pairs of nodes looked at together.
 FANOUT, BLOCK, FRONTIER = 8, 1024, 1 << 15
+#: Rounds in which the sets of a key are compared with another one of them, before trees.
+ROUNDS = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -79,8 +81,8 @@ def part_keys(h: np.ndarray, percent: int = 85) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for each shingle's hash, in four to eight times as many as the set has."""
-    bits = 4 << len(h).bit_length()
+    """A bit for each shingle's hash, in eight to sixteen times as many as the set has."""
+    bits = 8 << len(h).bit_length()
     wide = np.zeros(max(64, bits), bool)
     wide[(_mixed(h) % np.uint64(len(wide))).astype(np.int64)] = True
     return np.packbits(wide, bitorder="little").tobytes()
@@ -142,24 +144,68 @@ class SignatureTree:
 
 def _folded(bits: bytes, size: int) -> np.ndarray:
     """A bitmap folded to so many bytes, a power of two."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+    own = np.frombuffer(bits, np.uint8)
+    return own if len(own) == size else np.bitwise_or.reduce(own.reshape(-1, size), axis=0)
 
 
-def tree_pairs(rows: pd.DataFrame, percent: int, across: bool) -> pd.DataFrame:
-    """(a, b): pairs of rows (gid, n, bits, component, side) that may link; across: of different sides alone."""
+def tree_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): pairs of the rows of one key (key, gid, n, bits, component, side, keys) that may link.
+
+    Rows of two sides pair across alone. keys are a set's keys in use; a pair counts under the smallest that both have.
+    """
     size = min(map(len, rows["bits"]))
     bits = np.stack([_folded(b, size) for b in rows["bits"]])
     by = np.lexsort((bits.view(">u8")[:, 0], rows["n"].to_numpy(), rows["component"].to_numpy()))
-    gid, side = rows["gid"].to_numpy()[by], rows["side"].to_numpy()[by]
+    gid, side, key = rows["gid"].to_numpy()[by], rows["side"].to_numpy()[by], rows["key"].iloc[0]
+    keys = [frozenset(k) for k in rows["keys"].to_numpy()[by]]
     tree = SignatureTree(bits[by].view(np.uint64), rows["n"].to_numpy(np.int64)[by], rows["component"].to_numpy()[by])
-    found = []
+    across, found = side.min() != side.max(), []
     for i, j in tree.pairs(percent):
         met = (side[i] != side[j]) if across else (i < j)
-        found.append((i[met], j[met]))
-    i, j = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+        found += [(x, y) for x, y in zip(i[met].tolist(), j[met].tolist(), strict=True) if min(keys[x] & keys[y]) == key]
+    i, j = (np.array([f[x] for f in found], np.int64) for x in (0, 1))
     return pd.DataFrame({"a": np.minimum(gid[i], gid[j]), "b": np.maximum(gid[i], gid[j])})
 
 
+def _by_group(rows_of, columns: list[str]):
+    """A function of batches sorted by columns that applies rows_of to each run of equal ones."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            change = np.zeros(len(b), bool)
+            for c in columns:
+                own = b[c].to_numpy()
+                change[1:] |= own[1:] != own[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(b)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = b.iloc[s:e]
+                if held and any(held[-1][c].iloc[-1] != part[c].iloc[0] for c in columns):
+                    yield rows_of(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield rows_of(pd.concat(held))
+
+    return run
+
+
+def bitmaps_allow(percent: int):
+    """A function of sizes and bitmaps of two sets: whether they may link."""
+
+    @F.pandas_udf("boolean")
+    def allow(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for n_, u, m_, v in zip(n, x, m, y, strict=True):
+            size = min(len(u), len(v))
+            u, v = _folded(u, size).view(np.uint64), _folded(v, size).view(np.uint64)
+            overlap = min(n_ - int(np.bitwise_count(u & ~v).sum()), m_ - int(np.bitwise_count(v & ~u).sum()))
+            out.append((100 + percent) * overlap >= percent * (n_ + m_))
+        return pd.Series(out, dtype=bool)
+
+    return allow
+
+
 def alike_texts(width: int, percent: int):
     """A function of two columns of texts: whether their sets link."""
 
@@ -213,44 +259,52 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     wanted = keys.select("gid").distinct().join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), "t1", "t2")
     same = (d["t1"] == wanted["t1"]) & (d["t2"] == wanted["t2"]) & d["doc_id"].eqNullSafe(wanted["of"])
     texts = scratch.stored(d.join(wanted, same).groupBy("gid").agg(F.first("text").alias("text")), "texts")
-    alike = alike_texts(width, percent)
+    alike, allow = alike_texts(width, percent), bitmaps_allow(percent)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
+        sides = [sets.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
+        near = pairs.join(sides[0], "a").join(sides[1], "b").where(allow("na", "bitsa", "nb", "bitsb")).select("a", "b")
+        near = scratch.stored(near, f"near-{name}")
+        both = near.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.stored(both.where(alike("ta", "tb")).select("a", "b"), name)
 
-    def labels(links: DataFrame) -> DataFrame:
-        return connected_components(links).withColumnRenamed("node", "gid")
+    def mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """Of rows (key, gid) those of keys whose sets are in several components, with these; keys of the same sets once."""
+        label = connected_components(links).withColumnRenamed("node", "gid")
+        now = scratch.stored(rows.join(label, "gid", "left").select("key", "gid", F.coalesce("component", "gid").alias("component")), "labelled-keys")
+        of = now.groupBy("key").agg(F.count("*").alias("sets"), *[F.bit_xor(F.xxhash64(F.lit(i), "gid")).alias(f"all{i}") for i in (0, 1)], F.min("component").alias("low"), F.max("component").alias("high"))
+        of = of.where("low < high").groupBy("sets", "all0", "all1").agg(F.min("key").alias("key"))
+        return scratch.stored(now.join(of.select("key", "sets"), "key"), "mixed-keys")
 
     # the set with which each shares most keys, then all others that it shares keys with as the first of them
     star = scratch.stored(keys.where("gid <> one").groupBy(F.col("gid").alias("b"), F.col("one").alias("a")).agg(F.count("*").alias("n")), "firsts")
     most = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = verified(most, "links-most")
-    label = labels(links)
-    of = lambda x: label.select(F.col("gid").alias(x), F.col("component").alias(f"c{x}"))
+    label = connected_components(links)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     apart = star.join(most.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = links.union(verified(apart, "links-firsts"))
 
-    # keys whose sets are still apart; those of the same sets once
-    label = labels(links)
-    left = keys.where("sets > 2").join(label, "gid", "left").select("key", "gid", F.coalesce("component", "gid").alias("component"))
-    left = scratch.stored(left, "labelled-keys")
-    mixed = left.groupBy("key").agg(F.count("*").alias("sets"), *[F.bit_xor(F.xxhash64(F.lit(i), "gid")).alias(f"all{i}") for i in (0, 1)], F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low < high").groupBy("sets", "all0", "all1").agg(F.min("key").alias("key"))
-    left = left.join(mixed.select("key", "sets"), "key").join(sets.select("gid", "n", "bits"), "gid")
+    # in each round another set of each key stands for it
+    left = mixed(keys.where("sets > 2").select("key", "gid"), links)
+    for at in range(ROUNDS):
+        one = left.groupBy("key").agg(F.min_by(F.struct("gid", "component"), F.xxhash64(F.lit(at), "key", "gid")).alias("one"))
+        met = left.join(one, "key").where("component <> one.component").select(F.least("gid", "one.gid").alias("a"), F.greatest("gid", "one.gid").alias("b")).distinct()
+        links = links.union(verified(met, f"links-{at}"))
+        left = mixed(left.select("key", "gid"), links)
+
+    own = left.groupBy("gid").agg(F.collect_set("key").alias("keys"))
+    left = left.join(own, "gid").join(sets.select("gid", "n", "bits"), "gid")
     # blocks of a key's sets, and every pair of blocks
     left = left.withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("gid", "key"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "gid", "n", "bits", "component", "side")
-
-    def descended(k, rows):
-        return tree_pairs(rows, percent, bool(k[1] != k[2]))
-
-    found = left.groupBy("key", "x", "y").applyInPandas(descended, "a long, b long").distinct()
-    links = links.union(verified(scratch.stored(found, "tree-pairs"), "links-trees"))
+    left = left.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "gid", "n", "bits", "component", "side", "keys")
+    group = ["key", "x", "y"]
+    found = left.repartition(*group).sortWithinPartitions(*group).mapInPandas(_by_group(lambda rows: tree_pairs(rows, percent), group), "a long, b long")
+    links = links.union(verified(found, "links-trees"))
 
-    ids = sets.select("gid", "o1", "o2", "n", "least").join(labels(links), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    ids = sets.select("gid", "o1", "o2", "n", "least").join(connected_components(links).withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     ids = scratch.stored(ids, "set-components")
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = ids.join(least, "component").select("o1", "o2", "n", "component_id")

@@ -104,13 +104,14 @@ def test_tree_keeps_every_pair_that_links_and_prunes():
     for _ in range(60):
         base = np.unique(rng.integers(0, 1 << 64, int(rng.integers(40, 160)), np.uint64))
         sets += [base] + [np.unique(np.r_[base[int(rng.integers(0, 9)) :], rng.integers(0, 1 << 64, 3, np.uint64)]) for _ in range(2)]
-    rows = pd.DataFrame({"gid": np.arange(len(sets)), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "component": np.arange(len(sets)), "side": 0})
-    found = set(map(tuple, tree_pairs(rows, 85, False).to_numpy().tolist()))
+    rows = pd.DataFrame({"gid": np.arange(len(sets)), "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets], "component": np.arange(len(sets)), "side": 0, "key": 7, "keys": [[7, 9]] * len(sets)})
+    found = set(map(tuple, tree_pairs(rows, 85).to_numpy().tolist()))
     size = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
     linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * size(i, j) >= 85 * (len(sets[i]) + len(sets[j]) - size(i, j))}
     assert linked <= found and len(found) < 400 < len(sets) * (len(sets) - 1) // 2
     one = rows.assign(component=0)
-    assert tree_pairs(one, 85, False).empty
+    assert tree_pairs(one, 85).empty
+    assert tree_pairs(rows.assign(keys=[[5, 7]] * len(sets)), 85).empty  # met under another key
 
 
 def test_empty_table_and_registered_query(spark, tmp_path):
