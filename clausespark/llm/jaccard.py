@@ -12,7 +12,7 @@ differ too much, or all below them is one component. Pairs of leaves that are le
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil
 
 import numpy as np
@@ -81,8 +81,8 @@ def part_keys(h: np.ndarray, percent: int = 85) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit for each shingle's hash, in eight to sixteen times as many as the set has."""
-    bits = 8 << len(h).bit_length()
+    """A bit for each shingle's hash, in four to eight times as many as the set has."""
+    bits = 4 << len(h).bit_length()
     wide = np.zeros(max(64, bits), bool)
     wide[(_mixed(h) % np.uint64(len(wide))).astype(np.int64)] = True
     return np.packbits(wide, bitorder="little").tobytes()
@@ -242,30 +242,41 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                     "keys": [part_keys(h, percent) for h in sets], "bits": [bitmap(h) for h in sets],
                 })
 
-    scratch = Scratch()
+    scratch, first = Scratch(), Scratch()
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     d = d.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), "t1", "t2", "text")
-    signs = rows.mapInPandas(signed, "doc_id string, t1 long, t2 long, n long, o1 long, o2 long, keys array<long>, bits binary")
-    signs = scratch.stored(signs.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
-    some = signs.where("n > 0").groupBy("o1", "o2", "n")
+    full = rows.mapInPandas(signed, "doc_id string, t1 long, t2 long, n long, o1 long, o2 long, keys array<long>, bits binary")
+    full = first.stored(full.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
+    signs = scratch.stored(full.select("doc_id", "n", "o1", "o2"), "documents")
+    some = full.where("n > 0").groupBy("o1", "o2", "n")
     sets = some.agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t1", "t2")).alias("row"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    sets = scratch.stored(sets.withColumn("gid", F.monotonically_increasing_id()), "shingle-sets")
-
-    keys = sets.select(F.explode("keys").alias("key"), "gid")
+    full = first.stored(sets.withColumn("gid", F.monotonically_increasing_id()), "sets-and-keys")
+    sets = scratch.stored(full.drop("keys"), "shingle-sets")
+    keys = full.select(F.explode("keys").alias("key"), "gid")
     shared = keys.groupBy("key").agg(F.min("gid").alias("one"), F.count("*").alias("sets")).where("sets > 1")
     keys = scratch.stored(keys.join(shared, "key"), "shared-keys")
+    first.clear()
 
-    wanted = keys.select("gid").distinct().join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), "t1", "t2")
-    same = (d["t1"] == wanted["t1"]) & (d["t2"] == wanted["t2"]) & d["doc_id"].eqNullSafe(wanted["of"])
-    texts = scratch.stored(d.join(wanted, same).groupBy("gid").agg(F.first("text").alias("text")), "texts")
-    alike, allow = alike_texts(width, percent), bitmaps_allow(percent)
+    alike, allow, texts = alike_texts(width, percent), bitmaps_allow(percent), []
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, ...) that bitmaps allow."""
         sides = [sets.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
-        near = pairs.join(sides[0], "a").join(sides[1], "b").where(allow("na", "bitsa", "nb", "bitsb")).select("a", "b")
-        near = scratch.stored(near, f"near-{name}")
-        both = near.join(texts.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
+        return scratch.stored(pairs.join(sides[0], "a").join(sides[1], "b").where(allow("na", "bitsa", "nb", "bitsb")).select(*pairs.columns), f"near-{name}")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The near pairs whose texts link; each text is fetched once."""
+        if not pairs.limit(1).count():
+            return pairs.select("a", "b")
+        wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
+        for held in texts:
+            wanted = wanted.join(held, "gid", "left_anti")
+        wanted = scratch.stored(wanted.join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "wanted")
+        same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("of"))
+        texts.append(scratch.stored(d.join(wanted, same).groupBy("gid").agg(F.first("text").alias("text")), "texts"))
+        every = reduce(DataFrame.union, texts)
+        both = pairs.join(every.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").join(every.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.stored(both.where(alike("ta", "tb")).select("a", "b"), name)
 
     def mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -277,7 +288,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         return scratch.stored(now.join(of.select("key", "sets"), "key"), "mixed-keys")
 
     # the set with which each shares most keys, then all others that it shares keys with as the first of them
-    star = scratch.stored(keys.where("gid <> one").groupBy(F.col("gid").alias("b"), F.col("one").alias("a")).agg(F.count("*").alias("n")), "firsts")
+    star = keys.where("gid <> one").groupBy(F.col("gid").alias("b"), F.col("one").alias("a")).agg(F.count("*").alias("n"))
+    star = near(star.select("a", "b", "n"), "firsts")
     most = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = verified(most, "links-most")
     label = connected_components(links)
@@ -289,9 +301,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     # in each round another set of each key stands for it
     left = mixed(keys.where("sets > 2").select("key", "gid"), links)
     for at in range(ROUNDS):
+        if not left.limit(1).count():
+            break
         one = left.groupBy("key").agg(F.min_by(F.struct("gid", "component"), F.xxhash64(F.lit(at), "key", "gid")).alias("one"))
         met = left.join(one, "key").where("component <> one.component").select(F.least("gid", "one.gid").alias("a"), F.greatest("gid", "one.gid").alias("b")).distinct()
-        links = links.union(verified(met, f"links-{at}"))
+        links = links.union(verified(near(met, f"round-{at}"), f"links-{at}"))
         left = mixed(left.select("key", "gid"), links)
 
     own = left.groupBy("gid").agg(F.collect_set("key").alias("keys"))
@@ -302,7 +316,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     left = left.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "gid", "n", "bits", "component", "side", "keys")
     group = ["key", "x", "y"]
     found = left.repartition(*group).sortWithinPartitions(*group).mapInPandas(_by_group(lambda rows: tree_pairs(rows, percent), group), "a long, b long")
-    links = links.union(verified(found, "links-trees"))
+    links = links.union(verified(scratch.stored(found, "tree-pairs"), "links-trees"))
 
     ids = sets.select("gid", "o1", "o2", "n", "least").join(connected_components(links).withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     ids = scratch.stored(ids, "set-components")
