@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
@@ -49,25 +50,46 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
-def unescape(c: Column | str) -> Column:
-    """Character references read, named (those of HTML 5) and numeric ones, in one pass; unknown names stay."""
-    reference = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
-    t = text(c)
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference: of Windows-1252 for C1 controls, U+FFFD for none, nothing for controls and non-characters."""
+    odd = {i: bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+    names = F.from_json(F.lit(json.dumps({str(k): chr(k) if v == "\ufffd" and k else v for k, v in odd.items()})), "map<string,string>")
+    bad = (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    low = code.bitwiseAND(0xFFFF)
+    none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 65).otherwise(code)), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(names, code.cast("string")), F.when(bad, "\ufffd").when(none, "").otherwise(char))
+
+
+def _reference(e: Column) -> Column:
+    """What a character reference stands for; of names the longest known beginning counts, the rest stays."""
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    # code points of the C1 controls stand for those of Windows-1252, bad ones for U+FFFD
-    odd = {i: bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0)}
-    odd_names = F.from_json(F.lit(json.dumps({str(k): v for k, v in odd.items() if v != "\ufffd"})), "map<string,string>")
+    number = F.regexp_extract(e, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    short = F.substring(F.concat(F.lit("0"), number), 1, 8)  # more digits are beyond all characters
+    code = F.when(e.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+    code = F.when(F.length(number) > 7, 0x110000).otherwise(code)
+    name = F.substring(e, F.lit(2), F.length(e))
+    known = F.try_element_at(names, name)
+    for n in range(max(len(k) for k in html5 if not k.endswith(";")), 1, -1):
+        known = F.coalesce(known, F.when(F.length(name) > n, F.concat(F.try_element_at(names, F.substring(name, 1, n)), F.substring(name, F.lit(n + 1), F.length(name)))))
+    return F.when(e.startswith("&#"), bound(code, _character)).otherwise(F.coalesce(known, e))
+
+
+def unescape(c: Column | str) -> Column:
+    """Character references read as browsers do, named (those of HTML 5) and numeric ones, in one pass; unknown names stay."""
+    reference = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 
-    def read(e: Column) -> Column:
-        digits = F.regexp_extract(e, "([0-9a-fA-F]+);?$", 1)
-        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
-        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        char = F.when(bad, "\ufffd").otherwise(F.coalesce(F.try_element_at(odd_names, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 65).otherwise(code)), 8, "0")), "UTF-32")))
-        return F.when(e.startswith("&#"), char).otherwise(F.coalesce(F.try_element_at(names, F.substring(e, F.lit(2), F.length(e))), e))
+    def read(t: Column) -> Column:
+        found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(reference), 0), _reference), F.array(F.lit("")))
+        whole = F.array_join(F.zip_with(F.split(t, reference, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
 
-    between = F.split(t, reference, -1)
-    found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(reference), 0), read), F.array(F.lit("")))
-    return F.when(~F.contains(t, F.lit("&")), t).otherwise(F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    return bound(text(c), read)
 
 
 def strip_html(c: Column | str) -> Column:
@@ -77,8 +99,7 @@ def strip_html(c: Column | str) -> Column:
     """
     t = F.regexp_replace(text(c), r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>", "\n")
-    t = F.regexp_replace(t, r"</?[a-zA-Z!][^>]*>", "")
-    t = unescape(t)
+    t = unescape(F.regexp_replace(t, r"</?[a-zA-Z!][^>]*>", ""))
     t = F.regexp_replace(t, "[ \\t\u3000]+", " ")
     return F.array_join(F.filter(F.transform(lines(t), strip), lambda x: x != ""), "\n")
 
@@ -100,11 +121,16 @@ def normalize_md(c: Column | str) -> Column:
     return F.regexp_replace(t, TABLE_TO_CENTRE, '<table align="center"$1>')
 
 
-def tokenize(c: Column | str) -> Column:
-    """Lower-case runs of letters and digits; of ideographs every pair of neighbours, and one that stands alone."""
+def token_runs(c: Column | str) -> Column:
+    """The tokens of each run of letters and digits or of ideographs, in an array each: a run of ideographs is its neighbours' pairs."""
     runs = F.regexp_extract_all(F.lower(text(c)), F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), 0)
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    return F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r)))
+
+
+def tokenize(c: Column | str) -> Column:
+    """Lower-case runs of letters and digits; of ideographs every pair of neighbours, and one that stands alone."""
+    return F.flatten(token_runs(c))
 
 
 def estimate_tokens(c: Column | str, chars_per_token: int = 2) -> Column:
@@ -125,31 +151,35 @@ def build_embed_text(code: Column, title: Column, clause_no: Column, clause_titl
 def chunks(c: Column | str, limit: Column | int = 512) -> Column:
     """Pieces of at most `limit` characters of a plain text, cut at sentences where it can be.
 
-    A new piece starts with the tail of the one before it that starts a sentence, a tenth of limit at most, unless the
-    next sentence then would not fit.
+    A new piece starts with the last sentence of the one before it if that has under a tenth of limit, is not all of it,
+    and leaves room for the next sentence. A fold over the sentences' lengths finds the first and last sentence of each
+    piece, and the pieces are joined from those, so the time grows with the text's length.
     """
     limit = F.lit(limit) if isinstance(limit, int) else limit
     t = text(c)
-    hard = lambda u: F.transform(F.sequence(F.lit(1), F.length(u), limit), lambda i: F.substring(u, i, limit))
-    units = F.flatten(F.transform(F.filter(F.split(t, f"(?<=[{SENTENCE_END}])", -1), lambda u: u != ""), hard))
+    hard = lambda u: F.when(F.length(u) > limit, F.regexp_extract_all(u, F.concat(F.lit("(?s).{1,"), limit.cast("string"), F.lit("}")), 0)).otherwise(F.array(u))
     overlap = F.floor(limit * F.lit(0.1)).cast("int")
+    none = F.array().cast("array<struct<first:int,next:int>>")
 
-    def tail(buf: Column) -> Column:
-        window = F.right(buf, overlap)
-        body = F.substring(window, F.lit(1), F.length(window) - 1)
-        return F.when((overlap > 0) & body.rlike(f"[{SENTENCE_END}]"), F.regexp_extract(window, f"(?s)^.*[{SENTENCE_END}](.+)$", 1)).otherwise("")
-
-    def step(acc: Column, unit: Column) -> Column:
-        full = (F.length(acc["buf"]) > 0) & (F.length(acc["buf"]) + F.length(unit) > limit)
-        carried = F.when(F.length(tail(acc["buf"])) + F.length(unit) <= limit, tail(acc["buf"])).otherwise("")
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["size"] > 0) & (acc["size"] + x["n"] > limit)
+        again = (acc["at"] - acc["first"] > 1) & acc["begins"] & (acc["n"] < overlap) & (acc["n"] + x["n"] <= limit)
         return F.struct(
-            F.when(full, F.concat(carried, unit)).otherwise(F.concat(acc["buf"], unit)).alias("buf"),
-            F.when(full, F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"]).alias("out"),
-        )
+            (acc["at"] + 1).alias("at"), F.when(full, acc["at"] - again.cast("int")).otherwise(acc["first"]).alias("first"),
+            F.when(full, x["n"] + F.when(again, acc["n"]).otherwise(0)).otherwise(acc["size"] + x["n"]).alias("size"),
+            x["n"].alias("n"), acc["ends"].alias("begins"), x["ends"].alias("ends"),
+            F.when(full, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["at"].alias("next"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    def pieces(units: Column) -> Column:
+        facts = F.transform(units, lambda u: F.struct(F.length(u).alias("n"), u.rlike(f"[{SENTENCE_END}]$").alias("ends")))
+        zero, no = F.lit(0), F.lit(False)
+        start = F.struct(zero.alias("at"), zero.alias("first"), zero.alias("size"), zero.alias("n"), no.alias("begins"), no.alias("ends"), none.alias("out"))
+        cuts = F.aggregate(facts, start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["at"].alias("next")))))
+        return F.transform(cuts, lambda x: F.array_join(F.slice(units, x["first"] + 1, x["next"] - x["first"]), ""))
 
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-    folded = F.aggregate(units, start, step, lambda a: F.concat(a["out"], F.when(a["buf"] != "", F.array(a["buf"])).otherwise(F.array().cast("array<string>"))))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= limit, F.array(t)).otherwise(folded)
+    units = F.flatten(F.transform(F.filter(F.split(t, f"(?<=[{SENTENCE_END}])", -1), lambda u: u != ""), hard))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= limit, F.array(t)).otherwise(bound(units, pieces))
 
 
 def _close_math(t: Column) -> Column:

@@ -81,3 +81,50 @@ def test_statutory_titles_and_covers(spark):
     assert one(spark, "ICS 77.140.60\n中国标准出版社 出版发行\n定价 20 元", S.is_cover(x)) and not one(spark, "本规范发布后实施。", S.is_cover(x))
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["# 6 工程", "6.11 导流工程……28", "6.1 应符合……的规定，见表", "6.2 总则.....3"])], "doc_id long, line int, text string")
     assert [r.no for r in S.candidates(lines).where("no is not null").orderBy("line").collect()] == ["6", "6.1"]
+
+
+def test_references_as_browsers_read_them(spark):
+    import html
+    import random
+
+    rng = random.Random(3)
+    names = ["amp", "ampb", "notit;", "not", "lt;", "ltimes;", "copy", "copycat", "frac12", "frac12;", "nbsp", "unknown;", "CounterClockwiseContourIntegral;", "Aacute", "x", ""]
+    digits = ["65", "000000000065;", "0", "13", "128;", "129", "1114112", "99999999999;", "x41;", "X0041", "x110000;", "xD800;", "11", "xFFFE;", "xfdd0", "127", "", "x"]
+    texts = [f"&{n}" for n in names] + [f"&#{n}" for n in digits] + ["a & b", "&&amp;&", "&amp;lt;", "&\n;", "R&D;"]
+    texts += ["".join(rng.choice(["&", "amp", ";", "#", "6", "5", "x4", " ", "lt", "not", "in;", "\u00e9"]) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", T.unescape("t").alias("u")).collect()
+    assert [(r.t, r.u) for r in got if r.u != html.unescape(r.t)] == []
+
+
+def whole_fold(text, limit):
+    ends = "\u3002\uff1b\uff01\uff1f.!?;"
+    units, cur = [], ""
+    for ch in text:
+        cur += ch
+        if ch in ends or len(cur) == limit:
+            units.append(cur)
+            cur = ""
+    units += [cur] if cur else []
+    out, buf = [], ""
+    for u in units:
+        if buf and len(buf) + len(u) > limit:
+            out.append(buf)
+            window = buf[max(0, len(buf) - limit // 10) :]
+            at = max(window[:-1].rfind(c) for c in ends)
+            tail = window[at + 1 :] if at >= 0 and limit // 10 else ""
+            buf = tail if len(tail) + len(u) <= limit else ""
+        buf += u
+    return out + ([buf] if buf else [])
+
+
+def test_chunks_against_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["", "short.", "x" * 1000, "a. " * 400, "\u53e5\u3002" * 700, "." * 300, "\U0001f600" * 250]
+    texts += ["".join(rng.choice(["word ", "a", ". ", "!", "\u3002", "\n", "longer stretch of words "]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for limit in (40, 100, 512):
+        got = {r.i: r.c for r in rows.select("i", T.chunks("t", limit).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == (whole_fold(t, limit) if len(t) > limit else [t] if t else []), (limit, i)
