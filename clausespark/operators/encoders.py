@@ -22,10 +22,24 @@ def encode(df: DataFrame, id_col: str, text_col: str, encoder: Callable[[list[st
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")
 
 
-def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 512) -> DataFrame:
-    """The built-in encoder: signed hashing of token counts, of length 1 (all zeros without tokens)."""
+def token_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(token, weight): the inverse document frequency of every token, ln((n + 1) / (df + 1)) of n rows of which df have it."""
+    seen = df.select(id_col, F.explode(F.array_distinct(tokenize(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n = df.agg(F.count("*").alias("n"))
+    return seen.join(F.broadcast(n)).select("token", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("weight"))  # one row
+
+
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 512, weights: DataFrame | None = None) -> DataFrame:
+    """The built-in encoder: signed hashing of token counts, of length 1 (all zeros without tokens).
+
+    With weights (token, weight), as token_weights has them, each token counts by its weight; unknown ones count by the largest.
+    """
     tokens = df.select(id_col, F.explode(tokenize(text_col)).alias("token"))
     slot, sign = F.pmod(F.xxhash64("token"), F.lit(dims)).cast("int"), F.when(F.pmod(F.hash("token"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    if weights is not None:
+        most = weights.agg(F.max("weight").alias("most"))
+        tokens = tokens.join(weights, "token", "left").join(F.broadcast(most)).withColumn("weight", F.coalesce("weight", "most"))  # one row
+        sign = sign * F.col("weight")
     counts = tokens.groupBy(id_col, slot.alias("slot")).agg(F.sum(sign).alias("x"))
     packed = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("norm"), F.lit(1e-300)))

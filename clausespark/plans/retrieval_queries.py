@@ -32,8 +32,23 @@ VECTORS = """near AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum([(x[
 nearest AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near)"""
 
 
+def _fields():
+    return {"body": F.col("text"), "crumb": F.concat_ws(" ", "source", "lang")}
+
+
 def _postings(spark, d):
-    return R.inverted_index(table(spark, d, "documents"), {"body": F.col("text"), "crumb": F.concat_ws(" ", "source", "lang")})
+    return R.inverted_index(table(spark, d, "documents"), _fields())
+
+
+#: Written indexes by session and folder: what searches read is written once and kept as long as the session's shared folder.
+_WRITTEN: dict = {}
+
+
+def _index(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = R.write_index(table(spark, d, "documents"), _fields())
+    return _WRITTEN[key]
 
 
 def _terms(spark, d):
@@ -41,7 +56,7 @@ def _terms(spark, d):
 
 
 def _found(spark, d, crumb=0.3):
-    return R.matches(_postings(spark, d), _terms(spark, d), {"body": 1.0, "crumb": crumb})
+    return R.matches(_index(spark, d), _terms(spark, d), {"body": 1.0, "crumb": crumb})
 
 
 def _nearest(spark, d, k):
@@ -70,7 +85,35 @@ def e3(spark, d):
 
 @query("e4_inverted_index", f"WITH {INDEX} SELECT doc_id, field, token, tf FROM postings")
 def e4(spark, d):
-    return _postings(spark, d)
+    return _postings(spark, d).select("doc_id", "field", "token", "tf")
+
+
+@query("e4_written_index", f"""WITH {INDEX}, t AS (SELECT doc_id, 'body' AS field, {TOK.format('text')} AS t FROM documents UNION ALL SELECT doc_id, 'crumb', {TOK.format("source || ' ' || lang")} FROM documents),
+p AS (SELECT doc_id, field, unnest(t) AS token, 2 * (generate_subscripts(t, 1) - 1) AS place FROM t)
+SELECT doc_id, field, token, count(*) AS tf, CAST(sum(place) AS BIGINT) AS places, CAST(any_value(len) AS BIGINT) AS len FROM p JOIN lens USING (doc_id) GROUP BY ALL""")
+def e4c(spark, d):
+    sum_ = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _index(spark, d).postings.select("doc_id", "field", "token", "tf", sum_.alias("places"), "len")
+
+
+#: Each letter a to z as an ideograph, so that words are runs of ideographs.
+IDEOGRAPHS = "".join(chr(0x4E00 + 37 * i) for i in range(26))
+
+
+@query("e5_phrases", f"""WITH d AS (SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{IDEOGRAPHS}') AS t FROM documents),
+q AS (SELECT item_id AS query_id, 0 AS term, regexp_extract(lower(text), '^([a-z]*)', 1) AS w FROM benchmark UNION ALL SELECT item_id, 1, regexp_extract(lower(text), '([a-z]+)[^a-z]*$', 1) FROM benchmark),
+x AS (SELECT query_id, term, translate(w, 'abcdefghijklmnopqrstuvwxyz', '{IDEOGRAPHS}') AS w FROM q WHERE w <> ''),
+m AS (SELECT query_id, term, doc_id, CAST(len(string_split(t, w)) - 1 AS BIGINT) AS n FROM x JOIN d ON contains(t, w) WHERE length(w) > 1)
+SELECT query_id, doc_id, count(DISTINCT term) AS terms FROM m GROUP BY ALL""")
+def e5b(spark, d):
+    """Documents and questions of which words are runs of ideographs: the first and the last word of each item, as phrases."""
+    ideographs = lambda c: F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", IDEOGRAPHS)
+    docs = table(spark, d, "documents").select("doc_id", ideographs(F.col("text")).alias("text"))
+    words = F.concat_ws(" ", F.regexp_extract(F.lower("text"), "^([a-z]*)", 1), F.regexp_extract(F.lower("text"), "([a-z]+)[^a-z]*$", 1))
+    asked = table(spark, d, "benchmark").select("item_id", ideographs(words).alias("text"))
+    terms = R.query_terms(asked, "item_id", "text").where("steps > 1 OR length(token) > 1")
+    found = R.term_matches(R.inverted_index(docs, {"body": F.col("text")}), terms, {"body": 1.0})
+    return found.groupBy("query_id", "doc_id").agg(F.count("*").alias("terms"))
 
 
 @query("e4_term_statistics", f"WITH {INDEX} SELECT token, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY token")
@@ -142,6 +185,28 @@ def e13(spark, d):
     return v.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 4).alias("norm"))
 
 
+@query("e13_token_weights", f"WITH t AS (SELECT DISTINCT doc_id, unnest({TOK.format('text')}) AS token FROM documents) SELECT token, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)), 9) AS weight FROM t GROUP BY token")
+def e13b(spark, d):
+    from clausespark.operators.encoders import token_weights
+
+    return token_weights(table(spark, d, "documents"), "doc_id", "text").select("token", F.round("weight", 9).alias("weight"))
+
+
+@query("e13_weighted_terms", f"""WITH t AS (SELECT doc_id, unnest({TOK.format('text')}) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents), w AS (SELECT token, ln((any_value(n) + 1) / (count(DISTINCT doc_id) + 1)) AS w FROM t, n GROUP BY token)
+SELECT doc_id, round(sum(w * w), 4) AS squares FROM (SELECT doc_id, token, sum(w) AS w FROM t JOIN w USING (token) GROUP BY ALL) GROUP BY doc_id HAVING sum(w * w) > 0""")
+def e13c(spark, d):
+    """Squared length of every document's weighted counts; each token has a slot of its own, as each row is a text of one token."""
+    from clausespark.operators.encoders import hashed_vectors, token_weights
+
+    docs = table(spark, d, "documents")
+    weights = token_weights(docs, "doc_id", "text")
+    each = docs.select("doc_id", F.explode(R.tokenize("text")).alias("token")).groupBy("doc_id", "token").agg(F.concat_ws(" ", F.collect_list("token")).alias("text"))
+    lengths = each.select("doc_id", "token", F.size(R.tokenize("text")).alias("n")).join(weights, "token")
+    had = hashed_vectors(docs, "doc_id", "text", 64, weights).where(F.exists("embedding", lambda x: x != 0)).select("doc_id")
+    out = lengths.groupBy("doc_id").agg(F.round(F.sum((F.col("n") * F.col("weight")) ** 2), 4).alias("squares"))
+    return out.where("squares > 0").join(had, "doc_id", "left_semi")
+
+
 @query("e14_best_chunk", f"""WITH {VECTORS}, b AS (SELECT query_id, label, min(distance) AS distance FROM nearest JOIN embeddings USING (vec_id) WHERE rank <= 100 AND distance < 1.9 GROUP BY ALL)
 SELECT query_id, label, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, label) AS INTEGER) AS rank FROM b""")
 def e14(spark, d):
@@ -210,5 +275,15 @@ def e19(spark, d):
 @query("e20_duplicate_specs", r"""WITH s AS (SELECT s_suppkey AS id, 'GBT' || s_suppkey % 40 AS code, regexp_replace(lower('t ' || s_suppkey % 30), '\s+', '', 'g') AS title FROM supplier)
 SELECT a.id, b.id AS other, CASE WHEN a.code = b.code AND a.title = b.title THEN 'code+title' WHEN a.code = b.code THEN 'code' ELSE 'title' END AS reasons FROM s a JOIN s b ON a.id <> b.id AND (a.code = b.code OR a.title = b.title)""")
 def e20(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("GB/T "), (F.col("s_suppkey") % 40).cast("string")).alias("code"), F.concat(F.lit("T  "), (F.col("s_suppkey") % 30).cast("string")).alias("title"))
-    return R.suspected_duplicates(s, "s_suppkey", "code", "title")
+    s = _specs(spark, d)
+    return R.likely_copies(s, s, "s_suppkey", "code", "title")
+
+
+def _specs(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("GB/T "), (F.col("s_suppkey") % 40).cast("string")).alias("code"), F.concat(F.lit("T  "), (F.col("s_suppkey") % 30).cast("string")).alias("title"))
+
+
+@query("e20_duplicate_groups", """WITH s AS (SELECT s_suppkey AS id, unnest(['code', 'title']) AS reason, unnest(['GBT' || s_suppkey % 40, 't' || s_suppkey % 30]) AS k FROM supplier)
+SELECT id, reason, min(id) OVER (PARTITION BY reason, k) AS first, count(*) OVER (PARTITION BY reason, k) AS rows FROM s QUALIFY rows > 1""")
+def e20b(spark, d):
+    return R.suspected_duplicates(_specs(spark, d), "s_suppkey", "code", "title")
