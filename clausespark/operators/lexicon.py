@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausespark.functions.text import split_values
-from clausespark.tables import connected_components
+from clausespark.functions.text import split_values, tokenize
+from clausespark.operators.patterns import containing
+from clausespark.tables import connected_components, stored
 
 EQUIVALENT = ("synonym", "alias")
 
@@ -94,37 +95,85 @@ def replacements(groups: DataFrame) -> DataFrame:
     return v.where("variant <> canonical").groupBy("variant").agg(F.min_by("canonical", "id").alias("canonical"))
 
 
-def normalize_text(df: DataFrame, text_col: str, groups: DataFrame, name: str = "normalized") -> DataFrame:
-    """df with text in which variants, longest first, are replaced one after another; later ones see earlier results.
-
-    The lexicon is one row of all pairs, as large as the lexicon and no larger.
-    """
-    pairs = replacements(groups).agg(F.array_sort(F.collect_list(F.struct((-F.length("variant")).alias("n"), "variant", "canonical"))).alias("__pairs"))
-    folded = F.aggregate("__pairs", F.coalesce(F.col(text_col), F.lit("")), lambda t, p: F.replace(t, p["variant"], p["canonical"]))
-    return df.join(pairs).withColumn(name, folded).drop("__pairs")
+#: Pairs of a lexicon that every row folds over in one go; of a larger one each row takes what it can meet.
+FOLD = 1000
 
 
-def expand_queries(queries: DataFrame, text_col: str, groups: list[tuple[int, list[str]]], stop: list[str] | None = None) -> DataFrame:
-    """(query_id, position, term): leftmost-longest lexicon words become their whole group, other stretches their tokens.
+def normalize_text(df: DataFrame, id_col: str, text_col: str, groups: DataFrame, name: str = "normalized", fold: int = FOLD) -> DataFrame:
+    """df with text in which variants, longest first, are replaced one after another; later ones see earlier results.
 
-    groups: (id, words) of the lexicon as literals of the plan.
+    A lexicon of up to `fold` pairs is one row that all rows get. With a larger one a row folds over the variants that it can meet alone: those in its text and, in further rounds, those that earlier
+    replacements bring about, until no stage of the fold holds another one.
     """
-    import re
-
-    owner = {w: g for g, ws in groups for w in ws}
-    alternation = "|".join(re.escape(w) for w in sorted(owner, key=lambda w: (-len(w), w)))
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{alternation})|[\\p{{L}}\\p{{N}}]+"), 0)
-    of = F.create_map(*[x for w, g in sorted(owner.items()) for x in (F.lit(w), F.array(*[F.lit(v) for v in dict(groups)[g]]))])
-    term = F.explode(F.coalesce(F.try_element_at(of, F.col("hit")), F.array(F.lower("hit"))))
-    del stop
-    return queries.select("query_id", F.posexplode(found).alias("position", "hit")).select("query_id", "position", term.alias("term"))
+    lexicon = replacements(groups)
+    order = lambda v: F.struct((-F.length(v)).alias("n"), F.col("variant"), F.col("canonical"))
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    step = lambda t, p: F.replace(t, p["variant"], p["canonical"])
+    if lexicon.limit(fold + 1).count() <= fold:
+        every = lexicon.agg(F.array_sort(F.collect_list(order("variant"))).alias("__pairs"))
+        folded = F.aggregate("__pairs", F.coalesce(F.col(text_col), F.lit("")), step)
+        return df.join(F.broadcast(every)).withColumn(name, folded).drop("__pairs")
+    met, stages = None, texts
+    while True:
+        found = containing(stages, "id", "text", lexicon.select(F.col("variant").alias("pattern"))).select("id", F.col("pattern").alias("variant")).distinct()
+        if met is not None:
+            found = found.join(met, ["id", "variant"], "left_anti")
+        found = stored(found, "met-variants")
+        if not found.limit(1).count():
+            break
+        met = found if met is None else met.union(found)
+        pairs = met.join(lexicon, "variant").groupBy("id").agg(F.array_sort(F.collect_list(order("variant"))).alias("pairs"))
+        grown = F.aggregate("pairs", F.array("text"), lambda ts, p: F.concat(ts, F.array(step(F.element_at(ts, -1), p))))
+        stages = stored(texts.join(pairs, "id").select("id", F.explode(F.array_distinct(grown)).alias("text")).distinct(), "fold-stages")
+    if met is None:
+        return df.withColumn(name, F.coalesce(F.col(text_col), F.lit("")))
+    pairs = met.join(lexicon, "variant").groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(order("variant"))).alias("__pairs"))
+    pairs_of = F.coalesce("__pairs", F.array().cast("array<struct<n:int,variant:string,canonical:string>>"))
+    folded = F.aggregate(pairs_of, F.coalesce(F.col(text_col), F.lit("")), step)
+    return df.join(pairs, F.col(id_col) == F.col("__id"), "left").withColumn(name, folded).drop("__pairs", "__id")
+
+
+def expanded_items(queries: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
+    """(query_id, position, words): each query cut at the words of a lexicon, leftmost and longest first.
+
+    groups: rows of the lexicon (id, canonical, variants). A word becomes its whole group, canonical first; of a word in
+    several groups the first one counts. Stretches between become their tokens.
+    """
+    g = groups.select("id", F.array_distinct(F.filter(F.concat(F.array(F.coalesce("canonical", F.lit(""))), split_values("variants")), lambda w: w != "")).alias("words"))
+    owner = g.select("id", F.explode("words").alias("pattern")).groupBy("pattern").agg(F.min("id").alias("id")).join(g, "id").select("pattern", "words")
+    q = queries.select("query_id", F.trim(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    hits = containing(q, "query_id", "text", owner.select("pattern")).select("query_id", "pattern").distinct().join(owner, "pattern")
+    of = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("pattern")).alias("n"), "pattern", "words"))).alias("known"))
+    quoted = F.transform("known", lambda k: F.concat(F.lit("\\Q"), F.replace(k["pattern"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    q = q.join(of, "query_id", "left").withColumn("cut", F.when(F.col("known").isNotNull(), F.array_join(quoted, "|")))
+    q = q.withColumn("words", F.map_from_entries(F.transform("known", lambda k: F.struct(k["pattern"], k["words"]))))
+    single = lambda t: F.transform(tokenize(t), lambda w: F.array(w))
+    between, found = F.split("text", F.col("cut"), -1), F.concat(F.regexp_extract_all("text", F.col("cut"), F.lit(0)), F.array(F.lit("")))
+    items = F.flatten(F.zip_with(between, found, lambda t, h: F.concat(single(t), F.when(h == "", F.array().cast("array<array<string>>")).otherwise(F.array(F.try_element_at("words", h))))))
+    return q.select("query_id", F.posexplode(F.when(F.col("cut").isNull(), single(F.col("text"))).otherwise(items)).alias("position", "words"))
+
+
+def expand_queries(queries: DataFrame, text_col: str, groups: DataFrame) -> DataFrame:
+    """(query_id, position, term): the words of expanded_items, a row each; those of one position are alternatives."""
+    return expanded_items(queries, text_col, groups).select("query_id", "position", F.explode("words").alias("term"))
+
+
+def match_expressions(queries: DataFrame, text_col: str, groups: DataFrame, join_with: str = "AND") -> DataFrame:
+    """(query_id, expression): quoted words, alternatives in brackets joined by OR, positions by join_with; empty without a word."""
+    quoted = F.transform("words", lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"')))
+    one = F.when(F.size("words") == 1, quoted[0]).otherwise(F.concat(F.lit("("), F.array_join(quoted, " OR "), F.lit(")")))
+    rows = expanded_items(queries, text_col, groups).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", one.alias("e")))).alias("items"))
+    made = F.array_join(F.transform("items", lambda x: x["e"]), f" {join_with} ")
+    return queries.select("query_id").join(rows, "query_id", "left").select("query_id", F.coalesce(made, F.lit("")).alias("expression"))
 
 
 def confusable_hits(df: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> DataFrame:
     """(id, pair, canonical, variant): texts with a pair's canonical and a variant of it, the first one."""
     p = rows.where("kind = 'confusable' and is_active = 1").select(F.col("id").alias("pair"), "canonical", F.posexplode(split_values("variants")).alias("at", "variant"))
-    j = df.select(id_col, text_col).join(p, F.contains(F.col(text_col), F.col("canonical")) & F.contains(F.col(text_col), F.col("variant")))
-    return j.groupBy(id_col, "pair", "canonical").agg(F.min_by("variant", "at").alias("variant"))
+    asked = p.select(F.col("canonical").alias("pattern")).union(p.select("variant"))
+    hits = stored(containing(df.select(id_col, text_col), id_col, text_col, asked).select(id_col, "pattern").distinct(), "word-hits")
+    both = hits.withColumnRenamed("pattern", "canonical").join(p, "canonical").join(hits.withColumnRenamed("pattern", "variant"), [id_col, "variant"])
+    return both.groupBy(id_col, "pair", "canonical").agg(F.min_by("variant", "at").alias("variant"))
 
 
 def validation_error() -> Column:

@@ -2,56 +2,58 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from clausespark.operators.patterns import containing, plain_piece
 from clausespark.operators.retrieval import keywords
+from clausespark.tables import running_total
 
 # Fixed values that results depend on.
 THRESHOLDS = {"dim1": 0.3, "dim2": 0.5, "dim3": 0.5, "dim4": 0.6, "dim5": 0.7, "dim6": 0.6}
 ADOPT, TOP_WORDS = 0.7, 3
 
 
-def _covered(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    """The characters of each text that matches of its pattern take up; 0 for a bad pattern."""
-    known: dict = {}
-
-    def one(t, p):
-        if t is None or p is None:
-            return 0
-        if p not in known:
-            try:
-                known[p] = re.compile(p)
-            except re.error:
-                known[p] = None
-        return sum(m.end() - m.start() for m in known[p].finditer(t)) if known[p] else 0
-
-    return pd.Series([one(t, p) for t, p in zip(texts, patterns, strict=True)], dtype="int64")
+def java_pattern(pattern: Column) -> Column:
+    """A pattern as Java has it, null if it is none; names of groups are the one difference that rules meet."""
+    p = F.regexp_replace(pattern, r"\(\?P<", "(?<")
+    return F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull(), p)
 
 
 def rule_score(text: Column, pattern: Column, kind: Column, priority: Column) -> Column:
-    """What a rule scores on a text: by occurrences (keyword), covered share (regex) or equality (exact)."""
+    """What a rule scores on a text: by occurrences (keyword), covered share (regex) or equality (exact); nulls score null.
+
+    Patterns of regex rules are valid ones.
+    """
     boost = 1 + 0.1 * priority
     found = F.when(F.length(pattern) > 0, ((F.length(text) - F.length(F.replace(text, pattern, F.lit("")))) / F.length(pattern)).cast("int")).otherwise(0)
     keyword = F.when(found > 0, F.least(F.lit(1.0), 0.3 + found * 0.15) * boost).otherwise(0.0)
-    # Spark's own functions fail on a bad pattern, which is to score nothing
-    covered = F.pandas_udf(_covered, LongType())(F.when(kind == "regex", text), F.when(kind == "regex", pattern))
+    covered = F.aggregate(F.regexp_extract_all(text, pattern, F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
     share = F.least(F.lit(1.0), covered / F.greatest(F.length(text), F.lit(1)) * 2) * boost
     return F.when(kind == "exact", F.when(pattern == F.trim(text), boost).otherwise(0.0)).when(kind == "regex", share).otherwise(keyword)
 
 
 def scores(clauses: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, rule_id, dimension, score, ...) of every rule on every clause; the rules' size decides how Spark joins them."""
+    """(id, content, rule_id, dimension, score, ...) of every active rule on every clause (id, content) where it is above 0.
+
+    Keywords, and regexes of which every match holds a known piece, meet clauses through pieces of texts; the other regexes,
+    which nothing but a try can tell, are one row that each clause gets. Patterns that are none score nothing.
+    """
     r = rules.where("is_active = 1")
+    c = clauses.select("id", "content")
     score = lambda j, kind: j.withColumn("score", rule_score(F.col("content"), F.col("pattern"), F.lit(kind), F.col("priority"))).where("score > 0")
-    word = score(clauses.join(r.where("match_type not in ('regex', 'exact')"), F.contains(F.col("content"), F.col("pattern"))), "keyword")
-    regex = score(clauses.join(r.where("match_type = 'regex'"), F.length("content") >= 0), "regex")
-    exact = score(clauses.join(r.where("match_type = 'exact'"), F.trim("content") == F.col("pattern")), "exact")
-    return word.union(regex).union(exact)
+    columns = ["id", "content", *rules.columns, "score"]
+    words = r.where("match_type not in ('regex', 'exact')")
+    word = score(containing(c, "id", "content", words).join(words, "pattern"), "keyword")
+    good = r.where("match_type = 'regex'").withColumn("java", java_pattern(F.col("pattern"))).where("java is not null").withColumn("piece", plain_piece(F.col("java")))
+    by_piece = containing(c, "id", "content", good.select(F.col("piece").alias("pattern"))).withColumnRenamed("pattern", "piece").join(good, "piece")
+    loose = good.where("piece = ''").agg(F.collect_list(F.struct(*good.columns)).alias("all"))
+    anywhere = c.withColumn("one", F.lit(1)).join(F.broadcast(loose.withColumn("one", F.lit(1))), "one").select("id", "content", F.explode("all").alias("r")).select("id", "content", "r.*")
+    both = by_piece.select("id", "content", *good.columns).union(anywhere.select("id", "content", *good.columns))
+    share = rule_score(F.col("content"), F.col("java"), F.lit("regex"), F.col("priority"))
+    regex = both.withColumn("score", share).where("score > 0")
+    exact = score(c.join(r.where("match_type = 'exact'"), F.trim("content") == F.col("pattern")), "exact")
+    return word.select(*columns).union(regex.select(*columns)).union(exact.select(*columns))
 
 
 def classify(clauses: DataFrame, rules: DataFrame) -> DataFrame:
@@ -85,11 +87,14 @@ def enqueue(wanted: DataFrame, clauses: DataFrame, queue: DataFrame) -> DataFram
 
 
 def draw_batches(queue: DataFrame, size: int, force: bool = False) -> DataFrame:
-    """(id, dimension, batch): pending rows of each dimension, oldest first, in batches; a last short one only if forced."""
-    w = Window.partitionBy("dimension").orderBy("created_at", "id")
-    q = queue.where("status = 'pending'").withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
-    n = F.count("*").over(Window.partitionBy("dimension", "batch"))
-    return q.withColumn("in_batch", n).where(F.lit(force) | (F.col("in_batch") == size)).select("id", "dimension", "batch")
+    """(id, dimension, batch): pending rows of each dimension, oldest first, in batches; a last short one only if forced.
+
+    A dimension may have any number of rows: places come from running counts over ranges.
+    """
+    q = queue.where("status = 'pending'").select("id", "dimension", "created_at")
+    n = q.groupBy("dimension").agg(F.count("*").alias("n"))
+    q = running_total(q, ["dimension"], ["created_at", "id"], F.lit(1), "place").withColumn("batch", F.ceil(F.col("place") / size).cast("int")).join(n, "dimension")
+    return q.where(F.lit(force) | (F.col("batch") * size <= F.col("n"))).select("id", "dimension", "batch")
 
 
 def key_states(keys: DataFrame, pending: DataFrame, rules: DataFrame) -> DataFrame:

@@ -67,17 +67,41 @@ def d5(spark, d):
     return L.resolve_clusters(rows, L.cluster_actions(rows, found), found).select("id", "kind", "variants")
 
 
-@query("d6_normalize", "SELECT doc_id, replace(replace(replace(replace(text, 'die', 'the'), 'les', 'the'), 'und', 'and'), 'et', 'and') AS normalized FROM documents")
+D6 = "SELECT doc_id, replace(replace(replace(replace(text, 'die', 'the'), 'les', 'the'), 'und', 'and'), 'et', 'and') AS normalized FROM documents"
+
+
+@query("d6_normalize", D6)
 def d6(spark, d):
-    return L.normalize_text(table(spark, d, "documents").select("doc_id", "text"), "text", terms(spark)).select("doc_id", "normalized")
+    return L.normalize_text(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", terms(spark)).select("doc_id", "normalized")
+
+
+@query("d6_normalize_rounds", D6)
+def d6b(spark, d):
+    """As for a lexicon of any size."""
+    return L.normalize_text(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", terms(spark), fold=0).select("doc_id", "normalized")
+
+
+D7 = r"""WITH s AS (SELECT item_id AS query_id, regexp_split_to_array(trim(text), 'and|die|les|the|und|et') AS b, regexp_extract_all(trim(text), 'and|die|les|the|und|et') || [''] AS h FROM benchmark),
+g(w, t) AS (VALUES ('the', ['the', 'die', 'les']), ('die', ['the', 'die', 'les']), ('les', ['the', 'die', 'les']), ('and', ['and', 'und', 'et']), ('und', ['and', 'und', 'et']), ('et', ['and', 'und', 'et'])),
+i AS (SELECT query_id, unnest(b) AS b, unnest(h) AS h, generate_subscripts(b, 1) AS k FROM s),
+w AS (SELECT query_id, k, generate_subscripts(x, 1) AS j, [unnest(x)] AS words FROM (SELECT query_id, k, regexp_extract_all(lower(b), '[\p{L}\p{N}]+') AS x FROM i) UNION ALL SELECT query_id, k, 1000000, t FROM i JOIN g ON h = w),
+p AS (SELECT query_id, words, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k, j) - 1 AS INTEGER) AS position FROM w)"""
 
 
-@query("d7_expand_queries", r"""WITH h AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '(?:and|die|les|the|und|et)|[\p{L}\p{N}]+')) AS hit, generate_subscripts(regexp_extract_all(text, '(?:and|die|les|the|und|et)|[\p{L}\p{N}]+'), 1) - 1 AS position FROM benchmark),
-g(w, t) AS (VALUES ('the', ['the', 'die', 'les']), ('die', ['the', 'die', 'les']), ('les', ['the', 'die', 'les']), ('and', ['and', 'und', 'et']), ('und', ['and', 'und', 'et']), ('et', ['and', 'und', 'et']))
-SELECT query_id, CAST(position AS INTEGER) AS position, unnest(coalesce(t, [lower(hit)])) AS term FROM h LEFT JOIN g ON hit = w""")
+@query("d7_expand_queries", D7 + " SELECT query_id, position, unnest(words) AS term FROM p")
 def d7(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return L.expand_queries(q, "text", [(1, ["the", "die", "les"]), (2, ["and", "und", "et"])])
+    return L.expand_queries(_asked(spark, d), "text", terms(spark).where("kind <> 'confusable'"))
+
+
+def _asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+for _join in ("AND", "OR"):
+
+    @query(f"d7_match_{_join.lower()}", D7 + f""" SELECT query_id, string_agg(CASE WHEN len(words) = 1 THEN '"' || words[1] || '"' ELSE '("' || array_to_string(words, '" OR "') || '")' END, ' {_join} ' ORDER BY position) AS expression FROM p GROUP BY query_id""")
+    def d7b(spark, d, join=_join):
+        return L.match_expressions(_asked(spark, d), "text", terms(spark).where("kind <> 'confusable'"), join)
 
 
 @query("d8_confusable", f"""WITH p(pair, canonical, pos, variant) AS (VALUES (3, 'der', 0, 'den'), (3, 'der', 1, 'das'), (4, 'que', 0, 'qui'), (4, 'que', 1, 'quo'))

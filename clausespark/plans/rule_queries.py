@@ -340,6 +340,25 @@ def f2b(spark, d):
     return R.scores(clauses(spark, d), bad.withColumnRenamed("id", "rule_id")).select("id", "rule_id", "score")
 
 
+@query("f3_exact_names", """WITH r AS (SELECT p_partkey AS rule_id, p_name AS pattern, p_size % 3 AS priority FROM part WHERE p_partkey % 4 = 0)
+SELECT p_partkey AS id, rule_id, round(1 + 0.1::DOUBLE * priority, 9) AS score FROM part JOIN r ON trim(' ' || p_name || '  ') = pattern""")
+def f3b(spark, d):
+    """Names of parts between spaces as clauses, every fourth name as an exact rule."""
+    p = table(spark, d, "part")
+    rules_ = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("rule_id"), F.lit("dim4").alias("dimension"), F.col("p_name").alias("pattern"), F.lit("exact").alias("match_type"), (F.col("p_size") % 3).alias("priority"), F.lit(0.5).alias("threshold"), F.lit("x").alias("label"), F.lit(1).alias("is_active"))
+    c = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), "p_name", F.lit("  ")).alias("content"))
+    return R.scores(c, rules_).select("id", "rule_id", F.round("score", 9).alias("score"))
+
+
+@query("f1_many_patterns", """WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM documents WHERE doc_id % 10 = 0), r AS (SELECT pattern FROM w WHERE length(pattern) > 6)
+SELECT doc_id AS id, count(*) AS rules, round(sum(least(1.0, 0.3::DOUBLE + CAST((length(text) - length(replace(text, pattern, ''))) / length(pattern) AS INTEGER) * 0.15::DOUBLE)), 6) AS score FROM documents JOIN r ON contains(text, pattern) GROUP BY doc_id""")
+def f1b(spark, d):
+    """Every long word of a tenth of the documents as a keyword rule, on all documents."""
+    words = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ", -1)).alias("pattern")).where("length(pattern) > 6").distinct()
+    r = words.select(F.xxhash64("pattern").alias("rule_id"), F.lit("dim4").alias("dimension"), "pattern", F.lit("keyword").alias("match_type"), F.lit(0).alias("priority"), F.lit(0.5).alias("threshold"), F.lit("x").alias("label"), F.lit(1).alias("is_active"))
+    return R.scores(clauses(spark, d), r).groupBy("id").agg(F.count("*").alias("rules"), F.round(F.sum("score"), 6).alias("score"))
+
+
 @query("f10_batch", """WITH k AS (SELECT doc_id AS clause_id, unnest([source, lang, 'batch']) AS pattern, lang AS label, doc_id % 10 / 10.0 AS conf FROM documents),
 s AS (SELECT *, CASE WHEN pattern = 'batch' THEN 'none' WHEN pattern = 'src3' THEN 'rejected' WHEN pattern = lang2 THEN 'approved' ELSE 'none' END AS state FROM (SELECT *, CASE WHEN label IN ('en', 'de') THEN label END AS lang2 FROM k) WHERE conf >= 0.7)
 SELECT doc_id AS clause_id, CASE WHEN doc_id % 10 >= 7 AND lang IN ('en', 'de') THEN 'auto_adopted' ELSE 'review' END AS outcome, (SELECT count(*) FROM s WHERE s.clause_id = doc_id AND state = 'none') AS added, (SELECT count(*) FROM s WHERE s.clause_id = doc_id AND state = 'approved') AS bumped FROM documents""")
