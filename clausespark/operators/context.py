@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark.functions.text import estimate_tokens
+from clausespark.tables import Scratch, running_total, stored
 
 HISTORY_HEADER = "【历史对话】"
 # Fixed values that results depend on: (least score, high score) by what re-ranked.
@@ -22,39 +23,72 @@ def dynamic_k(n: Column, ratio: float = 0.1, least: int = 10, most: int = 15) ->
 
 
 def select_dynamic(ranked: DataFrame, key: str, order: list, ratio: float = 0.1, least: int = 10, most: int = 15) -> DataFrame:
-    w = Window.partitionBy(key)
-    r = ranked.withColumns({"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(*order))})
-    return r.where(F.col("rank") <= dynamic_k(F.col("n"), ratio, least, most))
+    """The first rows of each key, as many as dynamic_k has it, with n and rank; a task keeps `most` of a key before it is dealt."""
+    n = ranked.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"))
+    first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= max(least, most))
+    return first.join(n, F.col(key).eqNullSafe(F.col("__key"))).drop("__key").where(F.col("rank") <= dynamic_k(F.col("n"), ratio, least, most))
 
 
 def tier(score: Column, high: float, least: float) -> Column:
     return F.when(score >= high, "high").when(score >= least, "low")
 
 
-def pack_budget(items: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """(key, picked ids, used, dropped): items in order are taken while they fit; one over half the budget never is.
-
-    An item that does not fit is passed over and later ones may still fit, so this is a fold, not a running sum. Items of
-    a key are folded together: candidates of a query, bounded by the retrieval before.
-    """
-    listed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("id"), F.col(cost).cast("long").alias("cost")))).alias("items"))
+def fold_budget(items: Column, room: Column) -> Column:
+    """(used, picked) of an array of items (..., id, cost): each is taken in turn if it fits into what is left of room."""
 
     def step(a: Column, x: Column) -> Column:
-        fits = (x["cost"] <= budget // 2) & (a["used"] + x["cost"] <= budget)
-        return F.struct(
-            F.when(fits, a["used"] + x["cost"]).otherwise(a["used"]).alias("used"),
-            F.when(fits, a["dropped"]).otherwise(a["dropped"] + 1).alias("dropped"),
-            F.when(fits, F.concat(a["picked"], F.array(x["id"]))).otherwise(a["picked"]).alias("picked"),
-        )
+        fits = a["used"] + x["cost"] <= room
+        return F.struct(F.when(fits, a["used"] + x["cost"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["picked"], F.array(x))).otherwise(a["picked"]).alias("picked"))
+
+    none = F.filter(items, lambda x: F.lit(False))
+    return F.aggregate(items, F.struct(F.lit(0).cast("long").alias("used"), none.alias("picked")), step)
+
+
+#: Items of a key that are folded in one row; beyond, rounds over ranges take what fits and leave out what no longer can.
+FOLD = 10_000
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("dropped"), F.array().cast("array<long>").alias("picked"))
-    return listed.select(key, F.aggregate("items", start, step).alias("p")).select(key, F.array_join("p.picked", ",").alias("picked"), "p.used", "p.dropped")
+
+def pack_budget(items: DataFrame, key: str, order: list[str], cost: str, budget: int, fold: int = FOLD) -> DataFrame:
+    """(key, picked ids, used, dropped): items in order are taken while they fit; one over half the budget never is.
+
+    An item that does not fit is passed over and later ones may still fit. While a key has over `fold` items, a round takes
+    all items up to the first that does not fit, by running sums over ranges, and leaves out it and all that cost more
+    than what is left; the few that remain are folded. Costs are not negative; items without a cost are dropped.
+    """
+    rows = items.select(F.col(key).alias("key"), F.struct(*order, "id").alias("place"), F.col("id"), F.col(cost).cast("long").alias("cost"))
+    total = rows.groupBy("key").agg(F.count("*").alias("n"))
+    left = rows.where(F.col("cost") <= budget // 2).withColumn("room", F.lit(budget).cast("long"))
+    scratch, taken = Scratch(), None
+    while left.groupBy("key").count().where(F.col("count") > fold).limit(1).count():
+        summed = scratch.stored(running_total(left, ["key"], ["place"], F.col("cost"), "sum"), "sums")
+        now = summed.where("sum <= room").select("key", "place", "id", "cost")
+        taken = now if taken is None else taken.union(now)
+        spent = now.groupBy("key").agg(F.sum("cost").alias("spent"))
+        first = summed.where("sum > room").groupBy("key").agg(F.min("place").alias("first"))
+        later = summed.where("sum > room").join(first, "key").where("place > first").join(spent, "key", "left")
+        left = later.withColumn("room", F.col("room") - F.coalesce("spent", F.lit(0))).where("cost <= room").select("key", "place", "id", "cost", "room")
+        left = scratch.stored(left, "left-items")
+    listed = left.groupBy("key").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("place", "id", "cost"))).alias("items"))
+    rest = listed.select("key", F.explode(fold_budget(F.col("items"), F.col("room"))["picked"]).alias("x")).select("key", "x.place", "x.id", "x.cost")
+    taken = rest if taken is None else taken.union(rest)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string"))
+    picked = taken.groupBy("key").agg(F.array_join(ids, ",").alias("picked"), F.sum("cost").alias("used"), F.count("*").alias("taken"))
+    out = total.join(picked, total["key"].eqNullSafe(picked["key"]), "left").select(total["key"].alias(key), F.coalesce("picked", F.lit("")).alias("picked"), F.coalesce("used", F.lit(0)).alias("used"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("dropped"))
+    out = stored(out, "packed")
+    scratch.clear()
+    return out
 
 
 def rank_scores(rank: Column, n: Column) -> Column:
     return (n - rank) / n
 
 
+def with_ranks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with rank, their place in an order within their key, and n, the rows of the key; keys may have any number of rows."""
+    n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"))
+    return running_total(rows, [key], order, F.lit(1), "rank").join(n, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def turns(messages: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """(session, turn, question, answer): an answer belongs to the user row just before it among the non-blank ones.
 
@@ -119,15 +153,18 @@ def stage_trace(items: DataFrame, key: str, high: float, least: float, budget: i
 
     items: key, score, rank (among the key's items), tokens and in_force. rrf_total: all; after_meta: in force;
     after_threshold: of those with a score of `least` or more; select_target: the dynamic k of these; high_count and
-    low_count: the selected by tier; dropped_overflow: selected of over half the budget; context_tokens: what the
-    selected others take, the budget at most.
+    low_count: the selected by tier; context_tokens: what the selected take that packing has room for, high ones first and
+    then by rank; dropped_overflow: the selected that it leaves out.
     """
     ok, over = F.col("in_force"), F.col("score") >= least
     n = items.groupBy(key).agg(F.count("*").alias("rrf_total"), F.count_if(ok).alias("after_meta"), F.count_if(ok & over).alias("after_threshold"))
     n = n.withColumn("select_target", dynamic_k(F.col("after_threshold"), ratio, fewest, most))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
     picked = items.where(ok & over).withColumn("nth", nth).where(F.col("nth") <= most).join(n.select(key, "select_target"), key).where("nth <= select_target")
-    large = F.col("tokens") > budget / 2
-    t = picked.groupBy(key).agg(F.count_if(F.col("score") >= high).alias("high_count"), F.count_if(F.col("score") < high).alias("low_count"), F.count_if(large).alias("dropped_overflow"), F.least(F.sum(F.when(~large, F.col("tokens")).otherwise(0)), F.lit(budget).cast("long")).alias("context_tokens"))
+    high_tier = F.col("score") >= high
+    # at most `most` items of a key
+    listed = F.array_sort(F.collect_list(F.when(F.col("tokens") <= budget // 2, F.struct((~high_tier).alias("late"), "rank", F.col("tokens").cast("long").alias("cost")))))
+    t = picked.groupBy(key).agg(F.count_if(high_tier).alias("high_count"), F.count_if(~high_tier).alias("low_count"), F.count("*").alias("chosen"), listed.alias("items"))
+    t = t.withColumn("p", fold_budget(F.col("items"), F.lit(budget))).select(key, "high_count", "low_count", (F.col("chosen") - F.size("p.picked")).alias("dropped_overflow"), F.col("p.used").alias("context_tokens"))
     out = n.join(t, key, "left").fillna(0, ["high_count", "low_count", "dropped_overflow", "context_tokens"])
     return out.withColumns({"budget": F.lit(budget), "context_empty": F.col("context_tokens") == 0})

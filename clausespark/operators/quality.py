@@ -94,6 +94,17 @@ def insert_absent(rows: DataFrame, seed: DataFrame, keys: list[str]) -> DataFram
     return rows.unionByName(seed.join(rows, keys, "left_anti"))
 
 
+def seed_rules(rules: DataFrame, seed: DataFrame) -> DataFrame:
+    """rules with those of seed (dimension, sub_field, pattern, match_type, priority, threshold) whose dimension and pattern are new.
+
+    Seeds come locked and active, without hits, confirmations or a label; of seeds with one key the first by all columns stays.
+    """
+    cols = ["sub_field", "match_type", "priority", "threshold"]
+    one = seed.groupBy("dimension", "pattern").agg(F.min(F.struct(*cols)).alias("s")).select("dimension", "pattern", *[F.col(f"s.{c}").alias(c) for c in cols])
+    fresh = one.withColumns({"locked": F.lit(1), "is_active": F.lit(1), "hit_count": F.lit(0), "confirmed": F.lit(0), "label": F.lit(None).cast("string")})
+    return insert_absent(rules.select(*fresh.columns), fresh, ["dimension", "pattern"])
+
+
 def audit(action: str, level: str, counts: DataFrame) -> DataFrame:
     """(category, level, action, detail): one log row of a job's counts."""
     return counts.select(F.lit("job").alias("category"), F.lit(level).alias("level"), F.lit(action).alias("action"), F.to_json(F.struct("*")).alias("detail"))

@@ -55,10 +55,15 @@ def g5(spark, d):
     return C.pack_budget(i, "source", ["late", "down"], "tokens", 6000)
 
 
+@query("g5_budget_rounds", G5)
+def g5b(spark, d):
+    i = _items(spark, d).withColumns({"late": F.col("score") < 0.8, "down": -F.col("score")})
+    return C.pack_budget(i, "source", ["late", "down"], "tokens", 6000, fold=5)
+
+
 @query("g6_rank_scores", f"WITH {ITEMS}, r AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY source) AS n FROM i) SELECT source, id, round((n - rank) / n, 9) AS rank_score, (n - rank) / n >= 2.0 / 3 AS high FROM r")
 def g6(spark, d):
-    w = Window.partitionBy("source")
-    r = _items(spark, d).withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "id")), "n": F.count("*").over(w)})
+    r = C.with_ranks(_items(spark, d).withColumn("down", -F.col("score")), "source", ["down", "id"])
     s = C.rank_scores(F.col("rank"), F.col("n"))
     return r.select("source", "id", F.round(s, 9).alias("rank_score"), (s >= C.LEVELS["none"][1]).alias("high"))
 
@@ -89,16 +94,22 @@ def g10(spark, d):
     return C.filtered_out(found, F.col("lang") == "fr")
 
 
-@query("g11_stages", """WITH i AS (SELECT user_id, value / 100 AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, length(props) AS tokens, event_type <> 'error' AS in_force FROM events),
+@query("g11_stages", """WITH RECURSIVE i AS (SELECT user_id, value / 100 AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, length(props) * (event_id % 17) AS tokens, event_type <> 'error' AS in_force FROM events),
 n AS (SELECT user_id, count(*) AS rrf_total, count(*) FILTER (in_force) AS after_meta, count(*) FILTER (in_force AND score >= 0.05) AS after_threshold FROM i GROUP BY 1),
 k AS (SELECT *, CASE WHEN after_threshold < 10 THEN after_threshold ELSE least(15, greatest(10, CAST(ceil(after_threshold * 0.1) AS INTEGER))) END AS target FROM n),
 p AS (SELECT i.*, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS nth FROM i WHERE in_force AND score >= 0.05),
-t AS (SELECT user_id, count(*) FILTER (score >= 0.2) AS high_count, count(*) FILTER (score < 0.2) AS low_count FROM p JOIN k USING (user_id) WHERE nth <= target GROUP BY 1)
-SELECT user_id, rrf_total, after_meta, after_threshold, coalesce(high_count, 0) AS high_count, coalesce(low_count, 0) AS low_count FROM n LEFT JOIN t USING (user_id)""")
+c AS (SELECT p.*, row_number() OVER (PARTITION BY user_id ORDER BY score < 0.2, nth) AS turn FROM p JOIN k USING (user_id) WHERE nth <= target),
+f AS (SELECT user_id, turn, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 200 THEN 0 ELSE 1 END AS dropped FROM c WHERE turn = 1
+UNION ALL SELECT c.user_id, c.turn, CASE WHEN c.tokens <= 200 AND used + c.tokens <= 400 THEN used + c.tokens ELSE used END, CASE WHEN c.tokens <= 200 AND used + c.tokens <= 400 THEN dropped ELSE dropped + 1 END FROM f JOIN c ON c.user_id = f.user_id AND c.turn = f.turn + 1),
+z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY turn DESC) = 1),
+t AS (SELECT user_id, count(*) FILTER (score >= 0.2) AS high_count, count(*) FILTER (score < 0.2) AS low_count FROM c GROUP BY 1)
+SELECT user_id, rrf_total, after_meta, after_threshold, CAST(target AS INTEGER) AS select_target, coalesce(high_count, 0) AS high_count, coalesce(low_count, 0) AS low_count, CAST(coalesce(used, 0) AS BIGINT) AS context_tokens, CAST(400 AS INTEGER) AS budget, CAST(coalesce(dropped, 0) AS BIGINT) AS dropped_overflow, coalesce(used, 0) = 0 AS context_empty
+FROM k LEFT JOIN t USING (user_id) LEFT JOIN z USING (user_id)""")
 def g11b(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    items = table(spark, d, "events").select("user_id", (F.col("value") / 100).alias("score"), F.row_number().over(w).alias("rank"), F.length("props").alias("tokens"), (F.col("event_type") != "error").alias("in_force"))
-    return C.stage_trace(items, "user_id", 0.2, 0.05, 2000).select("user_id", "rrf_total", "after_meta", "after_threshold", "high_count", "low_count")
+    tokens = (F.length("props") * (F.col("event_id") % 17)).cast("int")
+    items = table(spark, d, "events").select("user_id", (F.col("value") / 100).alias("score"), F.row_number().over(w).alias("rank"), tokens.alias("tokens"), (F.col("event_type") != "error").alias("in_force"))
+    return C.stage_trace(items, "user_id", 0.2, 0.05, 400)
 
 
 @query("g11_trace", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 10) AS after_threshold, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")

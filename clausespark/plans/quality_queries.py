@@ -6,6 +6,8 @@ from clausespark.functions.text import tokenize
 from clausespark.operators import quality as Q
 from clausespark.plans.data import table
 from clausespark.plans.registry import query
+from clausespark.sources.snapshots import publish, replace_keys
+from clausespark.tables import new_path
 
 TREE = "tree AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN doc_id + 10000000 WHEN doc_id % 3 = 0 THEN doc_id // 3 END AS parent FROM documents)"
 
@@ -193,10 +195,22 @@ def a2(spark, d):
     return table(spark, d, "pages").groupBy(F.sha2("html", 256).alias("file_hash")).agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
 
 
-@query("a5_table_scan", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")))
+@query("a2_known_files", "SELECT item_id, sha256(text || chr(10)) AS file_hash, CASE WHEN item_id % 2 = 0 THEN item_id + 100 END AS spec_id FROM benchmark")
+def a2b(spark, d):
+    """Each item written as a file of raw bytes and read as binary; every second one is known by the hash of its bytes."""
+    from clausespark.sources.readers import known_files, read_binary
+
+    items, path = table(spark, d, "benchmark"), new_path(spark, "files")
+    items.select("item_id", F.col("text").alias("value")).write.option("lineSep", "\n").partitionBy("item_id").text(path)
+    specs = items.where("item_id % 2 = 0").select((F.col("item_id") + 100).alias("id"), F.sha2(F.concat("text", F.lit("\n")), 256).alias("file_hash"))
+    found = known_files(read_binary(spark, f"{path}/*/*.txt"), specs)
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "file_hash", "spec_id")
+
+
+@query("a5_table_scan", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")))
 def a5(spark, d):
     out = None
-    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
+    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         one = table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
         out = one if out is None else out.union(one)
     return out
@@ -210,7 +224,9 @@ def a6(spark, d):
 @query("a8_replace_chunks", "SELECT vec_id AS clause_id, label FROM embeddings WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, label + 100 FROM embeddings WHERE vec_id % 20 = 0")
 def a8(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("clause_id"), "label")
-    return Q.replace_chunks(e, e.where("clause_id % 20 = 0").withColumn("label", F.col("label") + 100), e.where("clause_id % 10 = 0").select("clause_id"))
+    path = new_path(spark, "chunks")
+    publish(e, path)
+    return replace_keys(spark, path, e.where("clause_id % 20 = 0").withColumn("label", F.col("label") + 100), e.where("clause_id % 10 = 0").select("clause_id"), "clause_id")
 
 
 @query("a9_cascade_delete", f"WITH {LINKED} SELECT id, CASE WHEN successor % 5 = 0 THEN NULL ELSE successor END AS successor, (SELECT count(*) FROM lineitem WHERE l_suppkey = linked.id) AS clauses FROM linked WHERE id % 5 <> 0")
@@ -226,11 +242,16 @@ def a10(spark, d):
     return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("pattern"), F.col("p_type").alias("label"))).alias("line"))
 
 
-@query("a12_seed", "SELECT 'dim' || p_size % 3 AS dimension, p_name AS pattern, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'dim1', 'seed ' || n_name, 1 FROM nation")
+@query("a12_seed", """WITH r AS (SELECT 'dim' || p_size % 3 AS dimension, p_name AS pattern, min(p_brand) AS sub_field, 'keyword' AS match_type, CAST(count(*) AS INTEGER) AS priority, 0.6::DOUBLE AS threshold, 0 AS locked, 1 AS is_active FROM part GROUP BY ALL),
+s AS (SELECT 'dim' || p_size % 3 AS dimension, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'seed ' || p_name END AS pattern, p_type AS sub_field, CASE WHEN p_size % 2 = 0 THEN 'exact' ELSE 'keyword' END AS match_type, p_size AS priority, 0.25::DOUBLE AS threshold FROM part)
+SELECT * FROM r UNION ALL SELECT dimension, pattern, sub_field, match_type, priority, threshold, 1, 1 FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dimension = s.dimension AND r.pattern = s.pattern) QUALIFY row_number() OVER (PARTITION BY dimension, pattern ORDER BY sub_field, match_type, priority, threshold) = 1""")
 def a12(spark, d):
-    rows = table(spark, d, "part").groupBy(F.concat(F.lit("dim"), (F.col("p_size") % 3).cast("string")).alias("dimension"), F.col("p_name").alias("pattern")).agg(F.count("*").alias("n"))
-    n = table(spark, d, "nation").select(F.lit("dim1").alias("dimension"), F.concat(F.lit("seed "), "n_name").alias("pattern"), F.lit(1).cast("long").alias("n"))
-    return Q.insert_absent(rows, n.unionByName(rows.limit(1)), ["dimension", "pattern"])
+    p = table(spark, d, "part").withColumn("dimension", F.concat(F.lit("dim"), (F.col("p_size") % 3).cast("string")))
+    zero = {"hit_count": F.lit(0), "confirmed": F.lit(0), "label": F.lit(None).cast("string"), "locked": F.lit(0), "is_active": F.lit(1), "match_type": F.lit("keyword"), "threshold": F.lit(0.6)}
+    rules = p.groupBy("dimension", F.col("p_name").alias("pattern")).agg(F.min("p_brand").alias("sub_field"), F.count("*").cast("int").alias("priority")).withColumns(zero)
+    pattern = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("seed "), "p_name"))
+    seed = p.select("dimension", pattern.alias("pattern"), F.col("p_type").alias("sub_field"), F.when(F.col("p_size") % 2 == 0, "exact").otherwise("keyword").alias("match_type"), F.col("p_size").alias("priority"), F.lit(0.25).alias("threshold"))
+    return Q.seed_rules(rules, seed).select("dimension", "pattern", "sub_field", "match_type", "priority", "threshold", "locked", "is_active")
 
 
 @query("a13_audit", """SELECT 'job' AS category, 'INFO' AS level, 'cleanup' AS action, '{"rows":' || count(*) || ',"users":' || count(DISTINCT user_id) || '}' AS detail FROM events""")
@@ -257,7 +278,9 @@ def a10b(spark, d):
     queue = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("clause")).join(clauses, "clause").select("id", "status", "clause", "code")
     report = Q.health_report({"orphan_parent": (Q.orphan_parents(tree(spark, d)), True)})
     logs = Q.filter_logs(_logs(spark, d), "error").select("id", "category")
-    return Q.json_lines(queue, "queue").union(Q.json_lines(report, "report")).union(Q.json_lines(logs, "log"))
+    path, rows = new_path(spark, "exports"), Q.json_lines(queue, "queue").union(Q.json_lines(report, "report")).union(Q.json_lines(logs, "log"))
+    rows.write.partitionBy("kind").text(path)
+    return spark.read.text(path).select("kind", F.col("value").alias("line"))
 
 
 @query("h15_rederive_whole", r"""SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'new 9 1' ELSE 'old' END AS search_text, CASE WHEN doc_id % 10 = 0 THEN array_to_string(regexp_extract_all(lower(source), '[\p{L}\p{N}]+'), ' ') ELSE 'old' END AS breadcrumb, CASE WHEN doc_id % 10 = 0 THEN source || ' ' || lang || ' [1] ' || source || ' new 9' ELSE 'old' END AS chunk FROM documents""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clausespark.operators.encoders import hashed_vectors
 from clausespark.plans.data import table
 from clausespark.plans.registry import query
+from clausespark.plans.text_queries import _sql_plain
 from clausespark.sources import readers as S
 from clausespark.streaming import jobs as J
 
@@ -60,15 +61,41 @@ def s1(spark, d):
     e = F.col("event_type")
     status = F.when(e == "view", "review_needed").when(e == "error", "error").when(e == "click", "done").otherwise("processing")
     ev = _stream(spark, d, "events").select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    return J.run_to_table(J.task_lifecycle(ev), "append").select("task_id", "status", "outcome")
+    with J.rocksdb_state(spark):
+        return J.run_to_table(J.task_lifecycle(ev), "append").select("task_id", "status", "outcome")
 
 
-@query("s2_index_upkeep", r"SELECT t AS token, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents) GROUP BY 1")
-def s2(spark, d):
-    changes = _stream(spark, d, "documents").select(F.col("doc_id").alias("clause_id"), "text")
+def _changes(spark, d, versions):
+    """A stream of changes to documents, a batch for each version: all of them, then edits of a third and deletions of a fifth."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("clause_id"), "text")
+    first = docs.withColumns({"version": F.lit(0), "deleted": F.lit(False)})
+    edits = docs.where("clause_id % 3 = 0").select("clause_id", F.concat(F.lit("edited "), F.coalesce("text", F.lit(""))).alias("text"), F.lit(1).alias("version"), F.lit(False).alias("deleted"))
+    gone = docs.where("clause_id % 5 = 0").select("clause_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("version"), F.lit(True).alias("deleted"))
+    folder = S.scratch(spark, "changes")
+    for i, part in enumerate([first, edits, gone][:versions]):
+        part.coalesce(1).write.parquet(f"{folder}/v={i}")
+    schema = "clause_id bigint, text string, version int, deleted boolean"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def _upkept(spark, d):
     path = S.scratch(spark, "index")
-    J.upkeep_index(changes, f"{path}/data", f"{path}/checkpoint").awaitTermination()
-    return J.current_index(spark.read.parquet(f"{path}/data")).groupBy("token").agg(F.sum("tf").alias("tf"))
+    encoder = lambda df, i, t: hashed_vectors(df, i, t, 64)
+    J.upkeep_index(_changes(spark, d, 3), f"{path}/data", f"{path}/checkpoint", encoder).awaitTermination()
+    return f"{path}/data"
+
+
+@query("s2_index_upkeep", r"SELECT t AS token, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN 'edited ' ELSE '' END || text), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 5 <> 0) GROUP BY 1")
+def s2(spark, d):
+    return J.current_rows(spark, _upkept(spark, d), "postings").groupBy("token").agg(F.sum("tf").alias("tf"))
+
+
+@query("s2_chunk_upkeep", f"""WITH b AS (SELECT doc_id, {_sql_plain("CASE WHEN doc_id % 3 = 0 THEN 'edited ' ELSE '' END || text")} AS body FROM documents WHERE doc_id % 5 <> 0) SELECT doc_id AS clause_id, body AS first FROM b WHERE length(body) BETWEEN 1 AND 512""")
+def s2b(spark, d):
+    """Chunks of the clauses that are one chunk after all changes, each with its vector."""
+    c = J.current_rows(spark, _upkept(spark, d), "chunks")
+    whole = c.groupBy("clause_id").agg(F.count("*").alias("n"), F.min("chunk").alias("first"), F.count("embedding").alias("vectors"))
+    return whole.where("n = 1 AND vectors <= 1").select("clause_id", "first")
 
 
 @query("s3_pending_counters", "SELECT 'dim' || (4 + o_orderkey % 3) AS dimension, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausespark.functions.text import build_embed_text, chunks, plain_text
+from clausespark.tables import new_path
 
 # Fixed values that results depend on.
 KINDS = {"同义词": "synonym", "别名": "alias", "易混": "confusable", "synonym": "synonym", "alias": "alias", "confusable": "confusable"}
@@ -20,9 +18,8 @@ RECORD = (
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="clausespark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder."""
+    return new_path(spark, name)
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +32,12 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("file_hash"))
 
 
+def known_files(files: DataFrame, specs: DataFrame) -> DataFrame:
+    """(path, file_hash, spec_id): files with the spec that came from the same bytes, null for a new file; the smallest id of several."""
+    known = specs.where("file_hash <> ''").groupBy("file_hash").agg(F.min("id").alias("spec_id"))
+    return files.select("path", "file_hash").join(known, "file_hash", "left").select("path", "file_hash", "spec_id")
+
+
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     """Records of recognised pages, malformed lines left out."""
     return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)

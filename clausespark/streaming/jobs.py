@@ -3,63 +3,103 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clausespark.functions.text import tokenize
+from clausespark.functions.text import chunks, plain_text, tokenize
 from clausespark.sources.readers import scratch
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LIFECYCLE = "task_id bigint, status string, outcome string, ms bigint"
 
 
-def task_lifecycle(events: DataFrame, late: str = "1 hour", terminal_s: int = 1800, review_s: int = 86_400) -> DataFrame:
-    """(task_id, status, outcome, ms): tasks that stayed in a state for longer than it may last.
+class TaskTimer(StatefulProcessor):
+    """A task's status and the time of its last event, with a timer for how long it may stay so; both go once the timer fires."""
 
-    events: a stream of task_id, status, ts (timestamp). A task waits for review a day and stays done or failed for half
-    an hour of event time, then it is dropped once; events older than the watermark do not count.
-    """
+    def __init__(self, keep_ms: dict[str, int]):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "status string, at bigint")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, at = state.get
-            state.remove()
-            yield pd.DataFrame({"task_id": [key[0]], "status": [status], "outcome": ["drop_files" if status == "review_needed" else "drop_row"], "ms": [at]})
-            return
-        status, at = state.get if state.exists else ("", -1)
-        for b in batches:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, at = self.task.get() if self.task.exists() else ("", -1)
+        for b in rows:
             for s, t in zip(b["status"], b["ms"], strict=True):
                 if t >= at:
                     status, at = s, int(t)
-        state.update((status, at))
-        keep = {"review_needed": review_s, "done": terminal_s, "error": terminal_s}.get(status)
-        if keep is not None:
-            state.setTimeoutTimestamp(max(at + keep * 1000, state.getCurrentWatermarkMs() + 1))
+        self.task.update((status, at))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if status in self.keep_ms:
+            self.handle.registerTimer(max(at + self.keep_ms[status], timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
 
-    e = events.select("task_id", "status", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
-    return e.groupBy("task_id").applyInPandasWithState(run, LIFECYCLE, "status string, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, at = self.task.get()
+        self.task.clear()
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "outcome": ["drop_files" if status == "review_needed" else "drop_row"], "ms": [at]})
 
+    def close(self) -> None:
+        pass
 
-def upkeep_index(changes: DataFrame, path: str, checkpoint: str):
-    """Keep (clause_id, token, tf, batch) under path up to date with a stream of changed clauses (clause_id, text).
 
-    Each batch is a folder of its own, written anew if it is run again; readers take a clause's rows of its last batch.
+def task_lifecycle(events: DataFrame, late: str = "1 hour", terminal_s: int = 1800, review_s: int = 86_400) -> DataFrame:
+    """(task_id, status, outcome, ms): tasks that stayed in a state for longer than it may last.
+
+    events: a stream of task_id, status, ts (timestamp). A task waits for review a day and stays done or failed for half
+    an hour of event time, then it is dropped once; events older than the watermark do not count. State and timers are in
+    the RocksDB store, so run this with rocksdb_state.
+    """
+    keep = {"review_needed": review_s * 1000, "done": terminal_s * 1000, "error": terminal_s * 1000}
+    e = events.select("task_id", "status", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    return e.groupBy("task_id").transformWithStateInPandas(TaskTimer(keep), LIFECYCLE, "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in the RocksDB store, as timers need it."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def upkeep_index(changes: DataFrame, path: str, checkpoint: str, encoder: Callable[[DataFrame, str, str], DataFrame], limit: int = 512):
+    """Keep postings, chunks and vectors of clauses under path up to date with a stream of changes.
+
+    changes: clause_id, version, text, deleted; of a clause's changes in a batch that of the largest version counts. Tables are
+    clauses (clause_id, batch, deleted), postings (clause_id, token, tf, batch) and chunks (clause_id, chunk_index, chunk,
+    embedding, batch), a folder for each batch, written anew if the batch is run again. The batch's clauses come last: until
+    they are there, readers take what earlier batches have. encoder: (df, id_col, text_col) -> (id, embedding).
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        t = df.select("clause_id", F.explode(tokenize("text")).alias("token")).groupBy("clause_id", "token").agg(F.count("*").alias("tf"))
-        gone = df.select("clause_id").distinct().join(t.select("clause_id").distinct(), "clause_id", "left_anti").select("clause_id", F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("tf"))
-        t.union(gone).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/at={batch}")
+        put = lambda t, name: t.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/{name}/at={batch}")
+        last = df.groupBy("clause_id").agg(F.max_by(F.struct("text", F.coalesce("deleted", F.lit(False)).alias("deleted")), "version").alias("c")).select("clause_id", "c.*")
+        live = last.where("not deleted").select("clause_id", "text")
+        put(live.select("clause_id", F.explode(tokenize("text")).alias("token")).groupBy("clause_id", "token").agg(F.count("*").alias("tf")), "postings")
+        pieces = live.select("clause_id", F.posexplode(chunks(plain_text("text"), limit)).alias("chunk_index", "chunk")).withColumn("key", F.concat_ws("#", "clause_id", "chunk_index"))
+        put(pieces.join(encoder(pieces, "key", "chunk"), "key", "left").drop("key"), "chunks")
+        put(last.select("clause_id", "deleted"), "clauses")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_index(df: DataFrame) -> DataFrame:
-    """The rows of each clause's last batch."""
-    last = df.groupBy("clause_id").agg(F.max("batch").alias("batch"))
-    return df.join(last, ["clause_id", "batch"]).where("token is not null").select("clause_id", "token", "tf")
+def current_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of postings or chunks of each clause's last batch; of deleted clauses none."""
+    last = spark.read.parquet(f"{path}/clauses").groupBy("clause_id").agg(F.max_by("deleted", "batch").alias("deleted"), F.max("batch").alias("batch")).where("not deleted").drop("deleted")
+    return spark.read.parquet(f"{path}/{name}").drop("at").join(last, ["clause_id", "batch"]).drop("batch")
 
 
 def pending_counters(rows: DataFrame) -> DataFrame:

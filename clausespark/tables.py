@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,3 +98,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             after.clear()
             return label
         scratch = after
+
+
+def running_total(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the running sum of value by key in an order; rows equal in order count one after another.
+
+    Ranges of keys and order are summed apart and then added up, so a key with any number of rows is no single task's.
+    """
+    ranged = rows.withColumn(name, value.cast("long")).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    total = F.sum(name).over(Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    named = [f"__k{i}" for i in range(len(keys))]
+    sums = ranged.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("__part").alias("__p")).agg(F.sum(name).alias("__sum"))  # a row for each key and range
+    before = F.sum("__sum").over(Window.partitionBy(*named).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__sum")
+    same = (F.col("__part") == F.col("__p")) & reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)])
+    joined = ranged.withColumn("__own", total).join(sums, same)
+    return joined.select(*[F.col(c) for c in rows.columns if c != name], (F.col("__own") + F.col("__before")).alias(name))
