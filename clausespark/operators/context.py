@@ -55,7 +55,7 @@ def pack_budget(items: DataFrame, key: str, order: list[str], cost: str, budget:
     all items up to the first that does not fit, by running sums over ranges, and leaves out it and all that cost more
     than what is left; the few that remain are folded. Costs are not negative; items without a cost are dropped.
     """
-    rows = items.select(F.col(key).alias("key"), F.struct(*order, "id").alias("place"), F.col("id"), F.col(cost).cast("long").alias("cost"))
+    rows = items.select(F.struct(F.col(key).alias("k")).alias("key"), F.struct(*order, "id").alias("place"), F.col("id"), F.col(cost).cast("long").alias("cost"))
     total = rows.groupBy("key").agg(F.count("*").alias("n"))
     left = rows.where(F.col("cost") <= budget // 2).withColumn("room", F.lit(budget).cast("long"))
     scratch, taken = Scratch(), None
@@ -73,7 +73,7 @@ def pack_budget(items: DataFrame, key: str, order: list[str], cost: str, budget:
     taken = rest if taken is None else taken.union(rest)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"].cast("string"))
     picked = taken.groupBy("key").agg(F.array_join(ids, ",").alias("picked"), F.sum("cost").alias("used"), F.count("*").alias("taken"))
-    out = total.join(picked, total["key"].eqNullSafe(picked["key"]), "left").select(total["key"].alias(key), F.coalesce("picked", F.lit("")).alias("picked"), F.coalesce("used", F.lit(0)).alias("used"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("dropped"))
+    out = total.join(picked, "key", "left").select(F.col("key.k").alias(key), F.coalesce("picked", F.lit("")).alias("picked"), F.coalesce("used", F.lit(0)).alias("used"), (F.col("n") - F.coalesce("taken", F.lit(0))).alias("dropped"))
     out = stored(out, "packed")
     scratch.clear()
     return out

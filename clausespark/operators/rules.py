@@ -29,7 +29,7 @@ def rule_score(text: Column, pattern: Column, kind: Column, priority: Column) ->
     found = F.when(F.length(pattern) > 0, ((F.length(text) - F.length(F.replace(text, pattern, F.lit("")))) / F.length(pattern)).cast("int")).otherwise(0)
     keyword = F.when(found > 0, F.least(F.lit(1.0), 0.3 + found * 0.15) * boost).otherwise(0.0)
     covered = F.aggregate(F.regexp_extract_all(text, pattern, F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
-    share = F.least(F.lit(1.0), covered / F.greatest(F.length(text), F.lit(1)) * 2) * boost
+    share = F.when(text.isNotNull(), F.least(F.lit(1.0), covered / F.greatest(F.length(text), F.lit(1)) * 2) * boost)
     return F.when(kind == "exact", F.when(pattern == F.trim(text), boost).otherwise(0.0)).when(kind == "regex", share).otherwise(keyword)
 
 

@@ -29,15 +29,18 @@ class TaskTimer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         status, at = self.task.get() if self.task.exists() else ("", -1)
+        watermark = timerValues.getCurrentWatermarkInMs()
         for b in rows:
             for s, t in zip(b["status"], b["ms"], strict=True):
-                if t >= at:
+                if t >= max(at, watermark):
                     status, at = s, int(t)
+        if at < 0:
+            return iter([])  # nothing but late events
         self.task.update((status, at))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if status in self.keep_ms:
-            self.handle.registerTimer(max(at + self.keep_ms[status], timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(at + self.keep_ms[status], watermark + 1))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
