@@ -232,6 +232,31 @@ def test_line_links_reach_the_similarity(spark):
     assert [got.get(i, i) for i in range(len(lines))] == [least[find(i)] for i in range(len(lines))]
 
 
+def test_template_and_long_lines_are_linked(spark):
+    """Edits in the longest words, at even distances or in a row, of lines of 20 to 200 words, at 0.8 and well above."""
+    rng, lines = np.random.default_rng(11), []
+    for n, k, width in ((20, 4, 24), (25, 5, 24), (30, 6, 24), (40, 8, 24), (60, 12, 24), (100, 20, 24), (60, 6, 24), (100, 6, 24), (200, 6, 24), (40, 6, 12), (40, 8, 4), (8, 1, 24), (9, 1, 24), (5, 1, 24)):
+        for even in (True, False) * 20:
+            a = [f"word{x}" for x in rng.integers(0, 400, n)]
+            at = list(range(0, n, n // k))[:k] if even else list(range(k))
+            b = list(a)
+            for i in at:
+                a[i], b[i] = (f"{x:0{width}d}"[:width] for x in rng.integers(0, 1 << 62, 2))
+            lines += [" ".join(a), " ".join(b)]
+    links = line_dedup.line_links(spark.createDataFrame(list(enumerate(lines)), "gid long, norm string"))
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert [i for i in range(0, len(lines), 2) if got.get(i) != i or got.get(i + 1) != i] == []
+
+
+def test_common_words_make_no_pairs(spark):
+    """Unlike lines of 9 words, three of them common to all, share no block."""
+    rng = np.random.default_rng(12)
+    lines = ["now and then " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 6)) for _ in range(2000)]
+    hashed = line_dedup.hashed_words(spark.createDataFrame(list(enumerate(lines)), "gid long, norm string"))
+    keys = line_dedup.blocks(hashed, line_dedup.word_magnitudes(hashed))
+    assert keys.count() == 4000 and keys.groupBy("key").count().where("count > 3").count() == 0
+
+
 def test_simhash(spark):
     docs = texts(spark)
     rows = rows_of(docs)
