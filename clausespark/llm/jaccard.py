@@ -263,7 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b, ...) that bitmaps allow."""
         sides = [sets.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
-        return scratch.stored(pairs.join(sides[0], "a").join(sides[1], "b").where(allow("na", "bitsa", "nb", "bitsb")).select(*pairs.columns), f"near-{name}")
+        return scratch.stored(pairs.hint("merge").join(sides[0], "a").hint("merge").join(sides[1], "b").where(allow("na", "bitsa", "nb", "bitsb")).select(*pairs.columns), f"near-{name}")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The near pairs whose texts link; each text is fetched once."""
@@ -274,9 +274,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             wanted = wanted.join(held, "gid", "left_anti")
         wanted = scratch.stored(wanted.join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "wanted")
         same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("of"))
-        texts.append(scratch.stored(d.join(wanted, same).groupBy("gid").agg(F.first("text").alias("text")), "texts"))
+        texts.append(scratch.stored(d.join(wanted.hint("merge"), same).groupBy("gid").agg(F.first("text").alias("text")), "texts"))
         every = reduce(DataFrame.union, texts)
-        both = pairs.join(every.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").join(every.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
+        both = pairs.hint("merge").join(every.select(F.col("gid").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(every.select(F.col("gid").alias("b"), F.col("text").alias("tb")), "b")
         return scratch.stored(both.where(alike("ta", "tb")).select("a", "b"), name)
 
     def mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
