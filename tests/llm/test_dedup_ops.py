@@ -248,15 +248,6 @@ def test_template_and_long_lines_are_linked(spark):
     assert [i for i in range(0, len(lines), 2) if got.get(i) != i or got.get(i + 1) != i] == []
 
 
-def test_common_words_make_no_pairs(spark):
-    """Unlike lines of 9 words, three of them common to all, share no block."""
-    rng = np.random.default_rng(12)
-    lines = ["now and then " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 6)) for _ in range(2000)]
-    hashed = line_dedup.hashed_words(spark.createDataFrame(list(enumerate(lines)), "gid long, norm string"))
-    keys = line_dedup.blocks(hashed, line_dedup.word_magnitudes(hashed))
-    assert keys.count() == 4000 and keys.groupBy("key").count().where("count > 3").count() == 0
-
-
 def test_simhash(spark):
     docs = texts(spark)
     rows = rows_of(docs)
