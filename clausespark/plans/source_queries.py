@@ -78,11 +78,18 @@ def _changes(spark, d, versions):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
 
+#: Tables that the stream of changes has written, by session and folder.
+_UPKEPT: dict = {}
+
+
 def _upkept(spark, d):
-    path = S.scratch(spark, "index")
-    encoder = lambda df, i, t: hashed_vectors(df, i, t, 64)
-    J.upkeep_index(_changes(spark, d, 3), f"{path}/data", f"{path}/checkpoint", encoder).awaitTermination()
-    return f"{path}/data"
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _UPKEPT:
+        path = S.scratch(spark, "index")
+        encoder = lambda df, i, t: hashed_vectors(df, i, t, 64)
+        J.upkeep_index(_changes(spark, d, 3), f"{path}/data", f"{path}/checkpoint", encoder).awaitTermination()
+        _UPKEPT[key] = f"{path}/data"
+    return _UPKEPT[key]
 
 
 @query("s2_index_upkeep", r"SELECT t AS token, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN 'edited ' ELSE '' END || text), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 5 <> 0) GROUP BY 1")

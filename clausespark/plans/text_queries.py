@@ -70,7 +70,20 @@ def b8(spark, d):
     return table(spark, d, "documents").select("doc_id", T.build_embed_text(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.lit(""), F.col("text"), path).alias("embed_text"))
 
 
-@query("b9_chunks")
+B9 = f"""WITH RECURSIVE body AS (SELECT doc_id, {_sql_plain('text')} AS t FROM documents),
+us AS (SELECT doc_id, regexp_extract_all(t, '[^{T.SENTENCE_END}]*[{T.SENTENCE_END}]|[^{T.SENTENCE_END}]+$') AS us FROM body WHERE t <> ''),
+un AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM us),
+pc AS (SELECT doc_id, k, j, substring(u, CAST(j * 512 + 1 AS BIGINT), 512) AS u FROM (SELECT *, unnest(range(0, (length(u) + 511) // 512)) AS j FROM un)),
+f AS (SELECT doc_id, u, length(u) AS n, regexp_matches(u, '[{T.SENTENCE_END}]$') AS ends, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM pc),
+r AS (SELECT doc_id, i, u AS buf, 1 AS units, n AS last_n, FALSE AS begins, ends, CAST(NULL AS VARCHAR) AS done FROM f WHERE i = 1
+UNION ALL SELECT f.doc_id, f.i, CASE WHEN length(buf) + n <= 512 THEN buf || u WHEN units > 1 AND begins AND last_n < 51 AND last_n + n <= 512 THEN right(buf, last_n) || u ELSE u END,
+CASE WHEN length(buf) + n <= 512 THEN units + 1 WHEN units > 1 AND begins AND last_n < 51 AND last_n + n <= 512 THEN 2 ELSE 1 END, n, r.ends, f.ends, CASE WHEN length(buf) + n > 512 THEN buf END
+FROM r JOIN f ON f.doc_id = r.doc_id AND f.i = r.i + 1),
+c AS (SELECT doc_id, i, done AS chunk FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, buf FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, chunk FROM c"""
+
+
+@query("b9_chunks", B9)
 def b9(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.plain_text("text").alias("body"))
     return t.select("doc_id", F.posexplode(T.chunks("body", 512)).alias("chunk_index", "chunk"))
