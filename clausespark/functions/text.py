@@ -189,13 +189,17 @@ def _close_math(t: Column) -> Column:
 
 def make_summary(c: Column | str, limit: int = 200, title: Column | None = None) -> Column:
     """The first paragraph (the second if that has under 20 characters), cut at a late sentence end and an open formula."""
-    paragraphs = F.filter(lines(strip_html(c)), lambda x: x != "")
-    first, second = F.get(paragraphs, F.lit(0)), F.get(paragraphs, F.lit(1))
-    seg = F.when((F.length(first) < 20) & second.isNotNull(), second).otherwise(first)
-    cut = F.substring(seg, 1, limit)
-    last = F.regexp_extract(cut, f"(?s)^(.*[{SUMMARY_END}])", 1)
-    seg = F.when(F.length(seg) <= limit, seg).when(F.length(last) > limit // 2 + 1, last).otherwise(cut)
-    seg = _close_math(seg)
+    def pick(paragraphs: Column) -> Column:
+        first, second = F.get(paragraphs, F.lit(0)), F.get(paragraphs, F.lit(1))
+        return F.when((F.length(first) < 20) & second.isNotNull(), second).otherwise(first)
+
+    def shorten(seg: Column) -> Column:
+        cut = F.substring(seg, 1, limit)
+        last = F.regexp_extract(cut, f"(?s)^(.*[{SUMMARY_END}])", 1)
+        return F.when(F.length(seg) <= limit, seg).when(F.length(last) > limit // 2 + 1, last).otherwise(cut)
+
+    seg = bound(F.filter(lines(strip_html(c)), lambda x: x != ""), pick)
+    seg = bound(bound(seg, shorten), _close_math)
     if title is not None:
         seg = F.when(text(title) != "", F.concat(F.lit("["), title, F.lit("] "), seg)).otherwise(seg)
     return F.coalesce(strip(seg), F.lit(""))
