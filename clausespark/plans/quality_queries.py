@@ -127,7 +127,8 @@ def h9b(spark, d):
 def h10(spark, d):
     e = F.col("event_type")
     status = F.when(e == "view", "review_needed").when(e == "error", "error").when(e == "click", "done").otherwise("processing")
-    age = F.when(F.col("event_id") % 11 != 0, F.timestamp_diff("SECOND", F.col("ts").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")))
+    # whole seconds of both times: a part of a second counts as the second it lies in
+    age = F.when(F.col("event_id") % 11 != 0, F.unix_seconds(F.lit("2024-02-01").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")))
     return table(spark, d, "events").select("event_id", Q.task_disposition(status, age).alias("disposition"))
 
 
