@@ -66,8 +66,8 @@ def _character(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code.cast("string")), F.when(bad, "\ufffd").when(none, "").otherwise(char))
 
 
-def _reference(e: Column) -> Column:
-    """What a character reference stands for; of names the longest known beginning counts, the rest stays."""
+def _reference(e: Column, closed: bool) -> Column:
+    """What a character reference stands for; of names the longest known beginning counts, the rest stays. Closed ones count whole."""
     names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
     number = F.regexp_extract(e, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
     short = F.substring(F.concat(F.lit("0"), number), 1, 8)  # more digits are beyond all characters
@@ -75,39 +75,47 @@ def _reference(e: Column) -> Column:
     code = F.when(F.length(number) > 7, 0x110000).otherwise(code)
     name = F.substring(e, F.lit(2), F.length(e))
     known = F.try_element_at(names, name)
-    for n in range(max(len(k) for k in html5 if not k.endswith(";")), 1, -1):
+    for n in () if closed else range(max(len(k) for k in html5 if not k.endswith(";")), 1, -1):
         known = F.coalesce(known, F.when(F.length(name) > n, F.concat(F.try_element_at(names, F.substring(name, 1, n)), F.substring(name, F.lit(n + 1), F.length(name)))))
     return F.when(e.startswith("&#"), bound(code, _character)).otherwise(F.coalesce(known, e))
 
 
-def unescape(c: Column | str) -> Column:
-    """Character references read as browsers do, named (those of HTML 5) and numeric ones, in one pass; unknown names stay."""
-    reference = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+def unescape(c: Column | str, closed: bool = False) -> Column:
+    """Character references read as browsers do, named (those of HTML 5) and numeric ones, in one pass; unknown names stay.
+
+    With closed only those that end in a semicolon are read.
+    """
+    end = ";" if closed else ";?"
+    reference = f"&(?:#[0-9]+{end}|#[xX][0-9a-fA-F]+{end}|[^\\t\\n\\f <&#;]{{1,32}}{end})"
 
     def read(t: Column) -> Column:
-        found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(reference), 0), _reference), F.array(F.lit("")))
+        found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(reference), 0), lambda e: _reference(e, closed)), F.array(F.lit("")))
         whole = F.array_join(F.zip_with(F.split(t, reference, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         return F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
 
     return bound(text(c), read)
 
 
-def strip_html(c: Column | str) -> Column:
+#: Stands for a tag while character references are read, so that none is read across it.
+_TAG = "\ufdd0\ufdd1\ufdd0"
+
+
+def strip_html(c: Column | str, closed: bool = False) -> Column:
     """Text of markup: block tags end lines, other tags and comments vanish, character references are read, blank lines go.
 
-    Bodies of script and style stay, as only tags are handled.
+    Bodies of script and style stay, as only tags are handled. With closed, references without a semicolon stay.
     """
     t = F.regexp_replace(text(c), r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>", "\n")
-    t = unescape(F.regexp_replace(t, r"</?[a-zA-Z!][^>]*>", ""))
+    t = F.replace(unescape(F.regexp_replace(t, r"</?[a-zA-Z!][^>]*>", _TAG), closed), F.lit(_TAG), F.lit(""))
     t = F.regexp_replace(t, "[ \\t\u3000]+", " ")
     return F.array_join(F.filter(F.transform(lines(t), strip), lambda x: x != ""), "\n")
 
 
-def plain_text(c: Column | str) -> Column:
+def plain_text(c: Column | str, closed: bool = False) -> Column:
     """strip_html with table cells apart and formulas between dollar signs or \\( \\) and \\[ \\] left out."""
     spaced = F.regexp_replace(text(c), r"(?i)</?t[dh][^>]*>", " ")
-    return strip_html(F.regexp_replace(strip_html(spaced), LATEX, " "))
+    return strip_html(F.regexp_replace(strip_html(spaced, closed), LATEX, " "), closed)
 
 
 def normalize_cjk_spacing(c: Column | str) -> Column:
@@ -187,8 +195,11 @@ def _close_math(t: Column) -> Column:
     return F.when((F.regexp_count(t, F.lit(r"\$")) % 2 == 1) & (cut != ""), cut).otherwise(t)
 
 
-def make_summary(c: Column | str, limit: int = 200, title: Column | None = None) -> Column:
-    """The first paragraph (the second if that has under 20 characters), cut at a late sentence end and an open formula."""
+def make_summary(c: Column | str, limit: int = 200, title: Column | None = None, closed: bool = False) -> Column:
+    """The first paragraph (the second if that has under 20 characters), cut at a late sentence end and an open formula.
+
+    closed is that of strip_html.
+    """
     def pick(paragraphs: Column) -> Column:
         first, second = F.get(paragraphs, F.lit(0)), F.get(paragraphs, F.lit(1))
         return F.when((F.length(first) < 20) & second.isNotNull(), second).otherwise(first)
@@ -198,7 +209,7 @@ def make_summary(c: Column | str, limit: int = 200, title: Column | None = None)
         last = F.regexp_extract(cut, f"(?s)^(.*[{SUMMARY_END}])", 1)
         return F.when(F.length(seg) <= limit, seg).when(F.length(last) > limit // 2 + 1, last).otherwise(cut)
 
-    seg = bound(F.filter(lines(strip_html(c)), lambda x: x != ""), pick)
+    seg = bound(F.filter(lines(strip_html(c, closed)), lambda x: x != ""), pick)
     seg = bound(bound(seg, shorten), _close_math)
     if title is not None:
         seg = F.when(text(title) != "", F.concat(F.lit("["), title, F.lit("] "), seg)).otherwise(seg)
