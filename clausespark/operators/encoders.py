@@ -36,20 +36,21 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 512, w
 
     With weights (token, weight), as token_weights has them, each token counts by its weight; unknown ones count by the largest.
     """
-    tokens = df.select(id_col, F.explode(tokenize(text_col)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    tokens = df.select(id_col, F.explode(tokenize(text_col)).alias("token"))
     slot, sign = F.pmod(F.xxhash64("token"), F.lit(dims)).cast("int"), F.when(F.pmod(F.hash("token"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    size = F.col("n").cast("double")
+    size = F.lit(1.0)
     if weights is not None:
         most = weights.agg(F.max("weight").alias("most"))
         tokens = tokens.join(weights, "token", "left").join(F.broadcast(most)).withColumn("weight", F.coalesce("weight", "most"))  # one row
-        size = size * F.col("weight")
+        size = F.col("weight")
     counts = tokens.groupBy(id_col, slot.alias("slot")).agg(F.sum(sign * size).alias("x"), F.sum(size).alias("y"))
     norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
-    packed = counts.groupBy(id_col).agg(F.collect_list(F.struct("slot", "x", "y")).alias("slots"), norm("x").alias("nx"), norm("y").alias("ny"))
+    of = lambda c: F.map_from_entries(F.collect_list(F.struct("slot", c)))
+    packed = counts.groupBy(id_col).agg(of("x").alias("mx"), of("y").alias("my"), norm("x").alias("nx"), norm("y").alias("ny"))
     # weighted sums that cancel may leave some of their last digits
     none = F.col("nx") <= 1e-12 * F.col("ny")
-    packed = packed.select(id_col, F.map_from_entries(F.transform("slots", lambda s: F.struct(s["slot"], F.when(none, s["y"]).otherwise(s["x"])))).alias("m"), F.when(none, F.col("ny")).otherwise(F.col("nx")).alias("norm"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("norm"), F.lit(1e-300)))
+    at = lambda m, n, i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)) / F.greatest(F.col(n), F.lit(1e-300))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(none, at("my", "ny", i)).otherwise(at("mx", "nx", i)))
     return packed.select(id_col, v.alias("embedding"))
 
 
