@@ -43,7 +43,7 @@ def text(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, "^[\\s\u00a0\u3000]+|[\\s\u00a0\u3000]+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r\u00a0\u3000"))
 
 
 def lines(c: Column) -> Column:

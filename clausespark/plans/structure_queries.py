@@ -221,5 +221,6 @@ m AS (SELECT doc_id, count(DISTINCT up) AS missing FROM e WHERE NOT note AND con
 SELECT doc_id, count(*) AS clauses, count(*) FILTER (NOT regexp_matches(no, '\\d')) AS without_digits, coalesce(round(avg(CASE WHEN NOT note THEN CAST(len(p) > 0 AND len(p) = len(segs) AS INTEGER) END), 4), 0) AS coverage, coalesce(any_value(missing), 0) AS missing FROM e LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
 def c15b(spark, d):
     lines = md_lines(spark, d)
-    m = S.metrics(S.clause_table(lines, LETTER), S.degraded_headings(S.accepted(S.candidates(lines, LETTER))))
+    judged = S.judged_lines(lines, LETTER)
+    m = S.metrics(S.clause_table(lines, judged=judged), S.degraded_headings(judged))
     return m.select("doc_id", "clauses", "without_digits", "coverage", F.size("missing_sections").cast("long").alias("missing"))
