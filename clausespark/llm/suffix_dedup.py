@@ -11,7 +11,7 @@ A byte goes if a string of LENGTH bytes around it also starts in a document with
 3. A bucket joins its different runs, sorts their suffixes in two stages (those smaller than their successors directly,
    the others induced by scanning the buckets of first bytes) and computes adjacent common prefixes. Strings with common
    prefixes of LENGTH or more form a class; its least doc_id decides, and each block hears a bit for every string.
-4. Blocks mark the strings that repeat and cut out their bytes.
+4. Blocks cut their runs again, mark the strings that repeat and cut out their bytes.
 
 Nothing is sampled or capped: blocks and buckets only deal out the work.
 """
@@ -42,11 +42,20 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = "block long, n int, ids binary, known binary, sizes binary, text binary, carried array<string>"
 _KEYS = "bucket int, block long, keys binary, several binary, runs binary"
 _SHARED = "block long, bucket int, keys binary, crowded binary"
-_RUNS = "bucket int, block long, texts binary, sizes binary, least binary, starts binary, places binary, docs binary"
+_RUNS = "bucket int, block long, texts binary, sizes binary, least binary"
 _BITS = "block long, bucket int, bits binary"
 END = 0xFF  # never a byte of UTF-8
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed bytes, as the codec of shuffles leaves texts at twice the size."""
+    return zstandard.ZstdCompressor(6).compress(raw)
+
+
+def _loosened(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 # --- blocks ---------------------------------------------------------------------------------------------------------
 
 
@@ -318,43 +327,48 @@ def _shared(crowded: int):
     return run
 
 
+def shared_runs(block: Block, shared: pd.DataFrame, bits: int, length: int, gram: int) -> dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]]:
+    """Of each bucket the block's different runs of shared minimizers with their places, the least id of each, and of all runs
+    the start and the place. Runs of crowded minimizers are single strings."""
+    groups: dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]] = {}
+    if not len(shared):
+        return groups
+    first, last, doc, h = runs_of(block, length, gram)
+    key = _bucket_key(h, bits)
+    known = np.concatenate([np.frombuffer(k, "<u4").astype(np.uint64) | np.uint64(int(b) << 32) for b, k in zip(shared["bucket"].tolist(), shared["keys"], strict=True)])
+    hot = np.frombuffer(b"".join(shared["crowded"]), bool)
+    by = np.argsort(known)
+    known, hot = known[by], hot[by]
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    mine = known[at] == key
+    first, last, doc, key, hot = first[mine], last[mine], doc[mine], key[mine], hot[at[mine]]
+    ids = block.ids[doc]
+    by = np.lexsort((first, ids))  # so that the first of equal runs has the least id
+    first, last, ids, key, hot = first[by], last[by], ids[by], key[by], hot[by]
+    raw = block.raw
+    for s, e, i, k, single in zip(first.tolist(), last.tolist(), ids.tolist(), (key >> np.uint64(32)).tolist(), hot.tolist(), strict=True):
+        for a, z in ((x, x + length) for x in range(s, e + 1)) if single else ((s, e + length),):
+            text = raw[a:z]
+            b = xxhash.xxh64_intdigest(text) >> 64 - bits if single else k
+            group = groups.get(b)
+            if group is None:
+                group = groups[b] = ({}, [], [], [])
+            place = group[0].setdefault(text, len(group[0]))
+            if place == len(group[1]):
+                group[1].append(i)
+            group[2].append(a)
+            group[3].append(place)
+    return groups
+
+
 def _cut_runs(bits: int, length: int, gram: int):
     def run(blocks: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in blocks.itertuples():
-            if not len(shared):
-                continue
             block = Block(row)
-            first, last, doc, h = runs_of(block, length, gram)
-            key = _bucket_key(h, bits)
-            known = np.concatenate([np.frombuffer(k, "<u4").astype(np.uint64) | np.uint64(b << 32) for b, k in zip(shared["bucket"].tolist(), shared["keys"], strict=True)])
-            hot = np.frombuffer(b"".join(shared["crowded"]), bool)
-            by = np.argsort(known)
-            known, hot = known[by], hot[by]
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            mine = known[at] == key
-            first, last, doc, key, hot = first[mine], last[mine], doc[mine], key[mine], hot[at[mine]]
-            ids = block.ids[doc]
-            by = np.lexsort((first, ids))  # so that the first of equal runs has the least id
-            first, last, ids, key, hot = first[by], last[by], ids[by], key[by], hot[by]
-            groups: dict[int, tuple[dict[bytes, int], list[int], list[int], list[int], list[int]]] = {}
-            raw = block.raw
-            for s, e, i, k, single in zip(first.tolist(), last.tolist(), ids.tolist(), (key >> np.uint64(32)).tolist(), hot.tolist(), strict=True):
-                for a, z in ((x, x + length) for x in range(s, e + 1)) if single else ((s, e + length),):
-                    text = raw[a:z]
-                    b = xxhash.xxh64_intdigest(text) >> 64 - bits if single else k
-                    group = groups.get(b)
-                    if group is None:
-                        group = groups[b] = ({}, [], [], [], [])
-                    place = group[0].setdefault(text, len(group[0]))
-                    if place == len(group[1]):
-                        group[1].append(i)
-                    group[2].append(a)
-                    group[3].append(place)
-                    group[4].append(i)
-            for b, (texts, least, starts, places, docs) in groups.items():
+            for b, (texts, least, _, _) in shared_runs(block, shared, bits, length, gram).items():
                 sizes = np.array([len(t) for t in texts], "<u2").tobytes()
-                out.append((b, block.number, b"".join(texts), sizes, np.array(least, np.int64).tobytes(), np.array(starts, "<u4").tobytes(), np.array(places, "<u4").tobytes(), np.array(docs, np.int64).tobytes()))
+                out.append((b, block.number, _squeezed(b"".join(texts)), _squeezed(sizes), _squeezed(np.array(least, np.int64).tobytes())))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _RUNS.split(", ")])
 
     return run
@@ -364,11 +378,11 @@ def _resolve(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
         lowest: list[int] = []
-        own = []
-        for texts, sizes, least in zip(rows["texts"], rows["sizes"], rows["least"], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, "<u2").astype(np.int64)).tolist()
+        own, leasts = [], [np.frombuffer(_loosened(x), np.int64) for x in rows["least"]]
+        for texts, sizes, least in zip(rows["texts"], rows["sizes"], leasts, strict=True):
+            texts, ends = _loosened(texts), np.cumsum(np.frombuffer(_loosened(sizes), "<u2").astype(np.int64)).tolist()
             mine, start = [], 0
-            for end, i in zip(ends, np.frombuffer(least, np.int64).tolist(), strict=True):
+            for end, i in zip(ends, least.tolist(), strict=True):
                 at = number.setdefault(texts[start:end], len(lowest))
                 if at == len(lowest):
                     lowest.append(i)
@@ -380,27 +394,29 @@ def _resolve(length: int):
         value, strings = least_of_classes(list(number), np.array(lowest, np.int64), length)
         begin = np.cumsum(strings) - strings
         bits = []
-        for mine, least in zip(own, rows["least"], strict=True):
+        for mine, least in zip(own, leasts, strict=True):
             n = strings[mine]
             at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            bits.append(np.packbits(value[at] < np.repeat(np.frombuffer(least, np.int64), n)).tobytes())
+            bits.append(_squeezed(np.packbits(value[at] < np.repeat(least, n)).tobytes()))
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "bits": bits})
 
     return run
 
 
-def removed_bytes(block: Block, found: pd.DataFrame, length: int = LENGTH) -> np.ndarray:
-    """Which bytes of the block go. found: the block's runs with the bits that came back for them."""
+def removed_bytes(block: Block, found: pd.DataFrame, bits: int, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Which bytes of the block go. found: rows of the block's shared minimizers, and rows of the bits that came back for its runs."""
     edge = np.zeros(len(block.raw) + 1, np.int64)
-    for r in found.itertuples():
-        strings = np.frombuffer(r.sizes, "<u2").astype(np.int64) - length + 1
+    answer = found["bits"].notna()
+    told = dict(found.loc[answer, ["bucket", "bits"]].itertuples(index=False))
+    for bucket, (texts, least, starts, places) in shared_runs(block, found[~answer], bits, length, gram).items():
+        strings = np.array([len(t) for t in texts], np.int64) - length + 1
         begin = np.cumsum(strings) - strings
-        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=int(strings.sum())).astype(bool)
-        starts, places = np.frombuffer(r.starts, "<u4").astype(np.int64), np.frombuffer(r.places, "<u4").astype(np.int64)
-        later = np.frombuffer(r.docs, np.int64) > np.frombuffer(r.least, np.int64)[places]  # the block itself has it earlier
+        repeats = np.unpackbits(np.frombuffer(_loosened(told[bucket]), np.uint8), count=int(strings.sum())).astype(bool)
+        least, starts, places = (np.array(x, np.int64) for x in (least, starts, places))
+        later = block.ids[np.searchsorted(block.ends, starts, side="right")] > least[places]  # the block itself has it earlier
         n = strings[places]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = bits[np.repeat(begin[places], n) + inner] | np.repeat(later, n)
+        gone = repeats[np.repeat(begin[places], n) + inner] | np.repeat(later, n)
         at = (np.repeat(starts, n) + inner)[gone]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + length, -1)
@@ -418,19 +434,19 @@ def removals(docs: DataFrame, of_document: Callable, schema: str, carry: Column
     bits = min(20, max(6, ceil(log2(4 * n))))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("text"), (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
     blocks = stored(rows.mapInPandas(_pack_blocks, _BLOCKS), "blocks")
-    texts = blocks.select("block", "n", "ids", "known", "sizes", "text")
-    minimizers = texts.mapInPandas(_minimizers(bits, length, gram), _KEYS)
+    minimizers = blocks.select("block", "n", "ids", "known", "sizes", "text").mapInPandas(_minimizers(bits, length, gram), _KEYS)
     shared = stored(minimizers.groupBy("bucket").applyInPandas(_shared(crowded), _SHARED), "shared")
-    runs = stored(texts.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_cut_runs(bits, length, gram), _RUNS), "runs")
-    told = stored(runs.select("bucket", "block", "texts", "sizes", "least").groupBy("bucket").applyInPandas(_resolve(length), _BITS), "bits")
-    found = runs.select("block", "bucket", "sizes", "least", "starts", "places", "docs").join(told, ["block", "bucket"])
+    # one plan from here, so that both steps read one shuffle of the texts; runs are cut again rather than kept
+    runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_cut_runs(bits, length, gram), _RUNS)
+    told = runs.groupBy("bucket").applyInPandas(_resolve(length), _BITS)
+    found = shared.unionByName(told, allowMissingColumns=True)
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def finish(own: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in own.itertuples():
             block = Block(row)
-            gone = removed_bytes(block, its, length)
+            gone = removed_bytes(block, its, bits, length, gram)
             for i, known, s, e, c in zip(block.ids.tolist(), block.known.tolist(), (block.ends - block.sizes).tolist(), block.ends.tolist(), row.carried, strict=True):
                 out.append(of_document(i if known else None, block.raw[s:e], gone[s:e], c))
         return pd.DataFrame(out, columns=names)
