@@ -274,8 +274,21 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     return equal.union(links.select("da", "db"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of every connected group of similar_links the document with the smallest doc_id stays.
+def copy_links(docs: DataFrame, width: int, similarity: float, max_bits: int | None) -> DataFrame:
+    """(a, b): links between the non-null doc_ids of docs (doc_id, text): those of similar_links, and by fingerprints.
+
+    Fingerprints meet in the block join, pivots and bits decide as in near_duplicates. At a similarity of 0.8 most
+    fingerprints are further apart than max_bits, so the sets of shingles link what fingerprints do not reach. With
+    max_bits None the sets alone count.
+    """
+    if max_bits is None:
+        return similar_links(docs, width, similarity)
+    near = near_duplicates(docs, max_bits=max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    return near.union(similar_links(docs, width, similarity))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int | None = None) -> DataFrame:
+    """docs without near copies: of every connected group of copy_links the document with the smallest doc_id stays.
 
     A document is a doc_id and a text: rows that repeat both stay or go together, and a doc_id with unlike texts has a
     document for each, the one of the smaller text hash first. Null and empty texts are alike. Rows with a null doc_id
@@ -284,10 +297,10 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     twice = texts.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     if not twice.limit(1).count():
-        found = connected_components(similar_links(texts.drop("h"), width, similarity))
+        found = connected_components(copy_links(texts.drop("h"), width, similarity, max_bits))
         return docs.join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     nodes = stored(numbered(texts.select("doc_id", "h").distinct(), [F.asc("doc_id"), F.asc("h")], "node"), "documents")
-    found = connected_components(similar_links(texts.join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text"), width, similarity))
+    found = connected_components(copy_links(texts.join(nodes, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text"), width, similarity, max_bits))
     gone = stored(found.where("node <> component").join(nodes, "node").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_hash")), "copies")
     # the row as one column, so that no name of it can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"))
