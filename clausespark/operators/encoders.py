@@ -35,14 +35,19 @@ def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dims: int = 512, w
     Where all slots cancel, as two tokens of one slot and unlike signs can, the counts are taken without signs.
 
     With weights (token, weight), as token_weights has them, each token counts by its weight; unknown ones count by the largest.
+
+    Texts are shuffled by id before they are cut, so counts and vectors are made where they are; tokens are counted by row
+    before they meet weights.
     """
-    tokens = df.select(id_col, F.explode(tokenize(text_col)).alias("token"))
+    texts = df.select(id_col, text_col).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    tokens = texts.select(id_col, F.explode(tokenize(text_col)).alias("token"))
     slot, sign = F.pmod(F.xxhash64("token"), F.lit(dims)).cast("int"), F.when(F.pmod(F.hash("token"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     size = F.lit(1.0)
     if weights is not None:
         most = weights.agg(F.max("weight").alias("most"))
+        tokens = tokens.groupBy(id_col, "token").agg(F.count("*").alias("n"))
         tokens = tokens.join(weights, "token", "left").join(F.broadcast(most)).withColumn("weight", F.coalesce("weight", "most"))  # one row
-        size = F.col("weight")
+        size = F.col("n") * F.col("weight")
     counts = tokens.groupBy(id_col, slot.alias("slot")).agg(F.sum(sign * size).alias("x"), F.sum(size).alias("y"))
     norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
     of = lambda c: F.map_from_entries(F.collect_list(F.struct("slot", c)))

@@ -66,16 +66,19 @@ def s1(spark, d):
 
 
 def _changes(spark, d, versions):
-    """A stream of changes to documents, a batch for each version: all of them, then edits of a third and deletions of a fifth."""
+    """A stream of changes to documents: all of them, then edits of a third and deletions of a fifth.
+
+    A version is as many files as a batch takes, so that all cores read it; later versions are in later files.
+    """
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("clause_id"), "text")
     first = docs.withColumns({"version": F.lit(0), "deleted": F.lit(False)})
     edits = docs.where("clause_id % 3 = 0").select("clause_id", F.concat(F.lit("edited "), F.coalesce("text", F.lit(""))).alias("text"), F.lit(1).alias("version"), F.lit(False).alias("deleted"))
     gone = docs.where("clause_id % 5 = 0").select("clause_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("version"), F.lit(True).alias("deleted"))
-    folder = S.scratch(spark, "changes")
+    folder, files = S.scratch(spark, "changes"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i, part in enumerate([first, edits, gone][:versions]):
-        part.coalesce(1).write.parquet(f"{folder}/v={i}")
+        part.repartition(files).write.parquet(f"{folder}/v={i}")
     schema = "clause_id bigint, text string, version int, deleted boolean"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(folder)
 
 
 #: Tables that the stream of changes has written, by session and folder.

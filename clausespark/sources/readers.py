@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausespark.functions.text import build_embed_text, chunks, plain_text
-from clausespark.tables import new_path
+from clausespark.tables import new_path, stored
 
 # Fixed values that results depend on.
 KINDS = {"同义词": "synonym", "别名": "alias", "易混": "confusable", "synonym": "synonym", "alias": "alias", "confusable": "confusable"}
@@ -73,4 +73,5 @@ def rebuild_vectors(clauses: DataFrame, encoder, limit: int = 512, floor: int =
     pieces = c.select("id", "spec", "title", F.posexplode(chunks("body", F.col("room"))).alias("chunk_index", "piece"))
     t = build_embed_text(F.col("spec"), F.lit(""), F.col("id").cast("string"), F.col("title"), F.col("piece"), F.lit(""))
     rows = pieces.select(F.col("id").alias("clause_id"), "spec", "chunk_index", t.alias("text"), F.concat_ws("#", "id", "chunk_index").alias("key"))
+    rows = stored(rows, "pieces")  # cut once for the encoder and the rows
     return rows.join(encoder(rows, "key", "text"), "key", "left").select("clause_id", "spec", "chunk_index", "text", "embedding")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clausespark.functions.text import chunks, plain_text, tokenize
 from clausespark.sources.readers import scratch
+from clausespark.tables import Scratch
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LIFECYCLE = "task_id bigint, status string, outcome string, ms bigint"
@@ -89,12 +90,17 @@ def upkeep_index(changes: DataFrame, path: str, checkpoint: str, encoder: Callab
 
     def write(df: DataFrame, batch: int) -> None:
         put = lambda t, name: t.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/{name}/at={batch}")
+        kept = Scratch()
         last = df.groupBy("clause_id").agg(F.max_by(F.struct("text", F.coalesce("deleted", F.lit(False)).alias("deleted")), "version").alias("c")).select("clause_id", "c.*")
+        last = kept.stored(last, "last-changes")  # the stream is read once a batch
         live = last.where("not deleted").select("clause_id", "text")
         put(live.select("clause_id", F.explode(tokenize("text")).alias("token")).groupBy("clause_id", "token").agg(F.count("*").alias("tf")), "postings")
+        # cut once for the encoder and the rows
         pieces = live.select("clause_id", F.posexplode(chunks(plain_text("text"), limit)).alias("chunk_index", "chunk")).withColumn("key", F.concat_ws("#", "clause_id", "chunk_index"))
+        pieces = kept.stored(pieces, "pieces")
         put(pieces.join(encoder(pieces, "key", "chunk"), "key", "left").drop("key"), "chunks")
         put(last.select("clause_id", "deleted"), "clauses")
+        kept.clear()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
