@@ -2,8 +2,9 @@
 
 Candidates are packed in id order into tiles, each tile a row with a forward index of document-range blocks and, for
 every term, the largest and smallest weight in each block. Every tile of queries meets every tile of candidates through
-an equi-join on the tile's number. There each query bounds every block by its summed term maxima, scores blocks in that
-order through the forward index, and stops once the next bound is below its k-th score.
+an equi-join on slots, which hold several tiles each, so queries are copied once a slot. There each query bounds every block by
+its summed term maxima, scores blocks in that order through the forward index, and stops once the next bound is below its k-th
+score. Of a slot's tiles each query hands on its k best candidates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from clausespark.llm.common import stored
 
 TILE, BLOCK, QUERIES = 8192, 64, 512
-_PACK = "part int, number int, n int, dims int, ids binary, weights binary"
+#: Slots if there are as many tiles, and tiles of a slot at most where that makes more.
+SLOTS, SLOT_TILES = 24, 64
+_PACK = "part int, number int, n int, dims int, ids binary, weights binary, kind string"
 _FOUND = "query_part int, query_number int, query_at int, query_id long, vec_id long, score long"
 
 
@@ -42,7 +45,10 @@ def _packed(rows: DataFrame, most: int, scale: float) -> DataFrame:
             w = np.zeros((len(vectors), dims), np.int64)
             for i, v in enumerate(vectors):
                 w[i, : len(v)] = np.floor(scale * np.asarray(v, np.float64))
-            return pd.DataFrame({"part": [part], "number": [number], "n": [len(ids)], "dims": [dims], "ids": [np.array(ids, np.int64).tobytes()], "weights": [w.tobytes()]})
+            # the fewest bytes that hold all
+            low, high = int(w.min(initial=0)), int(w.max(initial=0))
+            kind = next(t for t in ("i1", "i2", "i4", "i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+            return pd.DataFrame({"part": [part], "number": [number], "n": [len(ids)], "dims": [dims], "ids": [np.array(ids, np.int64).tobytes()], "weights": [w.astype(kind).tobytes()], "kind": [kind]})
 
         for b in batches:
             for i, v in zip(b["id"], b["v"], strict=True):
@@ -116,30 +122,49 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
     infinite component. Shorter vectors count as if filled up with zeros. A repeated query row has its k rows again, a
     repeated candidate row is a candidate again. Other columns are left out; either side may be empty.
     """
-    spark = queries.sparkSession
     c, q = _vectors(candidates, id_col, vector_col), _vectors(queries, id_col, vector_col)
-    tiles = stored(_packed(c.repartitionByRange(max(1, ceil(c.count() / TILE)), "id").sortWithinPartitions("id"), TILE, scale), "tiles")
+    parts = max(1, ceil(c.count() / TILE))
+    slots = max(min(parts, SLOTS), ceil(parts / SLOT_TILES))
+    tiles = stored(_packed(c.repartitionByRange(parts, "id").sortWithinPartitions("id"), TILE, scale), "tiles").withColumn("slot", F.pmod("part", F.lit(slots)))
     asked = stored(_packed(q.repartition(max(1, ceil(q.count() / QUERIES))), QUERIES, scale), "queries")
-    # numbers of tiles alone come to the driver: a row for each TILE candidates
-    keys = [(r.part, r.number) for r in tiles.select("part", "number").collect()]
-    if not keys:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    at = F.explode(F.from_json(F.lit(str([list(x) for x in keys])), "array<array<int>>")).alias("at")
-    asked = asked.select(F.col("part").alias("query_part"), F.col("number").alias("query_number"), F.col("dims").alias("query_dims"), F.col("ids").alias("query_ids"), F.col("weights").alias("query_weights"), at)
-    asked = asked.withColumns({"part": F.element_at("at", 1), "number": F.element_at("at", 2)}).drop("at")
+    asked = asked.select(*[F.col(x).alias(f"query_{x}") for x in ("part", "number", "dims", "ids", "weights", "kind")], F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+
+    def arrays(ids, weights, kind, dims):
+        return np.frombuffer(ids, np.int64), np.frombuffer(weights, kind).reshape(-1, dims).astype(np.int64)
 
     def search(batches):
+        pack, query_ids, own, held = None, None, None, []
+
+        def best():
+            at, ids, scores = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((ids, -scores, at))
+            at, ids, scores = at[by], ids[by], scores[by]
+            top = np.arange(len(at)) - np.searchsorted(at, at) < k
+            return at[top], ids[top], scores[top]
+
+        def cut():
+            at, ids, scores = best()
+            return pd.DataFrame({"query_part": pack[0], "query_number": pack[1], "query_at": at, "query_id": query_ids[at], "vec_id": ids, "score": scores})
+
+        # rows of a pack of queries follow each other in a join; where they do not, the rank below merges them
         for b in batches:
             for r in b.itertuples():
-                ids, weights = np.frombuffer(r.ids, np.int64), np.frombuffer(r.weights, np.int64).reshape(-1, r.dims)
-                query_ids, own = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.query_weights, np.int64).reshape(-1, r.query_dims)
+                if pack != (r.query_part, r.query_number):
+                    if held:
+                        yield cut()
+                    pack, held = (r.query_part, r.query_number), []
+                    query_ids, own = arrays(r.query_ids, r.query_weights, r.query_kind, r.query_dims)
+                ids, weights = arrays(r.ids, r.weights, r.kind, r.dims)
                 found = Tile(ids, weights, r.query_dims).best(query_ids, own, k)
-                n = [len(x) for x, _ in found]
                 places = np.concatenate([x for x, _ in found]).astype(np.int64)
-                at = np.repeat(np.arange(len(own)), n)
-                yield pd.DataFrame({"query_part": r.query_part, "query_number": r.query_number, "query_at": at, "query_id": query_ids[at], "vec_id": ids[places], "score": np.concatenate([s for _, s in found])})
-
-    found = asked.join(tiles, ["part", "number"]).mapInPandas(search, _FOUND)
+                held.append((np.repeat(np.arange(len(own)), [len(x) for x, _ in found]), ids[places], np.concatenate([x for _, x in found])))
+                if len(held) == 16:
+                    held = [best()]
+        if held:
+            yield cut()
+
+    # never broadcast: files say little of what copies of packs take
+    found = asked.hint("merge").join(tiles, "slot").mapInPandas(search, _FOUND)
     w = Window.partitionBy("query_part", "query_number", "query_at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
