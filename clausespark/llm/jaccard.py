@@ -228,7 +228,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     Two rows link if the intersection of their sets of shingles is percent in 100 or more of the union. A text with fewer words
     than width has one shingle; one without words (null ones too) has none and links with nothing. Every row counts by itself,
     repeated doc_ids too; a null doc_id is a component_id only where a component has no other. Other columns are left out.
-    Shingles are compared by 64-bit hashes, sets by 128-bit ones.
+    Shingles are compared by 64-bit hashes, sets by 128-bit ones. No join broadcasts: all sides grow with docs, and the sizes of
+    compressed files, by which Spark would choose, say little of the memory that a side takes in the driver.
     """
 
     def signed(batches):
@@ -255,7 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     sets = scratch.stored(full.drop("keys"), "shingle-sets")
     keys = full.select(F.explode("keys").alias("key"), "gid")
     shared = keys.groupBy("key").agg(F.min("gid").alias("one"), F.count("*").alias("sets")).where("sets > 1")
-    keys = scratch.stored(keys.join(shared, "key"), "shared-keys")
+    keys = scratch.stored(keys.join(shared.hint("merge"), "key"), "shared-keys")
     first.clear()
 
     alike, allow, texts = alike_texts(width, percent), bitmaps_allow(percent), []
@@ -271,8 +272,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             return pairs.select("a", "b")
         wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
         for held in texts:
-            wanted = wanted.join(held, "gid", "left_anti")
-        wanted = scratch.stored(wanted.join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "wanted")
+            wanted = wanted.join(held.hint("merge"), "gid", "left_anti")
+        wanted = scratch.stored(wanted.hint("merge").join(sets.select("gid", "row.*"), "gid").select("gid", F.col("doc_id").alias("of"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "wanted")
         same = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("of"))
         texts.append(scratch.stored(d.join(wanted.hint("merge"), same).groupBy("gid").agg(F.first("text").alias("text")), "texts"))
         every = reduce(DataFrame.union, texts)
@@ -282,10 +283,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     def mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
         """Of rows (key, gid) those of keys whose sets are in several components, with these; keys of the same sets once."""
         label = connected_components(links).withColumnRenamed("node", "gid")
-        now = scratch.stored(rows.join(label, "gid", "left").select("key", "gid", F.coalesce("component", "gid").alias("component")), "labelled-keys")
+        now = scratch.stored(rows.join(label.hint("merge"), "gid", "left").select("key", "gid", F.coalesce("component", "gid").alias("component")), "labelled-keys")
         of = now.groupBy("key").agg(F.count("*").alias("sets"), *[F.bit_xor(F.xxhash64(F.lit(i), "gid")).alias(f"all{i}") for i in (0, 1)], F.min("component").alias("low"), F.max("component").alias("high"))
         of = of.where("low < high").groupBy("sets", "all0", "all1").agg(F.min("key").alias("key"))
-        return scratch.stored(now.join(of.select("key", "sets"), "key"), "mixed-keys")
+        return scratch.stored(now.join(of.select("key", "sets").hint("merge"), "key"), "mixed-keys")
 
     # the set with which each shares most keys, then all others that it shares keys with as the first of them
     star = keys.where("gid <> one").groupBy(F.col("gid").alias("b"), F.col("one").alias("a")).agg(F.count("*").alias("n"))
@@ -294,7 +295,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     links = verified(most, "links-most")
     label = connected_components(links)
     of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    apart = star.join(most.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = star.join(most.hint("merge"), ["a", "b"], "left_anti").join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = links.union(verified(apart, "links-firsts"))
 
@@ -304,12 +305,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         if not left.limit(1).count():
             break
         one = left.groupBy("key").agg(F.min_by(F.struct("gid", "component"), F.xxhash64(F.lit(at), "key", "gid")).alias("one"))
-        met = left.join(one, "key").where("component <> one.component").select(F.least("gid", "one.gid").alias("a"), F.greatest("gid", "one.gid").alias("b")).distinct()
+        met = left.join(one.hint("merge"), "key").where("component <> one.component").select(F.least("gid", "one.gid").alias("a"), F.greatest("gid", "one.gid").alias("b")).distinct()
         links = links.union(verified(near(met, f"round-{at}"), f"links-{at}"))
         left = mixed(left.select("key", "gid"), links)
 
     own = left.groupBy("gid").agg(F.collect_set("key").alias("keys"))
-    left = left.join(own, "gid").join(sets.select("gid", "n", "bits"), "gid")
+    left = left.join(own.hint("merge"), "gid").join(sets.select("gid", "n", "bits").hint("merge"), "gid")
     # blocks of a key's sets, and every pair of blocks
     left = left.withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("gid", "key"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -318,11 +319,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     found = left.repartition(*group).sortWithinPartitions(*group).mapInPandas(_by_group(lambda rows: tree_pairs(rows, percent), group), "a long, b long")
     links = links.union(verified(scratch.stored(found, "tree-pairs"), "links-trees"))
 
-    ids = sets.select("gid", "o1", "o2", "n", "least").join(connected_components(links).withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    ids = sets.select("gid", "o1", "o2", "n", "least").join(connected_components(links).withColumnRenamed("node", "gid").hint("merge"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     ids = scratch.stored(ids, "set-components")
     least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = ids.join(least, "component").select("o1", "o2", "n", "component_id")
-    out = signs.select("doc_id", "o1", "o2", "n").join(ids, ["o1", "o2", "n"], "left")
+    ids = ids.join(least.hint("merge"), "component").select("o1", "o2", "n", "component_id")
+    out = signs.select("doc_id", "o1", "o2", "n").join(ids.hint("merge"), ["o1", "o2", "n"], "left")
     # a set without shingles has no component
     out = out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = stored(out, "jaccard")
