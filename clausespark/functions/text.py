@@ -136,6 +136,11 @@ def token_runs(c: Column | str) -> Column:
     return F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r)))
 
 
+def token_text(c: Column | str) -> Column:
+    """What token_runs cuts: lower-case runs of letters, digits and ideographs with a space for all that is between them."""
+    return F.regexp_replace(F.lower(text(c)), f"[^{CJK}\\p{{L}}\\p{{N}}]+", " ")
+
+
 def tokenize(c: Column | str) -> Column:
     """Lower-case runs of letters and digits; of ideographs every pair of neighbours, and one that stands alone."""
     return F.flatten(token_runs(c))

@@ -37,7 +37,7 @@ def _fields():
 
 
 def _postings(spark, d):
-    return R.inverted_index(table(spark, d, "documents"), _fields())
+    return R.inverted_index(table(spark, d, "documents"), _fields(), places=False)
 
 
 #: Written indexes by session and folder: what searches read is written once and kept as long as the session's shared folder.
@@ -55,8 +55,13 @@ def _terms(spark, d):
     return R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
 
 
-def _found(spark, d, crumb=0.3):
-    return R.matches(_index(spark, d), _terms(spark, d), {"body": 1.0, "crumb": crumb})
+def _found(spark, d, crumb=0.3, scores=True):
+    return R.matches(_index(spark, d), _terms(spark, d), {"body": 1.0, "crumb": crumb}, scores=scores)
+
+
+def _best(spark, d, k):
+    found = R.search(_index(spark, d), _terms(spark, d), {"body": 1.0, "crumb": 0.3}, k)
+    return R.ranked(found, [F.desc("score"), "doc_id"], k)
 
 
 def _nearest(spark, d, k):
@@ -93,7 +98,7 @@ p AS (SELECT doc_id, field, unnest(t) AS token, 2 * (generate_subscripts(t, 1) -
 SELECT doc_id, field, token, count(*) AS tf, CAST(sum(place) AS BIGINT) AS places, CAST(any_value(len) AS BIGINT) AS len FROM p JOIN lens USING (doc_id) GROUP BY ALL""")
 def e4c(spark, d):
     sum_ = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
-    return _index(spark, d).postings.select("doc_id", "field", "token", "tf", sum_.alias("places"), "len")
+    return _index(spark, d).postings().select("doc_id", "field", "token", "tf", sum_.alias("places"), "len")
 
 
 #: Each letter a to z as an ideograph, so that words are runs of ideographs.
@@ -112,8 +117,7 @@ def e5b(spark, d):
     words = F.concat_ws(" ", F.regexp_extract(F.lower("text"), "^([a-z]*)", 1), F.regexp_extract(F.lower("text"), "([a-z]+)[^a-z]*$", 1))
     asked = table(spark, d, "benchmark").select("item_id", ideographs(words).alias("text"))
     terms = R.query_terms(asked, "item_id", "text").where("steps > 1 OR length(token) > 1")
-    found = R.term_matches(R.inverted_index(docs, {"body": F.col("text")}), terms, {"body": 1.0})
-    return found.groupBy("query_id", "doc_id").agg(F.count("*").alias("terms"))
+    return R.matches(R.index_of(docs, {"body": F.col("text")}), terms, {"body": 1.0}, scores=False).select("query_id", "doc_id", F.col("matched").alias("terms"))
 
 
 @query("e4_term_statistics", f"WITH {INDEX} SELECT token, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY token")
@@ -124,22 +128,22 @@ def e4b(spark, d):
 
 @query("e5_all_terms", f"WITH {INDEX} SELECT query_id, doc_id FROM postings JOIN terms USING (token) JOIN asked USING (query_id) GROUP BY query_id, doc_id, asked HAVING count(DISTINCT term) = asked")
 def e5(spark, d):
-    return _found(spark, d).where("matched = asked").select("query_id", "doc_id")
+    return _found(spark, d, scores=False).where("matched = asked").select("query_id", "doc_id")
 
 
 @query("e6_or_fallback", f"WITH {INDEX}, {BOTH}, {FALLBACK} SELECT query_id, count(*) AS n, min(matched) AS least_matched FROM kept GROUP BY query_id")
 def e6(spark, d):
-    return R.with_fallback(_found(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("matched").alias("least_matched"))
+    return R.with_fallback(_found(spark, d, scores=False)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("matched").alias("least_matched"))
 
 
 @query("e7_body_only", f"WITH {INDEX}, {_scored(repr('body'), '1.0')} SELECT query_id, doc_id, matched FROM scored")
 def e7(spark, d):
-    return _found(spark, d, 0.0).select("query_id", "doc_id", "matched")
+    return _found(spark, d, 0.0, scores=False).select("query_id", "doc_id", "matched")
 
 
 @query("e8_bm25", f"WITH {INDEX}, {BOTH}, {FALLBACK} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM kept QUALIFY rank <= 20")
 def e8(spark, d):
-    return R.best_matches(_found(spark, d), 20).select("query_id", "doc_id", "score", "rank")
+    return _best(spark, d, 20).select("query_id", "doc_id", "score", "rank")
 
 
 TIER = "CASE WHEN CAST(doc_id AS VARCHAR) = token THEN 0 WHEN contains(CAST(doc_id AS VARCHAR), token) THEN 1 WHEN contains(source || ' ' || lang, token) THEN 2 ELSE 3 END"
@@ -153,13 +157,15 @@ def e9(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("title"))
     no = F.col("doc_id").cast("string")
     tier = F.when(no == F.col("token"), 0).when(F.contains(no, F.col("token")), 1).when(F.contains("title", F.col("token")), 2).otherwise(3)
-    t = R.with_fallback(_found(spark, d)).join(first, "query_id").join(docs, "doc_id").withColumn("tier", tier)
+    found = R.search(_index(spark, d), _terms(spark, d), {"body": 1.0, "crumb": 0.3}, 20, also=docs, cut=False)
+    # of the last tier no more than the 20 best by score can be among the first 20
+    t = found.join(first, "query_id").withColumn("tier", tier).where("tier < 3 OR near")
     return R.ranked(t, ["tier", F.desc("score"), "doc_id"], 20).select("query_id", "doc_id", "tier", "rank")
 
 
 @query("e10_page", f"""WITH {INDEX}, {BOTH}, {FALLBACK} SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS total, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM kept QUALIFY rank BETWEEN 11 AND 20""")
 def e10(spark, d):
-    return R.best_matches(_found(spark, d), 20).where("rank > 10").select("query_id", "doc_id", "total", "rank")
+    return _best(spark, d, 20).where("rank > 10").select("query_id", "doc_id", "total", "rank")
 
 
 @query("e11_nearest", f"WITH {VECTORS} SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM nearest WHERE rank <= 10")
@@ -221,7 +227,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kr
 
 
 def _fused(spark, d):
-    a = R.best_matches(_found(spark, d), KEYWORD_FETCH)
+    a = _best(spark, d, KEYWORD_FETCH)
     b = _nearest(spark, d, 100).where("distance < 2.0").withColumnRenamed("vec_id", "doc_id")
     return R.fuse(a, b)
 
