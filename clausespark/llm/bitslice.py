@@ -14,20 +14,24 @@ from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import Scratch, documents, stored
+from clausespark.tables import partition_keys
 
-#: Documents of a block at most, documents dealt to blocks at once, bits of a block's matrix at most, but for a document alone.
-BLOCK, HELD, MATRIX = 1024, 8192, 1 << 26
+#: Documents of a block at most, documents dealt to blocks at once and different terms of those, bits of a block's matrix at most, but for a document alone.
+BLOCK, HELD, HELD_TERMS, MATRIX = 1024, 8192, 1 << 22, 1 << 26
+#: Terms whose hashes are remembered, places in filters that are made at once, texts taken from a batch at once, blocks written and read at once.
+KNOWN, PLACES, TEXTS, GROUP = 1 << 17, 1 << 17, 256, 4
 #: Bits of a filter for each of its keys, and hashes of a key.
 BITS, HASHES = 8, 3
 #: Term counts told apart: 1, 2, 4 and so on.
 LEVELS = 5
-#: Queries of a tile, documents scored before the first cut, bytes that a task holds, results merged at once.
-TILE, FIRST, TASK_BYTES, FAN = 1024, 64, 64 << 20, 32
+#: Queries of a tile, documents scored before the first cut, bytes of blocks that a task holds, which sorting and Arrow hold several times, results merged at once.
+TILE, FIRST, TASK_BYTES, FAN = 1024, 64, 16 << 20, 32
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLOCK = "slot_key long, docs long, total long, ids binary, lengths binary, vocabulary binary, df binary, starts binary, at binary, tf binary, bits int, slices binary"
 _ASKED = "tile long, item_ids array<long>, counts binary, terms binary, repeats binary"
@@ -43,7 +47,7 @@ class _Hashes(dict):
     """64-bit hashes of terms, remembered."""
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > KNOWN:
             self.clear()
         self[term] = h = xxhash.xxh64_intdigest(term)
         return h
@@ -68,27 +72,32 @@ def _pack(docs: list[tuple]) -> dict:
     for level in range(LEVELS):
         keys += np.bincount(row[tf >= 1 << level], minlength=len(docs))
     bits = int(BITS * keys.max())
-    wide = np.zeros((bits, -(-len(docs) // 8) * 8), bool)
+    slices = np.zeros((bits, -(-len(docs) // 8)), np.uint8)
     for level in range(LEVELS):
-        some = tf >= 1 << level
-        places = filter_places(flat[some], level, bits)
-        for i in range(HASHES):
-            wide[places[:, i], row[some]] = True
+        some = np.flatnonzero(tf >= 1 << level)
+        for s in range(0, len(some), PLACES):
+            own = some[s : s + PLACES]
+            bit = (128 >> (row[own] & 7)).astype(np.uint8)
+            places = filter_places(flat[own], level, bits)
+            for i in range(HASHES):
+                np.bitwise_or.at(slices, (places[:, i], row[own] >> 3), bit)
     small = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
     return {
         "docs": len(docs), "total": int(lengths.sum()), "ids": ids.tobytes(), "lengths": lengths.tobytes(), "vocabulary": vocabulary.tobytes(),
         "df": df.astype(np.uint32).tobytes(), "starts": np.r_[0, np.cumsum(sizes)].astype(np.int64).tobytes(), "at": at.astype(small).tobytes(),
-        "tf": tf.astype(np.uint8 if tf.max() < 256 else np.uint32).tobytes(), "bits": bits, "slices": np.packbits(wide, axis=1).tobytes(),
+        "tf": tf.astype(np.uint8 if tf.max() < 256 else np.uint32).tobytes(), "bits": bits, "slices": slices.tobytes(),
     }
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The blocks of all documents with an id and a term, each with its documents' filters and forward index."""
 
+    schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int32() if t == "int" else pa.int64()) for n, t in (f.split() for f in _BLOCK.split(", "))])
+
     def run(batches):
         from pyspark import TaskContext
 
-        number, hashes, held = TaskContext.get().partitionId() << 32, _Hashes(), []
+        number, hashes, held, size = TaskContext.get().partitionId() << 32, _Hashes(), [], 0
 
         def cut(held):
             nonlocal number
@@ -97,22 +106,23 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 n = 1
                 while n < min(len(held), BLOCK) and (n + 1) * BITS * len(held[n][2]) <= MATRIX:
                     n += 1
-                yield pd.DataFrame([{"slot_key": number, **_pack(held[:n])}])
+                yield pa.RecordBatch.from_pylist([{"slot_key": number, **_pack(held[:n])}], schema)
                 number, held = number + 1, held[n:]
 
-        for b in batches:
-            for i, text in zip(b["id"], b["text"], strict=True):
+        for at in (b.slice(s, TEXTS) for b in batches for s in range(0, b.num_rows, TEXTS)):
+            for i, text in zip(at.column("id").to_pylist(), at.column("text").to_pylist(), strict=True):
                 counted = Counter(terms_of(text))
                 if counted:
                     tf = np.fromiter(counted.values(), np.int64, len(counted))
                     held.append((int(i), int(tf.sum()), np.fromiter(map(hashes.__getitem__, counted), np.uint64, len(counted)), tf))
-                if len(held) == HELD:
+                    size += len(tf)
+                if len(held) == HELD or size >= HELD_TERMS:
                     yield from cut(held)
-                    held = []
+                    held, size = [], 0
         yield from cut(held)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    return rows.mapInPandas(run, _BLOCK)
+    return rows.mapInArrow(run, _BLOCK)
 
 
 def query_tiles(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -248,7 +258,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
     are compared by 64-bit hashes.
     """
     spark, scratch = docs.sparkSession, Scratch()
-    made = scratch.stored(blocks(docs, doc_id, text_col), "signature-blocks")
+    made = scratch.stored(blocks(docs, doc_id, text_col), "signature-blocks", GROUP)
     asked = scratch.stored(query_tiles(queries, item_id, text_col), "query-tiles")
     size = F.length("slices") + F.length("at") + F.length("tf") + 12 * F.length("vocabulary") / 8
     whole = made.agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"), F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
@@ -259,8 +269,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
     total_docs, total = whole.docs, whole.total
     # every tile meets every slot of blocks, so queries are copied, as they are the few
     slots = max(1, min(whole.n, ceil(whole.bytes * tiles / TASK_BYTES)))
-    made = made.withColumn("slot", F.pmod(F.xxhash64("slot_key"), F.lit(slots)))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot")
+    own = F.array(*[F.lit(key).cast("long") for key in partition_keys(spark, slots)])
+    made = made.withColumn("slot", F.element_at(own, (F.pmod(F.xxhash64("slot_key"), F.lit(slots)) + 1).cast("int")))
+    copies = F.explode(own).alias("slot")
 
     def counted(batches):
         tile = None
@@ -280,7 +291,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
     def summed(rows):
         return pd.DataFrame({"tile": rows["tile"][:1], "df": [np.sum([np.frombuffer(x, np.int64) for x in rows["df"]], axis=0, dtype=np.int64).tobytes()]})
 
-    met = asked.select("tile", "terms", copies).hint("merge").join(made.select("slot", "vocabulary", "df"), "slot")
+    # a partition for each slot, however few the session has, as a slot is what a task may hold
+    copied = lambda *columns: asked.select("tile", *columns, copies).repartition(slots, "slot").hint("merge")
+    met = copied("terms").join(made.select("slot", "vocabulary", "df").repartition(slots, "slot"), "slot")
     df = merged(met.drop("slot").sortWithinPartitions("tile").mapInPandas(counted, "tile long, df binary"), "tile long, df binary", summed, slots)
     asked = scratch.stored(asked.join(df, "tile"), "weighted-tiles")
 
@@ -309,7 +322,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, doc_id: str = "doc_
         return pd.DataFrame({"tile": rows["tile"][:1], "counts": [counts.tobytes()], "ids": [ids[place < k].tobytes()], "scores": [scores[place < k].tobytes()]})
 
     fields = ["ids", "lengths", "vocabulary", "starts", "at", "tf", "bits", "slices"]
-    met = asked.select("tile", "counts", "terms", "repeats", F.col("df").alias("tile_df"), copies).hint("merge").join(made.select("slot", *fields), "slot")
+    met = copied("counts", "terms", "repeats", F.col("df").alias("tile_df")).join(made.select("slot", *fields).repartition(slots, "slot"), "slot")
     found = merged(met.drop("slot").sortWithinPartitions("tile").mapInPandas(ranked, _BEST), _BEST, best, slots)
 
     def rows(batches):

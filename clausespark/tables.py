@@ -32,13 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """df written as a table and read again; its shuffle files are gone then, as nothing but the table is read later."""
+def _written(df: DataFrame, path: str, group: int | None = None) -> DataFrame:
+    """df written as a table and read again; its shuffle files are gone then, as nothing but the table is read later.
+
+    group: so many rows at most are written, and read, at once. Parquet looks at the size of what it holds after 100 rows only.
+    """
     spark = df.sparkSession
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer if group is None else writer.option("parquet.block.row.count.limit", group)).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,18 +53,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _written(df, new_path(df.sparkSession, name))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of n partitions, so that rows dealt by them with repartition(n, key) fill each by one key alone."""
+    if n > 10_000:
+        return list(range(n))  # keys share partitions then
+    tried = 20 * n
+    while True:
+        own = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("key")).collect()
+        if len(own) == n:
+            return [r.key for r in own]
+        tried *= 4
+
+
 class Scratch:
     """Tables in the shared folder that go once what needs them is stored."""
 
     def __init__(self):
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """As stored(), until clear()."""
+    def stored(self, df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+        """As stored(), until clear(); rows of megabytes are written `group` at once."""
         spark = df.sparkSession
         path = new_path(spark, name)
         self.paths.append((spark, path))
-        return _written(df, path)
+        return _written(df, path, group)
 
     def clear(self) -> None:
         for spark, path in self.paths:
