@@ -142,8 +142,12 @@ def token_text(c: Column | str) -> Column:
 
 
 def tokenize(c: Column | str) -> Column:
-    """Lower-case runs of letters and digits; of ideographs every pair of neighbours, and one that stands alone."""
-    return F.flatten(token_runs(c))
+    """Lower-case runs of letters and digits; of ideographs every pair of neighbours, and one that stands alone.
+
+    What has no ideographs is cut at spaces, which takes less than a step for each token.
+    """
+    words = lambda t: F.when(t == "", F.array().cast("array<string>")).when(t.rlike(f"[{CJK}]"), F.flatten(token_runs(t))).otherwise(F.split(t, " ", -1))
+    return bound(F.trim(token_text(c)), words)
 
 
 def estimate_tokens(c: Column | str, chars_per_token: int = 2) -> Column:

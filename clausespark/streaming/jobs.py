@@ -96,7 +96,8 @@ def upkeep_index(changes: DataFrame, path: str, checkpoint: str, encoder: Callab
         live = last.where("not deleted").select("clause_id", "text")
         put(live.select("clause_id", F.explode(tokenize("text")).alias("token")).groupBy("clause_id", "token").agg(F.count("*").alias("tf")), "postings")
         # cut once for the encoder and the rows
-        pieces = live.select("clause_id", F.posexplode(chunks(plain_text("text"), limit)).alias("chunk_index", "chunk")).withColumn("key", F.concat_ws("#", "clause_id", "chunk_index"))
+        plain = live.select("clause_id", plain_text("text").alias("plain"))  # a column of its own, as chunks() takes it several times
+        pieces = plain.select("clause_id", F.posexplode(chunks("plain", limit)).alias("chunk_index", "chunk")).withColumn("key", F.concat_ws("#", "clause_id", "chunk_index"))
         pieces = kept.stored(pieces, "pieces")
         put(pieces.join(encoder(pieces, "key", "chunk"), "key", "left").drop("key"), "chunks")
         put(last.select("clause_id", "deleted"), "clauses")
