@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clausespark.operators import retrieval as R
 from clausespark.plans.data import table
 from clausespark.plans.registry import query
+from clausespark.tables import stored
 
 #: Rows of the keyword arm that are fused, a fixed value.
 KEYWORD_FETCH = 10_000
@@ -203,12 +204,12 @@ def e13c(spark, d):
     from clausespark.operators.encoders import hashed_vectors, token_weights
 
     docs = table(spark, d, "documents")
-    weights = token_weights(docs, "doc_id", "text")
-    each = docs.select("doc_id", F.explode(R.tokenize("text")).alias("token")).groupBy("doc_id", "token").agg(F.concat_ws(" ", F.collect_list("token")).alias("text"))
-    lengths = each.select("doc_id", "token", F.size(R.tokenize("text")).alias("n")).join(weights, "token")
+    weights = stored(token_weights(docs, "doc_id", "text"), "token-weights")
+    each = R.inverted_index(docs, {"body": F.col("text")}, places=False).select("doc_id", "token", F.col("tf").alias("n"))
+    lengths = each.join(weights, "token").groupBy("doc_id").agg(F.round(F.sum((F.col("n") * F.col("weight")) ** 2), 4).alias("squares"))
+    lengths = stored(lengths.where("squares > 0"), "squares")  # shuffle files of tokens go before the vectors' begin
     had = hashed_vectors(docs, "doc_id", "text", 64, weights).where(F.exists("embedding", lambda x: x != 0)).select("doc_id")
-    out = lengths.groupBy("doc_id").agg(F.round(F.sum((F.col("n") * F.col("weight")) ** 2), 4).alias("squares"))
-    return out.where("squares > 0").join(had, "doc_id", "left_semi")
+    return lengths.join(had, "doc_id", "left_semi")
 
 
 @query("e14_best_chunk", f"""WITH {VECTORS}, b AS (SELECT query_id, label, min(distance) AS distance FROM nearest JOIN embeddings USING (vec_id) WHERE rank <= 100 AND distance < 1.9 GROUP BY ALL)
