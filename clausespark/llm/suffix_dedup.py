@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from math import ceil, log2
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,16 @@ _BITS = "block long, bucket int, bits binary"
 END = 0xFF  # never a byte of UTF-8
 
 
+_PACKER, _OPENER = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
+
+
 def _squeezed(raw: bytes) -> bytes:
     """Compressed bytes, as the codec of shuffles leaves texts at twice the size."""
-    return zstandard.ZstdCompressor(6).compress(raw)
+    return _PACKER.compress(raw)
 
 
 def _loosened(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+    return _OPENER.decompress(packed)
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------
@@ -125,10 +129,15 @@ def _power(n: int) -> np.uint64:
 
 def runs_of(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first string, last string, document, minimizer hash) of every run of strings with one minimizer; null ids have none."""
+    return _runs_and_hashes(block, length, gram)[:4]
+
+
+def _runs_and_hashes(block: Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """runs_of, and the hashes of the GRAM-byte parts from every place on."""
     empty = np.zeros(0, np.int64)
     n = len(block.raw) - length + 1
     if n <= 0:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     t = np.frombuffer(block.raw, np.uint8)
     h = gram_hashes(t, gram)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -153,7 +162,7 @@ def runs_of(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     last = np.r_[first[1:], n] - 1
     if len(stop):
         last = np.minimum(last, stop[np.searchsorted(stop, first)])
-    return first, last, np.searchsorted(block.ends, first, side="right"), h[place[first]]
+    return first, last, np.searchsorted(block.ends, first, side="right"), h[place[first]], h
 
 
 def _bucket_key(h: np.ndarray, bits: int) -> np.ndarray:
@@ -327,38 +336,72 @@ def _shared(crowded: int):
     return run
 
 
-def shared_runs(block: Block, shared: pd.DataFrame, bits: int, length: int, gram: int) -> dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]]:
-    """Of each bucket the block's different runs of shared minimizers with their places, the least id of each, and of all runs
-    the start and the place. Runs of crowded minimizers are single strings."""
-    groups: dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]] = {}
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first[i], first[i] + 1, ... of which there are n[i], one after another."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Runs(NamedTuple):
+    """Runs of shared minimizers, in order of buckets: of the different ones of a bucket the bucket, the start of the first, bytes
+    and least id; of all runs the start and the place among the different ones."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    sizes: np.ndarray
+    least: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+
+    def buckets(self) -> list[tuple[int, int, int]]:
+        """(bucket, first, end) of the different runs of each bucket."""
+        cut = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]]) if len(self.bucket) else np.zeros(0, np.int64)
+        return list(zip(self.bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(self.bucket)], strict=False))
+
+
+def shared_runs(block: Block, shared: pd.DataFrame, bits: int, length: int, gram: int) -> Runs:
+    """The block's runs of shared minimizers; runs of crowded minimizers are single strings.
+
+    Equal runs have equal hashes of their parts, which are compared byte by byte before they count as one.
+    """
+    none = np.zeros(0, np.int64)
     if not len(shared):
-        return groups
-    first, last, doc, h = runs_of(block, length, gram)
-    key = _bucket_key(h, bits)
+        return Runs(*[none] * 6)
+    first, last, doc, minimizer, h = _runs_and_hashes(block, length, gram)
+    key = _bucket_key(minimizer, bits)
     known = np.concatenate([np.frombuffer(k, "<u4").astype(np.uint64) | np.uint64(int(b) << 32) for b, k in zip(shared["bucket"].tolist(), shared["keys"], strict=True)])
     hot = np.frombuffer(b"".join(shared["crowded"]), bool)
     by = np.argsort(known)
     known, hot = known[by], hot[by]
     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
     mine = known[at] == key
-    first, last, doc, key, hot = first[mine], last[mine], doc[mine], key[mine], hot[at[mine]]
-    ids = block.ids[doc]
-    by = np.lexsort((first, ids))  # so that the first of equal runs has the least id
-    first, last, ids, key, hot = first[by], last[by], ids[by], key[by], hot[by]
-    raw = block.raw
-    for s, e, i, k, single in zip(first.tolist(), last.tolist(), ids.tolist(), (key >> np.uint64(32)).tolist(), hot.tolist(), strict=True):
-        for a, z in ((x, x + length) for x in range(s, e + 1)) if single else ((s, e + length),):
-            text = raw[a:z]
-            b = xxhash.xxh64_intdigest(text) >> 64 - bits if single else k
-            group = groups.get(b)
-            if group is None:
-                group = groups[b] = ({}, [], [], [])
-            place = group[0].setdefault(text, len(group[0]))
-            if place == len(group[1]):
-                group[1].append(i)
-            group[2].append(a)
-            group[3].append(place)
-    return groups
+    first, last, doc, hot = first[mine], last[mine], doc[mine], hot[at[mine]]
+    bucket = (key[mine] >> np.uint64(32)).astype(np.int64)
+    if hot.any():
+        single = _spread(first[hot], (last - first + 1)[hot])
+        owner = np.repeat(doc[hot], (last - first + 1)[hot])
+        own = np.array([xxhash.xxh64_intdigest(block.raw[a : a + length]) >> 64 - bits for a in single.tolist()], np.int64)
+        first, last, doc, bucket = np.r_[first[~hot], single], np.r_[last[~hot], single], np.r_[doc[~hot], owner], np.r_[bucket[~hot], own]
+    sizes, ids = last - first + length, block.ids[doc]
+    if not len(first):
+        return Runs(*[none] * 6)
+    # parts side by side, and the last one, cover a run
+    whole = sizes.astype(np.uint64) * _M
+    for k in range(0, int(sizes.max()), gram):
+        whole = (whole ^ (whole >> np.uint64(31)) ^ h[first + np.minimum(k, sizes - gram)]) * _M
+    by = np.lexsort((first, ids, whole, bucket))  # so that the first of equal runs has the least id
+    first, sizes, ids, whole, bucket = (x[by] for x in (first, sizes, ids, whole, bucket))
+    t = np.frombuffer(block.raw, np.uint8)
+    fresh = np.r_[True, (whole[1:] != whole[:-1]) | (bucket[1:] != bucket[:-1]) | (sizes[1:] != sizes[:-1])]
+    again = np.flatnonzero(~fresh)
+    unlike = t[_spread(first[again], sizes[again])] != t[_spread(first[again - 1], sizes[again])]
+    if unlike.any():  # unlike runs of one hash: each that differs from the one before it is one more
+        fresh[again[np.logical_or.reduceat(unlike, np.cumsum(sizes[again]) - sizes[again])]] = True
+    place = np.cumsum(fresh) - 1
+    bucket, start, sizes, least = bucket[fresh], first[fresh], sizes[fresh], ids[fresh]
+    by = np.lexsort((start, least, bucket))  # neighbours in the text are packed better
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return Runs(bucket[by], start[by], sizes[by], least[by], first, rank[place])
 
 
 def _cut_runs(bits: int, length: int, gram: int):
@@ -366,9 +409,10 @@ def _cut_runs(bits: int, length: int, gram: int):
         out = []
         for row in blocks.itertuples():
             block = Block(row)
-            for b, (texts, least, _, _) in shared_runs(block, shared, bits, length, gram).items():
-                sizes = np.array([len(t) for t in texts], "<u2").tobytes()
-                out.append((b, block.number, _squeezed(b"".join(texts)), _squeezed(sizes), _squeezed(np.array(least, np.int64).tobytes())))
+            own = shared_runs(block, shared, bits, length, gram)
+            texts, ends = np.frombuffer(block.raw, np.uint8)[_spread(own.first, own.sizes)].tobytes(), np.r_[0, np.cumsum(own.sizes)].tolist()
+            for b, s, e in own.buckets():
+                out.append((b, block.number, _squeezed(texts[ends[s] : ends[e]]), _squeezed(own.sizes[s:e].astype("<u2").tobytes()), _squeezed(own.least[s:e].tobytes())))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _RUNS.split(", ")])
 
     return run
@@ -408,18 +452,18 @@ def removed_bytes(block: Block, found: pd.DataFrame, bits: int, length: int = LE
     edge = np.zeros(len(block.raw) + 1, np.int64)
     answer = found["bits"].notna()
     told = dict(found.loc[answer, ["bucket", "bits"]].itertuples(index=False))
-    for bucket, (texts, least, starts, places) in shared_runs(block, found[~answer], bits, length, gram).items():
-        strings = np.array([len(t) for t in texts], np.int64) - length + 1
-        begin = np.cumsum(strings) - strings
-        repeats = np.unpackbits(np.frombuffer(_loosened(told[bucket]), np.uint8), count=int(strings.sum())).astype(bool)
-        least, starts, places = (np.array(x, np.int64) for x in (least, starts, places))
-        later = block.ids[np.searchsorted(block.ends, starts, side="right")] > least[places]  # the block itself has it earlier
-        n = strings[places]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = repeats[np.repeat(begin[places], n) + inner] | np.repeat(later, n)
-        at = (np.repeat(starts, n) + inner)[gone]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
+    own = shared_runs(block, found[~answer], bits, length, gram)
+    if not len(own.bucket):
+        return edge[:-1] > 0
+    strings = own.sizes - length + 1
+    begin = np.cumsum(strings) - strings
+    repeats = np.concatenate([np.unpackbits(np.frombuffer(_loosened(told[bucket]), np.uint8), count=int(strings[s:e].sum())) for bucket, s, e in own.buckets()]).astype(bool)
+    later = block.ids[np.searchsorted(block.ends, own.starts, side="right")] > own.least[own.places]  # the block itself has it earlier
+    n = strings[own.places]
+    inner = _spread(np.zeros(len(n), np.int64), n)
+    gone = repeats[np.repeat(begin[own.places], n) + inner] | np.repeat(later, n)
+    at = (np.repeat(own.starts, n) + inner)[gone]
+    edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + length, minlength=len(edge))
     return np.cumsum(edge[:-1]) > 0
 
 
